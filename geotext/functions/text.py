@@ -49,13 +49,14 @@ def _runs(ordered: Column) -> Column:
     """``array<struct<value,length>>`` for the runs of equal neighbours of a sorted array."""
     previous = F.concat(F.array(F.lit(None).cast("int")), ordered)
     # zip_with pads the shorter side with NULL: the last row marks the end of the array.
+    pairs = F.zip_with(
+        ordered,
+        previous,
+        lambda v, before: F.struct(v.alias("value"), (~v.eqNullSafe(before)).alias("starts")),
+    )
     marked = F.transform(
-        F.arrays_zip(ordered.alias("value"), previous.alias("before")),
-        lambda z, i: F.struct(
-            z["value"].alias("value"),
-            i.alias("at"),
-            (~z["value"].eqNullSafe(z["before"])).alias("starts"),
-        ),
+        pairs,
+        lambda z, i: F.struct(z["value"].alias("value"), i.alias("at"), z["starts"].alias("starts")),
     )
     starts = F.filter(marked, lambda z: z["starts"])
     ends = F.slice(starts, 2, F.size(starts))
