@@ -18,10 +18,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geotext.functions.distance import EARTH_RADIUS_KM, distance
 
+CELL = ["cell_band", "cell_col"]
+TILE = ["tile_band", "tile_col"]
+
 SLACK = 1e-4  # far above the rounding of floor(x / width), far below any effect on cost
 TILE_RADII = 3.0
 
@@ -49,8 +52,8 @@ class Geometry:
             return eps * ((1 + SLACK) * 180 / math.pi / EARTH_RADIUS_KM)
         return eps * (1 + SLACK)
 
-    def cell(self, lat, lon, eps) -> Column:
-        """``struct<band,col>`` of the point's cell."""
+    def cell(self, lat, lon, eps) -> dict[str, Column]:
+        """The CELL columns of a point."""
         if self.distance == "haversine":
             side = F.sin(F.least(eps / (2 * EARTH_RADIUS_KM), F.lit(math.pi / 2))) * (
                 2 / math.sqrt(2) * (1 - SLACK)
@@ -59,49 +62,63 @@ class Geometry:
             cols = F.greatest(
                 F.lit(1.0), F.ceil(_widest_cos(band, side) * (2 * math.pi) / side).cast("double")
             )
-            return F.struct(band.alias("band"), _wrap(F.radians(lon), cols).alias("col"))
+            return dict(zip(CELL, (band, _wrap(F.radians(lon), cols))))
         side = eps * ((1 - SLACK) / (2 if self.distance == "manhattan" else math.sqrt(2)))
-        return F.struct(F.floor(lat / side).alias("band"), F.floor(lon / side).alias("col"))
+        return dict(zip(CELL, (F.floor(lat / side), F.floor(lon / side))))
 
-    def tile(self, lat, lon, eps) -> Column:
-        """``struct<band,col>`` of the point's home tile."""
+    def tile(self, lat, lon, eps) -> dict[str, Column]:
+        """The TILE columns of a point's home tile."""
         if self.distance == "haversine":
             height = eps * (TILE_RADII / EARTH_RADIUS_KM)
             band = F.floor(F.radians(lat) / height)
-            return F.struct(
-                band.alias("band"), _wrap(F.radians(lon), _tile_cols(band, height)).alias("col")
-            )
+            return dict(zip(TILE, (band, _wrap(F.radians(lon), _tile_cols(band, height)))))
         side = eps * TILE_RADII
-        return F.struct(F.floor(lat / side).alias("band"), F.floor(lon / side).alias("col"))
+        return dict(zip(TILE, (F.floor(lat / side), F.floor(lon / side))))
+
+    def spread(self, df: DataFrame, eps="eps") -> DataFrame:
+        """Repeat each row for every tile that may hold a point closer than eps, with its TILE.
 
-    def tiles_near(self, lat, lon, eps) -> Column:
-        """All tiles that hold a point closer than eps, as an array of structs."""
+        Two plain explodes, over bands and then over the columns of a band, so that the
+        whole step stays in generated code.
+        """
+        lat, lon = F.col("lat"), F.col("lon")
+        eps = F.col(eps) if isinstance(eps, str) else eps
+        kept = df.columns
         if self.distance != "haversine":
             side, reach = eps * TILE_RADII, eps * (1 + SLACK)
-            return _pairs(
-                F.sequence(F.floor((lat - reach) / side), F.floor((lat + reach) / side)),
-                lambda _: F.sequence(F.floor((lon - reach) / side), F.floor((lon + reach) / side)),
+            return df.select("*", _span((lat - reach) / side, (lat + reach) / side, TILE[0])).select(
+                *kept, TILE[0], _span((lon - reach) / side, (lon + reach) / side, TILE[1])
             )
         phi, lam = F.radians(lat), F.radians(lon)
         height = eps * (TILE_RADII / EARTH_RADIUS_KM)
         reach = eps * ((1 + SLACK) / EARTH_RADIUS_KM)
         # Half the longitude width of the ball; all longitudes once it holds a pole.
-        spread = F.when(
+        half = F.when(
             F.abs(phi) + reach < math.pi / 2 * (1 - 1e-9),
             F.asin(F.least(F.lit(1.0), F.sin(reach) / F.cos(phi))) * (1 + SLACK),
         ).otherwise(F.lit(math.pi))
+        banded = df.select(
+            "*",
+            half.alias("_half"),
+            _span((phi - reach) / height, (phi + reach) / height, TILE[0]),
+        ).withColumn("_cols", _tile_cols(F.col(TILE[0]), height))
+        turn = F.col("_cols") / (2 * math.pi)
+        spanned = banded.withColumns(
+            {
+                "_first": F.floor((lam + math.pi - F.col("_half")) * turn),
+                "_last": F.floor((lam + math.pi + F.col("_half")) * turn),
+            }
+        )
+        cols = F.col("_cols").cast("long")
+        # A band with no more columns than the ball is wide is taken whole, each column once.
+        last = F.least(F.col("_last"), F.col("_first") + cols - 1)
+        return spanned.select(
+            *kept, TILE[0], "_cols", F.explode(F.sequence(F.col("_first"), last)).alias("_at")
+        ).select(*kept, TILE[0], F.pmod(F.col("_at"), cols).alias(TILE[1]))
 
-        def columns(band):
-            cols = _tile_cols(band, height)
-            first = F.floor((lam + math.pi - spread) / (2 * math.pi) * cols)
-            last = F.floor((lam + math.pi + spread) / (2 * math.pi) * cols)
-            whole = F.sequence(F.lit(0).cast("long"), cols.cast("long") - 1)
-            part = F.transform(F.sequence(first, last), lambda c: F.pmod(c, cols.cast("long")))
-            return F.when(last - first + 1 >= cols, whole).otherwise(part)
 
-        return _pairs(
-            F.sequence(F.floor((phi - reach) / height), F.floor((phi + reach) / height)), columns
-        )
+def _span(low: Column, high: Column, name: str) -> Column:
+    return F.explode(F.sequence(F.floor(low), F.floor(high))).alias(name)
 
 
 def _widest_cos(band: Column, height) -> Column:
@@ -118,14 +135,3 @@ def _tile_cols(band: Column, height) -> Column:
 
 def _wrap(lam: Column, cols: Column) -> Column:
     return F.pmod(F.floor((lam + math.pi) / (2 * math.pi) * cols), cols.cast("long"))
-
-
-def _pairs(bands: Column, columns) -> Column:
-    return F.flatten(
-        F.transform(
-            bands,
-            lambda b: F.transform(
-                columns(b), lambda c: F.struct(b.alias("band"), c.alias("col"))
-            ),
-        )
-    )

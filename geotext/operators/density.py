@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotext.operators.cells import Geometry
+from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.components import connected_components
 from geotext.operators.neighbours import collapse, crowd, near_tiles, place
 from geotext.operators.skew import attach
@@ -46,18 +46,24 @@ def split_sites(
     sizes = sites.groupBy(by).agg(F.count(F.lit(1)).alias("author_sites"))
     largest = sizes.agg(F.max("author_sites")).first()[0] or 0
     if largest <= fold_sites:
-        return Sites(_by_author(sites, by), None)
+        split = Sites(_by_author(sites, by), None)
+        sites.unpersist()
+        return split
     sized = attach(sites, sizes, [by])
     is_small = F.col("author_sites") <= fold_sites
-    return Sites(
+    split = Sites(
         _by_author(sized.where(is_small).drop("author_sites"), by),
         cut(sized.where(~is_small).drop("author_sites")),
     )
+    sites.unpersist()
+    return split
 
 
 def _by_author(sites: DataFrame, by: str) -> DataFrame:
     """One exchange by author; every later grouping and join on (author, ...) reuses it."""
-    return sites.repartition(by).persist(StorageLevel.DISK_ONLY)
+    hashed = sites.repartition(by).persist(StorageLevel.DISK_ONLY)
+    hashed.count()  # a cached table shows its partitioning to the planner once it is filled
+    return hashed
 
 
 def cluster_sites(
@@ -120,13 +126,15 @@ def _one_hop(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Dat
     else:
         placed = cut(placed)
         seeds = _seeds_by_rounds(cores, by, geometry)
-    return _join_earliest_seed(placed, seeds, min_neighbours, by, geometry, rows)
+    return _join_earliest_seed(placed, seeds, by, geometry, rows)
 
 
 def _seeds_by_fold(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame:
     """Seeds of authors of bounded size: one ordered pass over each author's core sites."""
     site = F.struct("first_id", "lat", "lon")
-    grouped = cores.groupBy("eps", "m", by).agg(F.sort_array(F.collect_list(site)).alias("cores"))
+    grouped = cores.groupBy("eps_id", "m", by).agg(
+        F.max("eps").alias("eps"), F.sort_array(F.collect_list(site)).alias("cores")
+    )
     none = F.array().cast("array<struct<first_id:bigint,lat:double,lon:double>>")
 
     def step(seeds: Column, p: Column) -> Column:
@@ -135,9 +143,7 @@ def _seeds_by_fold(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame:
         )
         return F.when(covered, seeds).otherwise(F.array_append(seeds, p))
 
-    return grouped.select(
-        "eps", "m", by, F.explode(F.aggregate("cores", none, step)).alias("s")
-    ).select("eps", "m", by, "s.first_id", "s.lat", "s.lon")
+    return grouped.select("eps_id", "eps", "m", by, F.inline(F.aggregate("cores", none, step)))
 
 
 def _seeds_by_rounds(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame:
@@ -153,73 +159,62 @@ def _seeds_by_rounds(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame
     logarithmic for places in no particular order, long for an author whose posts run
     along one unbroken line.
     """
-    where = ["eps", "m", by]
-    undecided = cut(cores.select(*where, "cell", "tile", "first_id", "lat", "lon"))
-    found = None
+    where = ["eps_id", "m", by]
+    site = ["eps", "first_id", "lat", "lon"]
+    undecided = cut(cores.select(*where, *site, *CELL, *TILE))
+    found = cut(undecided.select(*where, *site).limit(0))
     while not undecided.isEmpty():
-        firsts = undecided.groupBy(*where, "cell").agg(
-            F.min(F.struct("first_id", "lat", "lon")).alias("c")
+        firsts = undecided.groupBy(*where, *CELL).agg(
+            F.min(F.struct("first_id", "lat", "lon", "eps")).alias("c")
         )
-        candidates = cut(firsts.select(*where, "c.first_id", "c.lat", "c.lon"))
-        met = _meet(undecided, candidates, by, geometry)
+        candidates = cut(firsts.select(*where, "c.*"))
+        later = F.filter("met", lambda c: c["first_id"] > F.col("first_id"))
         blocked = (
-            met.select(
-                *where,
-                F.explode(
-                    F.filter("met", lambda c: c["first_id"] > F.col("first_id"))
-                )["first_id"].alias("first_id"),
-            )
+            _meet(undecided, candidates, by, geometry)
+            .select(*where, F.explode(F.transform(later, lambda c: c["first_id"])).alias("first_id"))
             .distinct()
         )
-        new = cut(candidates.join(blocked, [*where, "first_id"], "left_anti"))
-        found = new if found is None else cut(found.unionByName(new))
-        covered = _meet(undecided, new, by, geometry, "left")
-        undecided = cut(covered.where(F.coalesce(F.size("met"), F.lit(0)) <= 0).drop("met"))
-    return cores.select(*where, "first_id", "lat", "lon").limit(0) if found is None else found
+        seeds = cut(candidates.join(blocked, [*where, "first_id"], "left_anti"))
+        found = cut(found.unionByName(seeds))
+        # A seed is near itself, so it leaves too.
+        reached = _meet(undecided, seeds, by, geometry, "left")
+        undecided = cut(reached.where(F.coalesce(F.size("met"), F.lit(0)) <= 0).drop("met"))
+    return found
 
 
 def _meet(sites, few, by, geometry, how="inner") -> DataFrame:
     """Attach to each site the array ``met`` of the few (one per cell) that are near it."""
-    tiles = geometry.tiles_near(F.col("lat"), F.col("lon"), F.col("eps"))
-    where = ["eps", "m", by, "tile"]
-    near = (
-        few.select("eps", "m", by, F.explode(tiles).alias("tile"), F.struct("first_id", "lat", "lon").alias("c"))
-        .groupBy(*where)
-        .agg(F.collect_list("c").alias("few"))
-    )
+    keys = ["eps_id", "m", by]
+    near = near_tiles(few, keys, F.struct("first_id", "lat", "lon"), geometry, "few")
     met = F.filter(
         "few",
         lambda c: geometry.within(c["lat"], c["lon"], F.col("lat"), F.col("lon"), F.col("eps")),
     )
-    return attach(sites, near, where, how).withColumn("met", met).drop("few")
+    return attach(sites, near, [*keys, *TILE], how).withColumn("met", met).drop("few")
 
 
-def _join_earliest_seed(placed, seeds, min_neighbours, by, geometry, rows) -> DataFrame:
-    """Each site takes, for each m, the earliest seed closer than eps."""
-    entry = F.struct("m", "first_id", "lat", "lon")
-    near = near_tiles(seeds, by, entry, geometry, "seeds")
-    reached = F.filter(
-        "seeds",
-        lambda s: geometry.within(s["lat"], s["lon"], F.col("lat"), F.col("lon"), F.col("eps")),
-    )
-    # Smallest (m, first_id) per m, over an array bounded by the grid and the packing of seeds.
-    ms = F.array(*[F.lit(int(m)) for m in min_neighbours])
-    first_per_m = F.transform(
-        ms,
-        lambda m: F.struct(
-            m.alias("m"),
-            F.array_min(
-                F.transform(F.filter("reached", lambda s: s["m"] == m), lambda s: s["first_id"])
-            ).alias("cluster_id"),
-        ),
-    )
+def _join_earliest_seed(placed, seeds, by, geometry, rows) -> DataFrame:
+    """Each site takes, for each m, the earliest seed closer than eps.
+
+    A cell holds at most one seed per m, so the seeds near a tile are boundedly many.
+    """
+    keys = ["eps_id", by]
+    near = near_tiles(seeds, keys, F.struct("m", "first_id", "lat", "lon"), geometry, "seeds")
+    site = ["eps", "lat", "lon", "weight"]
     return (
-        attach(placed, near, ["eps", by, "tile"], rows=rows)
-        .withColumn("reached", reached)
-        .where(F.size("reached") > 0)
-        .withColumn("l", F.explode(first_per_m))
-        .where(F.col("l.cluster_id").isNotNull())
-        .select("eps", "l.m", by, "first_id", "lat", "lon", "weight", "l.cluster_id")
+        attach(placed, near, [*keys, *TILE], rows=rows)
+        .select(*keys, "first_id", *site, F.explode("seeds").alias("s"))
+        .where(
+            geometry.within(
+                F.col("s.lat"), F.col("s.lon"), F.col("lat"), F.col("lon"), F.col("eps")
+            )
+        )
+        .groupBy(*keys, F.col("s.m").alias("m"), "first_id")
+        .agg(
+            *[F.max(c).alias(c) for c in site],  # the same on every row of a site
+            F.min("s.first_id").alias("cluster_id"),
+        )
+        .select("eps", "m", by, "first_id", "lat", "lon", "weight", "cluster_id")
     )
 
 

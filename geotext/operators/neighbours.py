@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotext.operators.cells import Geometry
+from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.skew import HOT_ROWS, attach, hot_keys
 
 
@@ -42,14 +42,12 @@ def neighbour_join(
     home = points.select(
         *group,
         *[F.col(c).alias(c + "_j") for c in points.columns if c not in group],
-        geometry.tile(F.col("lat"), F.col("lon"), e).alias("tile"),
+        *_named(geometry.tile(F.col("lat"), F.col("lon"), e)),
     )
-    reach = points.select(
-        *group,
-        *[F.col(c).alias(c + "_i") for c in points.columns if c not in group],
-        F.explode(geometry.tiles_near(F.col("lat"), F.col("lon"), e)).alias("tile"),
+    reach = geometry.spread(points, e).select(
+        *group, *[F.col(c).alias(c + "_i") for c in points.columns if c not in group], *TILE
     )
-    keys = [*group, "tile"]
+    keys = [*group, *TILE]
     hot = hot_keys(home, keys, hot_rows=hot_rows)
     if hot is not None:
         # n parts on one side, each meeting n parts on the other: n * n joins of bounded size.
@@ -80,29 +78,68 @@ def _in_parts(df, parts, keys, key, own: str, other: str) -> DataFrame:
     ).drop("parts")
 
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
 def place(sites: DataFrame, eps_values, geometry: Geometry) -> DataFrame:
     """One copy of each site per eps, with its cell and home tile."""
-    each = sites.withColumn("eps", F.explode(F.array(*[F.lit(float(e)) for e in eps_values])))
+    grid = F.array(
+        *[
+            F.struct(F.lit(i).alias("eps_id"), F.lit(float(e)).alias("eps"))
+            for i, e in enumerate(eps_values)
+        ]
+    )
     lat, lon, eps = F.col("lat"), F.col("lon"), F.col("eps")
-    return each.withColumns(
-        {"cell": geometry.cell(lat, lon, eps), "tile": geometry.tile(lat, lon, eps)}
+    return sites.select("*", F.inline(grid)).withColumns(
+        {**geometry.cell(lat, lon, eps), **geometry.tile(lat, lon, eps)}
     )
 
 
-def near_tiles(entries: DataFrame, by: str, entry: Column, geometry: Geometry, name: str) -> DataFrame:
-    """Per (eps, by, tile), the entries whose eps-ball meets the tile, as one array.
+def near_tiles(
+    entries: DataFrame, keys: list[str], entry: Column, geometry: Geometry, name: str
+) -> DataFrame:
+    """Per (keys, tile), the entries whose eps-ball meets the tile, as one array.
 
     Only for entries of which a cell holds boundedly many: then a tile, with its margin of
     about 72 cells, does too.
     """
-    tiles = geometry.tiles_near(F.col("lat"), F.col("lon"), F.col("eps"))
     return (
-        entries.select("eps", by, F.explode(tiles).alias("tile"), entry.alias("_entry"))
-        .groupBy("eps", by, "tile")
+        geometry.spread(entries.select(*keys, "lat", "lon", "eps", entry.alias("_entry")))
+        .groupBy(*keys, *TILE)
         .agg(F.collect_list("_entry").alias(name))
     )
 
 
+def probe(
+    placed: DataFrame,
+    probes: DataFrame,
+    result: Column,
+    name: str,
+    by: str = "user_id",
+    geometry: Geometry = Geometry(),
+    rows: int | None = None,
+) -> DataFrame:
+    """Aggregate, for each probe, the other sites closer than eps: ``(eps_id, by, first_id, name)``.
+
+    ``probes`` must hold boundedly many sites per cell. The pairs are folded into the
+    aggregate where they arise; none is shuffled.
+    """
+    keys = ["eps_id", by]
+    near = near_tiles(probes, keys, F.struct("first_id", "lat", "lon"), geometry, "probes")
+    met = attach(placed, near, [*keys, *TILE], rows=rows).withColumn("p", F.explode("probes"))
+    return (
+        met.where(
+            (F.col("p.first_id") != F.col("first_id"))
+            & geometry.within(
+                F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"), F.col("eps")
+            )
+        )
+        .groupBy(*keys, F.col("p.first_id").alias("first_id"))
+        .agg(result.alias(name))
+    )
+
+
 def crowd(
     placed: DataFrame,
     enough: int,
@@ -116,32 +153,17 @@ def crowd(
     hold at most ``enough`` sites each, so a site is compared with at most about
     72 * enough of them: the work is linear in the sites, however crowded a place is.
     """
-    keys = ["eps", by, "cell"]
+    keys = ["eps_id", by, *CELL]
     cells = placed.groupBy(*keys).agg(F.sum("weight").alias("cell_weight"))
     placed = attach(placed, cells, keys, rows=rows)
     settled = F.col("cell_weight") > enough
-    loose = placed.where(~settled)
-    probes = near_tiles(
-        loose, by, F.struct("first_id", "lat", "lon"), geometry, "probes"
-    )
-    met = (
-        attach(placed, probes, ["eps", by, "tile"], rows=rows)
-        .select("eps", by, "first_id", "lat", "lon", "weight", F.explode("probes").alias("p"))
-        .where(
-            (F.col("p.first_id") != F.col("first_id"))
-            & geometry.within(
-                F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"), F.col("eps")
-            )
-        )
-        .groupBy("eps", by, F.col("p.first_id").alias("first_id"))
-        .agg(F.sum("weight").alias("others"))
-    )
+    met = probe(placed, placed.where(~settled), F.sum("weight"), "others", by, geometry, rows)
     k = F.when(settled, F.col("cell_weight")).otherwise(
         F.col("weight") + F.coalesce("others", F.lit(0))
     )
-    # (eps, by, first_id) is unique on both sides: no hot key is possible.
+    # (eps_id, by, first_id) is unique on both sides: no hot key is possible.
     return (
-        placed.join(met, ["eps", by, "first_id"], "left")
+        placed.join(met, ["eps_id", by, "first_id"], "left")
         .withColumn("k", k - 1)
         .drop("others", "cell_weight")
     )

@@ -47,7 +47,7 @@ def running_totals(
     if group:
         # Keep only groups in more than one block: at most two per block.
         spans = per_block.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        per_block = attach(per_block, spans.drop("_n"), group, rows=blocks)
+        per_block = attach(per_block, spans.drop("_n"), group, rows=blocks, null_safe=True)
     earlier = per_block.select(
         "_block", *group, *[F.sum(v).over(before).alias(v + "_before") for v in values.values()]
     )
@@ -57,7 +57,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = placed.withColumns({name: F.sum(v).over(here) for name, v in values.items()})
-    joined = attach(inside, F.broadcast(earlier), ["_block", *group], "left", rows=0)
+    joined = attach(inside, F.broadcast(earlier), ["_block", *group], "left", rows=0, null_safe=True)
     return joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col(v + "_before"), F.lit(0)) for n, v in values.items()}
     ).drop("_block", *values.values(), *[v + "_before" for v in values.values()])
@@ -128,7 +128,7 @@ def _with_previous(sizes: DataFrame, group: list[str]) -> DataFrame:
     ahead = placed.select(
         *group, (F.col("_position") + 1).alias("_position"), F.col("segment").alias("_previous")
     )
-    joined = attach(placed, ahead, [*group, "_position"], "left", rows=1)
+    joined = attach(placed, ahead, [*group, "_position"], "left", rows=1, null_safe=True)
     return joined.withColumn("_previous", F.coalesce("_previous", F.lit(-1).cast("long")))
 
 
@@ -142,7 +142,7 @@ def drop_right_while(
     if not group:
         # One row, read as a scalar: no join at all.
         return df.where(F.col(order) <= last.scalar())
-    return attach(df, last, group).where(F.col(order) <= F.col("_last")).drop("_last")
+    return attach(df, last, group, null_safe=True).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
 def zip_safe(

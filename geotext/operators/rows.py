@@ -57,7 +57,7 @@ def normalize(df: DataFrame, column: str, name: str, group: Sequence[str] = ())
         return df.withColumn(name, F.try_divide(value, total))
     totals = df.groupBy(*group).agg(F.sum(value).alias("_total"))
     return (
-        attach(df, totals, list(group))
+        attach(df, totals, list(group), null_safe=True)
         .withColumn(name, F.try_divide(value, F.col("_total")))
         .drop("_total")
     )

@@ -40,8 +40,9 @@ def attach(
     how: str = "inner",
     rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join ``big`` to a table with one row per key; NULL is a key like any other.
+    """Join ``big`` to a table with one row per key; with ``null_safe``, NULL is a key too.
 
     Rows of hot keys are joined by broadcast, so they stay where they are; the few
     (at most MAX_HOT_KEYS) matching rows of ``per_key`` travel to them. All other rows
@@ -49,18 +50,21 @@ def attach(
     """
     hot = hot_keys(big, keys, rows, hot_rows)
     if hot is None:
-        return _join(big, per_key, keys, how)
+        return _join(big, per_key, keys, how, null_safe)
     hot = hot.select(*keys)
-    hot_side = _join(big, F.broadcast(hot), keys, "left_semi")
-    cold_side = _join(big, F.broadcast(hot), keys, "left_anti")
-    hot_values = cut(_join(per_key, F.broadcast(hot), keys, "left_semi"))
-    return _join(hot_side, F.broadcast(hot_values), keys, how).unionByName(
-        _join(cold_side, per_key, keys, how)
+    hot_side = _join(big, F.broadcast(hot), keys, "left_semi", True)
+    cold_side = _join(big, F.broadcast(hot), keys, "left_anti", True)
+    hot_values = cut(_join(per_key, F.broadcast(hot), keys, "left_semi", True))
+    return _join(hot_side, F.broadcast(hot_values), keys, how, null_safe).unionByName(
+        _join(cold_side, per_key, keys, how, null_safe)
     )
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join in which NULL keys match; key columns come from the left."""
+def _join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool
+) -> DataFrame:
+    if not null_safe:
+        return left.join(right, list(keys), how)
     tag = f"_{uuid.uuid4().hex[:8]}_"
     renamed = right.withColumnsRenamed({k: tag + k for k in keys})
     condition: Column = F.lit(True)

@@ -14,6 +14,7 @@ RUNTIME_CONF = {
     # Lets a table already hashed by author serve joins and groupings on
     # (author, cell, ...) without another exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
 }
 
 
