@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.components import connected_components
-from geotext.operators.neighbours import collapse, crowd, near_tiles, place
+from geotext.operators.neighbours import collapse, crowd, meet, place
 from geotext.operators.skew import attach
 from geotext.session import cut
 
@@ -36,6 +36,7 @@ class Sites:
 
     small: DataFrame  # hashed by author; no author has more than FOLD_SITES sites
     large: DataFrame | None  # the other authors, spread over the cluster
+    most_posts: int  # of any one author
 
 
 def split_sites(
@@ -43,10 +44,14 @@ def split_sites(
 ) -> Sites:
     """Collapse posts to sites and separate the authors too large for one task."""
     sites = collapse(points, by, key).persist(StorageLevel.DISK_ONLY)
-    sizes = sites.groupBy(by).agg(F.count(F.lit(1)).alias("author_sites"))
-    largest = sizes.agg(F.max("author_sites")).first()[0] or 0
+    sizes = sites.groupBy(by).agg(
+        F.count(F.lit(1)).alias("author_sites"), F.sum("weight").alias("author_posts")
+    )
+    largest, posts = sizes.agg(F.max("author_sites"), F.max("author_posts")).first()
+    largest, posts = largest or 0, posts or 0
+    sizes = sizes.drop("author_posts")
     if largest <= fold_sites:
-        split = Sites(_by_author(sites, by), None)
+        split = Sites(_by_author(sites, by), None, posts)
         sites.unpersist()
         return split
     sized = attach(sites, sizes, [by])
@@ -54,6 +59,7 @@ def split_sites(
     split = Sites(
         _by_author(sized.where(is_small).drop("author_sites"), by),
         cut(sized.where(~is_small).drop("author_sites")),
+        posts,
     )
     sites.unpersist()
     return split
@@ -105,9 +111,10 @@ def density_cluster(
     config = F.struct("eps", "m", "cluster_id")
     # One row per site with all its labels: bounded by the grid.
     per_site = labels.groupBy(by, "lat", "lon").agg(F.collect_list(config).alias("labels"))
-    return attach(points.select(by, key, "lat", "lon"), per_site, [by, "lat", "lon"]).select(
-        F.explode("labels").alias("l"), by, key
-    ).select("l.eps", "l.m", by, key, "l.cluster_id")
+    posts = points.select(by, key, "lat", "lon")
+    return attach(posts, per_site, [by, "lat", "lon"], rows=sites.most_posts).select(
+        by, key, F.inline("labels")
+    )
 
 
 def _cores(crowded: DataFrame, min_neighbours: Sequence[int]) -> DataFrame:
@@ -168,51 +175,33 @@ def _seeds_by_rounds(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame
             F.min(F.struct("first_id", "lat", "lon", "eps")).alias("c")
         )
         candidates = cut(firsts.select(*where, "c.*"))
-        later = F.filter("met", lambda c: c["first_id"] > F.col("first_id"))
         blocked = (
-            _meet(undecided, candidates, by, geometry)
-            .select(*where, F.explode(F.transform(later, lambda c: c["first_id"])).alias("first_id"))
+            meet(undecided, candidates, where, geometry)
+            .where(F.col("p_first_id") > F.col("first_id"))
+            .select(*where, F.col("p_first_id").alias("first_id"))
             .distinct()
         )
         seeds = cut(candidates.join(blocked, [*where, "first_id"], "left_anti"))
         found = cut(found.unionByName(seeds))
         # A seed is near itself, so it leaves too.
-        reached = _meet(undecided, seeds, by, geometry, "left")
-        undecided = cut(reached.where(F.coalesce(F.size("met"), F.lit(0)) <= 0).drop("met"))
+        covered = meet(undecided, seeds, where, geometry).select(*where, "first_id").distinct()
+        undecided = cut(undecided.join(covered, [*where, "first_id"], "left_anti"))
     return found
 
 
-def _meet(sites, few, by, geometry, how="inner") -> DataFrame:
-    """Attach to each site the array ``met`` of the few (one per cell) that are near it."""
-    keys = ["eps_id", "m", by]
-    near = near_tiles(few, keys, F.struct("first_id", "lat", "lon"), geometry, "few")
-    met = F.filter(
-        "few",
-        lambda c: geometry.within(c["lat"], c["lon"], F.col("lat"), F.col("lon"), F.col("eps")),
-    )
-    return attach(sites, near, [*keys, *TILE], how).withColumn("met", met).drop("few")
-
-
 def _join_earliest_seed(placed, seeds, by, geometry, rows) -> DataFrame:
     """Each site takes, for each m, the earliest seed closer than eps.
 
-    A cell holds at most one seed per m, so the seeds near a tile are boundedly many.
+    A cell holds at most one seed per m, so there are boundedly many.
     """
     keys = ["eps_id", by]
-    near = near_tiles(seeds, keys, F.struct("m", "first_id", "lat", "lon"), geometry, "seeds")
     site = ["eps", "lat", "lon", "weight"]
     return (
-        attach(placed, near, [*keys, *TILE], rows=rows)
-        .select(*keys, "first_id", *site, F.explode("seeds").alias("s"))
-        .where(
-            geometry.within(
-                F.col("s.lat"), F.col("s.lon"), F.col("lat"), F.col("lon"), F.col("eps")
-            )
-        )
-        .groupBy(*keys, F.col("s.m").alias("m"), "first_id")
+        meet(placed, seeds, keys, geometry, rows)
+        .groupBy(*keys, F.col("p_m").alias("m"), "first_id")
         .agg(
             *[F.max(c).alias(c) for c in site],  # the same on every row of a site
-            F.min("s.first_id").alias("cluster_id"),
+            F.min("p_first_id").alias("cluster_id"),
         )
         .select("eps", "m", by, "first_id", "lat", "lon", "weight", "cluster_id")
     )

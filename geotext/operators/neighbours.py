@@ -96,18 +96,25 @@ def place(sites: DataFrame, eps_values, geometry: Geometry) -> DataFrame:
     )
 
 
-def near_tiles(
-    entries: DataFrame, keys: list[str], entry: Column, geometry: Geometry, name: str
+def meet(
+    placed: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    geometry: Geometry,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Per (keys, tile), the entries whose eps-ball meets the tile, as one array.
+    """Pairs of a site and one of the few closer than eps; columns of the few get a ``p_``.
 
-    Only for entries of which a cell holds boundedly many: then a tile, with its margin of
-    about 72 cells, does too.
+    A site meets itself too. ``few`` must hold boundedly many sites per cell. Then a tile,
+    with its margin of about 72 cells, has boundedly many as well: the join multiplies the
+    sites by a constant at most, and its hot keys can be broadcast.
     """
-    return (
-        geometry.spread(entries.select(*keys, "lat", "lon", "eps", entry.alias("_entry")))
-        .groupBy(*keys, *TILE)
-        .agg(F.collect_list("_entry").alias(name))
+    few = geometry.spread(few).drop("eps")
+    few = few.withColumnsRenamed({c: "p_" + c for c in few.columns if c not in [*keys, *TILE]})
+    return attach(placed, few, [*keys, *TILE], rows=rows).where(
+        geometry.within(
+            F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), F.col("eps")
+        )
     )
 
 
@@ -126,16 +133,11 @@ def probe(
     aggregate where they arise; none is shuffled.
     """
     keys = ["eps_id", by]
-    near = near_tiles(probes, keys, F.struct("first_id", "lat", "lon"), geometry, "probes")
-    met = attach(placed, near, [*keys, *TILE], rows=rows).withColumn("p", F.explode("probes"))
+    few = probes.select(*keys, "eps", "first_id", "lat", "lon")
     return (
-        met.where(
-            (F.col("p.first_id") != F.col("first_id"))
-            & geometry.within(
-                F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"), F.col("eps")
-            )
-        )
-        .groupBy(*keys, F.col("p.first_id").alias("first_id"))
+        meet(placed, few, keys, geometry, rows)
+        .where(F.col("p_first_id") != F.col("first_id"))
+        .groupBy(*keys, F.col("p_first_id").alias("first_id"))
         .agg(result.alias(name))
     )
 

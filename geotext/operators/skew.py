@@ -42,11 +42,13 @@ def attach(
     hot_rows: int = HOT_ROWS,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Join ``big`` to a table with one row per key; with ``null_safe``, NULL is a key too.
+    """Join ``big`` to a table with boundedly many rows per key, most often one.
 
-    Rows of hot keys are joined by broadcast, so they stay where they are; the few
-    (at most MAX_HOT_KEYS) matching rows of ``per_key`` travel to them. All other rows
-    take the ordinary shuffle join.
+    Rows of hot keys are joined by broadcast, so they stay where they are; the matching
+    rows of ``per_key``, which belong to at most MAX_HOT_KEYS keys, travel to them. All
+    other rows take the ordinary shuffle join. To find hot keys ``big`` is counted first,
+    so hand in a table that is stored or cheap to compute, or a bound in ``rows``.
+    With ``null_safe``, NULL is a key too.
     """
     hot = hot_keys(big, keys, rows, hot_rows)
     if hot is None:
