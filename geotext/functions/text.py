@@ -21,10 +21,12 @@ def tokenize(text) -> Column:
 
 
 def char_bigrams(text) -> Column:
-    """Overlapping two-character tokens of the lower-cased text."""
-    text = F.lower(F.col(text) if isinstance(text, str) else text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(2)))
+    """Overlapping two-character tokens of the lower-cased text; none for a shorter text."""
+    characters = F.split(F.lower(F.col(text) if isinstance(text, str) else text), "")
+    following = F.slice(characters, 2, F.greatest(F.size(characters) - 1, F.lit(0)))
+    # The last character has no follower: concat gives NULL there.
+    pairs = F.zip_with(characters, following, lambda a, b: F.concat(a, b))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def term_bucket(token, num_features: int) -> Column:

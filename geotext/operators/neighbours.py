@@ -169,3 +169,23 @@ def crowd(
         .withColumn("k", k - 1)
         .drop("others", "cell_weight")
     )
+
+
+def neighbour_count(
+    points: DataFrame,
+    eps: float,
+    by: str = "user_id",
+    key: str = "post_id",
+    geometry: Geometry = Geometry(),
+) -> DataFrame:
+    """Exact number of other posts closer than eps: ``(by, key, k)``, zeros included."""
+    sites = collapse(points, by, key)
+    placed = place(sites, [eps], geometry)
+    met = probe(placed, placed, F.sum("weight"), "others", by, geometry)
+    counted = sites.join(met, [by, "first_id"], "left").select(
+        by,
+        "lat",
+        "lon",
+        (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("k"),
+    )
+    return attach(points, counted, [by, "lat", "lon"]).select(by, key, "k")
