@@ -250,8 +250,8 @@ def cluster_centre_median_query(spark, sf):
 @query(
     "run_density",
     clustering_sql(
-        """SELECT eps, m, user_id, count(*) AS clusters, round(sum(lat), 7) AS sum_lat,
-          round(sum(lon), 7) AS sum_lon FROM centres GROUP BY eps, m, user_id""",
+        """SELECT eps, m, user_id, count(*) AS clusters, round(min(lat), 8) AS min_lat,
+          round(max(lon), 8) AS max_lon FROM centres GROUP BY eps, m, user_id""",
         POSTS_SQL,
         CENTRES_SQL,
     ),
@@ -260,8 +260,8 @@ def run_density_query(spark, sf):
     sites = split_sites(points(spark, sf))
     return homes.cluster_candidates(sites, GRID).groupBy("eps", "m", "user_id").agg(
         F.count(F.lit(1)).alias("clusters"),
-        F.round(F.sum("lat"), 7).alias("sum_lat"),
-        F.round(F.sum("lon"), 7).alias("sum_lon"),
+        F.round(F.min("lat"), ROUND_CENTRE).alias("min_lat"),
+        F.round(F.max("lon"), ROUND_CENTRE).alias("max_lon"),
     )
 
 

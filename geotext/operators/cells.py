@@ -75,6 +75,39 @@ class Geometry:
         side = eps * TILE_RADII
         return dict(zip(TILE, (F.floor(lat / side), F.floor(lon / side))))
 
+    def embed(self, lat, lon) -> dict[str, Column]:
+        """Coordinates x, y, z whose straight-line distance orders points as the distance does."""
+        if self.distance != "haversine":
+            return {"x": lat, "y": lon, "z": F.lit(0.0)}
+        phi, lam = F.radians(lat), F.radians(lon)
+        return {"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)}
+
+    def radius(self, eps) -> Column:
+        """The straight-line distance in ``embed`` that stands for eps."""
+        if self.distance != "haversine":
+            return eps
+        return 2 * F.sin(F.least(eps / (2 * EARTH_RADIUS_KM), F.lit(math.pi / 2)))
+
+    def box_bounds(self, a: str, b: str) -> tuple[Column, Column]:
+        """Least and greatest distance between the boxes with column prefixes a and b."""
+        gaps, spans = [], []
+        for axis in "xyz":
+            a_low, a_high = F.col(f"{a}{axis}_low"), F.col(f"{a}{axis}_high")
+            b_low, b_high = F.col(f"{b}{axis}_low"), F.col(f"{b}{axis}_high")
+            gaps.append(F.greatest(F.lit(0.0), a_low - b_high, b_low - a_high))
+            spans.append(F.greatest(a_high - b_low, b_high - a_low))
+        if self.distance == "manhattan":
+            return sum(gaps[1:], gaps[0]), sum(spans[1:], spans[0])
+        return tuple(
+            F.sqrt(sum([v * v for v in parts[1:]], parts[0] * parts[0])) for parts in (gaps, spans)
+        )
+
+    def degrees(self, eps) -> Column:
+        """Eps as degrees of latitude, or as it is on the plane."""
+        if self.distance == "haversine":
+            return eps * (180 / math.pi / EARTH_RADIUS_KM)
+        return eps
+
     def spread(self, df: DataFrame, eps="eps") -> DataFrame:
         """Repeat each row for every tile that may hold a point closer than eps, with its TILE.
 

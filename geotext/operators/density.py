@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geotext.operators.blocks import CROWDED_SITES, linked_cells
 from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.components import connected_components
 from geotext.operators.neighbours import collapse, crowd, meet, place
@@ -208,4 +209,56 @@ def _join_earliest_seed(placed, seeds, by, geometry, rows) -> DataFrame:
 
 
 def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> DataFrame:
-    raise NotImplementedError
+    """Components of core sites, found on cells: the core sites of one cell always belong together."""
+    rows = fold_sites
+    placed = place(sites, eps_values, geometry)
+    ms = F.array(*[F.lit(int(m)) for m in min_neighbours])
+    each = crowd(placed, max(min_neighbours), by, geometry, rows).withColumn("m", F.explode(ms))
+    each = cut(each.withColumn("is_core", F.col("k") >= F.col("m")))
+    keys = ["eps_id", "m", by]
+    cores = each.where("is_core")
+    cells = cut(
+        cores.groupBy(*keys, *CELL).agg(
+            F.min("first_id").alias("v"), F.count(F.lit(1)).alias("cell_sites")
+        )
+    )
+    cores = cut(attach(cores, cells, [*keys, *CELL], rows=rows))
+    edges = _core_edges(cores, keys, geometry, rows)
+    roots = connected_components(edges, keys)
+    cores = attach(cores, roots, [*keys, "v"], "left", rows=rows).withColumn(
+        "cluster_id", F.coalesce("root", "v")
+    )
+    # A site that is not core shares its cell with few others.
+    site = ["first_id", "lat", "lon", "eps", "weight"]
+    others = each.where(~F.col("is_core")).select(*keys, *site)
+    borders = (
+        meet(cores.select(*keys, *site, *TILE, "cluster_id"), others, keys, geometry, rows)
+        .groupBy(*keys, F.col("p_first_id").alias("first_id"))
+        .agg(
+            *[F.max("p_" + c).alias(c) for c in ("lat", "lon", "weight")],
+            F.max("eps").alias("eps"),
+            F.min("cluster_id").alias("cluster_id"),
+        )
+    )
+    label = ["eps", "m", by, "first_id", "lat", "lon", "weight", "cluster_id"]
+    return cores.select(label).unionByName(borders.select(label))
+
+
+def _core_edges(cores, keys, geometry, rows) -> DataFrame:
+    """``(keys, a, b)``: cells, named by their lowest core post, with close core sites."""
+    crowded = F.col("cell_sites") > CROWDED_SITES
+    few = cores.where(~crowded).select(*keys, "first_id", "lat", "lon", "eps", "v")
+    edges = (
+        meet(cores, few, keys, geometry, rows)
+        .where(F.col("v") != F.col("p_v"))
+        .select(*keys, F.col("v").alias("a"), F.col("p_v").alias("b"))
+    )
+    dense = cores.where(crowded)
+    if not dense.isEmpty():
+        linked = linked_cells(dense, keys, geometry)
+        names = dense.select(*keys, *CELL, "v").distinct()
+        for side, end in (("a_", "a"), ("b_", "b")):
+            own = names.withColumnsRenamed({**{c: side + c for c in CELL}, "v": end})
+            linked = linked.join(own, [*keys, *[side + c for c in CELL]])
+        edges = edges.unionByName(linked.select(*keys, "a", "b"))
+    return edges

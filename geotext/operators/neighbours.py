@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geotext.operators.blocks import CROWDED_SITES, count_between
 from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.skew import HOT_ROWS, attach, hot_keys
+from geotext.session import cut
 
 
 def collapse(points: DataFrame, by: str = "user_id", key: str = "post_id") -> DataFrame:
@@ -178,14 +182,37 @@ def neighbour_count(
     key: str = "post_id",
     geometry: Geometry = Geometry(),
 ) -> DataFrame:
-    """Exact number of other posts closer than eps: ``(by, key, k)``, zeros included."""
-    sites = collapse(points, by, key)
-    placed = place(sites, [eps], geometry)
-    met = probe(placed, placed, F.sum("weight"), "others", by, geometry)
-    counted = sites.join(met, [by, "first_id"], "left").select(
-        by,
-        "lat",
-        "lon",
-        (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("k"),
+    """Exact number of other posts closer than eps: ``(by, key, k)``, zeros included.
+
+    Sites in cells of at most CROWDED_SITES are compared with what is near them. In a
+    crowded cell all sites are close to one another, and crowded cells are counted
+    against one another by blocks.
+    """
+    keys = ["eps_id", by]
+    placed = place(collapse(points, by, key), [eps], geometry)
+    cells = placed.groupBy(*keys, *CELL).agg(
+        F.sum("weight").alias("cell_weight"), F.count(F.lit(1)).alias("cell_sites")
+    )
+    placed = cut(attach(cut(placed), cells, [*keys, *CELL]))
+    crowded = F.col("cell_sites") > CROWDED_SITES
+    loose = placed.where(~crowded)
+    found = probe(placed, loose, F.sum("weight"), "n", by, geometry)
+    dense = placed.where(crowded)
+    if not dense.isEmpty():
+        # Seen from a crowded cell: its own sites, those of loose cells, those of crowded ones.
+        own = dense.select(*keys, "first_id", (F.col("cell_weight") - F.col("weight")).alias("n"))
+        few = loose.select(*keys, "first_id", "lat", "lon", "eps", "weight")
+        met = meet(dense, few, keys, geometry).groupBy(*keys, "first_id").agg(
+            F.sum("p_weight").alias("n")
+        )
+        parts = [found, own, met, count_between(dense, keys, geometry)]
+        found = (
+            reduce(DataFrame.unionByName, parts)
+            .groupBy(*keys, "first_id")
+            .agg(F.sum("n").alias("n"))
+        )
+    others = F.col("weight") - 1 + F.coalesce("n", F.lit(0))
+    counted = placed.join(found, [*keys, "first_id"], "left").select(
+        by, "lat", "lon", others.alias("k")
     )
     return attach(points, counted, [by, "lat", "lon"]).select(by, key, "k")
