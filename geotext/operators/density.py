@@ -21,7 +21,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotext.operators.blocks import CROWDED_SITES, linked_cells
+from geotext.operators import blocks
+from geotext.operators.blocks import linked_cells
 from geotext.operators.cells import CELL, TILE, Geometry
 from geotext.operators.components import connected_components
 from geotext.operators.neighbours import collapse, crowd, meet, place
@@ -246,7 +247,7 @@ def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Data
 
 def _core_edges(cores, keys, geometry, rows) -> DataFrame:
     """``(keys, a, b)``: cells, named by their lowest core post, with close core sites."""
-    crowded = F.col("cell_sites") > CROWDED_SITES
+    crowded = F.col("cell_sites") > blocks.CROWDED_SITES
     few = cores.where(~crowded).select(*keys, "first_id", "lat", "lon", "eps", "v")
     edges = (
         meet(cores, few, keys, geometry, rows)

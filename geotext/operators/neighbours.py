@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotext.operators.blocks import CROWDED_SITES, count_between
+from geotext.operators import blocks, skew
+from geotext.operators.blocks import count_between
 from geotext.operators.cells import CELL, TILE, Geometry
-from geotext.operators.skew import HOT_ROWS, attach, hot_keys
+from geotext.operators.skew import attach, hot_keys
 from geotext.session import cut
 
 
@@ -30,7 +31,7 @@ def neighbour_join(
     by: str | None = "user_id",
     key: str = "post_id",
     geometry: Geometry = Geometry(),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     condition: Column | None = None,
 ) -> DataFrame:
     """All ordered pairs ``(by, i, j, d)``, i <> j, strictly closer than eps.
@@ -55,7 +56,8 @@ def neighbour_join(
     hot = hot_keys(home, keys, hot_rows=hot_rows)
     if hot is not None:
         # n parts on one side, each meeting n parts on the other: n * n joins of bounded size.
-        parts = hot.select(*keys, F.ceil(F.col("hot_rows") / hot_rows).cast("int").alias("parts"))
+        size = hot_rows or skew.HOT_ROWS
+        parts = hot.select(*keys, F.ceil(F.col("hot_rows") / size).cast("int").alias("parts"))
         home = _in_parts(home, parts, keys, key + "_j", "part_j", "part_i")
         reach = _in_parts(reach, parts, keys, key + "_i", "part_i", "part_j")
         keys = [*keys, "part_i", "part_j"]
@@ -194,7 +196,7 @@ def neighbour_count(
         F.sum("weight").alias("cell_weight"), F.count(F.lit(1)).alias("cell_sites")
     )
     placed = cut(attach(cut(placed), cells, [*keys, *CELL]))
-    crowded = F.col("cell_sites") > CROWDED_SITES
+    crowded = F.col("cell_sites") > blocks.CROWDED_SITES
     loose = placed.where(~crowded)
     found = probe(placed, loose, F.sum("weight"), "n", by, geometry)
     dense = placed.where(crowded)

@@ -14,7 +14,7 @@ MAX_HOT_KEYS = 1_000
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows: int | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], rows: int | None = None, hot_rows: int | None = None
 ) -> DataFrame | None:
     """Keys with more than ``max(hot_rows, total / MAX_HOT_KEYS)`` rows, or None if there are none.
 
@@ -22,6 +22,7 @@ def hot_keys(
     them whatever the table holds: small enough to broadcast, by construction.
     ``rows`` is an upper bound on the rows of any key, if the caller knows one.
     """
+    hot_rows = hot_rows or HOT_ROWS
     if rows is not None and rows <= hot_rows:
         return None
     total = df.count()
@@ -39,7 +40,7 @@ def attach(
     keys: Sequence[str],
     how: str = "inner",
     rows: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a table with boundedly many rows per key, most often one.
