@@ -12,7 +12,7 @@ from geotext.functions.text import char_bigrams, tokenize
 from geotext.operators.ordered import collect_chunks
 from geotext.operators.rows import counts, ungroup
 from geotext.plans import text as plans
-from geotext.session import checkpoint_dir
+from geotext.session import at_least_cores, checkpoint_dir
 from geotext.sources.posts import to_json_rows
 from geotext.streaming.posts import collect_stream, stream_classify, stream_to_table
 
@@ -25,7 +25,8 @@ CHUNK = 25
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents")
+    """The documents; their one file holds one row group, so one task would read and parse it all."""
+    return at_least_cores(table(spark, sf, "documents"))
 
 
 def _tokens(spark, sf):
@@ -203,7 +204,7 @@ def json_round_trip_query(spark, sf):
 
 def _stream(spark, sf):
     """``documents`` as a file stream; the glob leaves the other tables of the folder out."""
-    schema = _documents(spark, sf).schema
+    schema = table(spark, sf, "documents").schema
     return spark.readStream.schema(schema).parquet(f"{sf}/docu*")
 
 

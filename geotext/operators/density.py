@@ -225,7 +225,7 @@ def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Data
     )
     cores = cut(attach(cores, cells, [*keys, *CELL], rows=rows))
     edges = _core_edges(cores, keys, geometry, rows)
-    roots = connected_components(edges, keys)
+    roots = connected_components(edges, keys, rows)
     cores = attach(cores, roots, [*keys, "v"], "left", rows=rows).withColumn(
         "cluster_id", F.coalesce("root", "v")
     )

@@ -9,6 +9,7 @@ from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geotext.functions.text import hashed_counts
+from geotext.session import at_least_cores
 
 NUM_FEATURES = 10_000
 ROUNDS = 20
@@ -86,7 +87,8 @@ def train_text_kmeans(
     """Fit the pipeline on posts with a text and a language; k defaults to the languages' number."""
     if k is None:
         k = num_languages(posts, count_null=count_null).first()[0]
-    return text_pipeline(k, **options).fit(project_text_lang(posts))
+    # Every round of the fit reads the features: a small table should use all cores.
+    return text_pipeline(k, **options).fit(at_least_cores(project_text_lang(posts)))
 
 
 def model_k(model: PipelineModel) -> int:

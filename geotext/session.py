@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the files, with no lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def at_least_cores(df: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer parts than there are cores; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
