@@ -427,7 +427,7 @@ def best_config_query(spark, sf):
 )
 def combined_score_query(spark, sf):
     candidates, truth, all_points = _predicted(spark, sf)
-    scored = homes.evaluate_homes(candidates, truth, s=GRID)
+    scored = homes.on_grid(homes.evaluate_homes(candidates, truth, s=GRID), GRID)
     covered = homes.coverage(candidates, all_points, truth).select("pct_listed").scalar()
     score = combined_score(F.col("error"), covered)
     return scored.select("eps", "m", F.round(score, ROUND).alias("score"))

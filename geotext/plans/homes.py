@@ -77,6 +77,12 @@ def _grid(s: Settings) -> Column:
     )
 
 
+def on_grid(scores: DataFrame, s: Settings) -> DataFrame:
+    """Every configuration of the grid, also those that have no row in ``scores``."""
+    grid = scores.sparkSession.range(1).select(F.inline(_grid(s)))
+    return grid.join(scores, ["eps", "m"], "left")
+
+
 def cluster_candidates(sites: Sites, s: Settings) -> DataFrame:
     """Cluster centres of all authors: ``(eps, m, by, cluster_id, lat, lon)``.
 
@@ -202,10 +208,9 @@ def grid_search(
     )
     totals = truth.agg(F.count(F.lit(1))).scalar()
     listed = points.agg(F.count_distinct(s.by)).scalar()
-    grid = points.sparkSession.range(1).select(F.inline(_grid(s)))
     error = F.col("error") if empty_error is None else F.coalesce("error", F.lit(empty_error))
     return (
-        grid.join(scores, keys, "left")
+        on_grid(scores, s)
         .withColumns(
             {
                 "error": error,

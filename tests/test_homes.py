@@ -3,7 +3,6 @@ from __future__ import annotations
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from geotext.operators import centres
@@ -130,4 +129,3 @@ def test_the_default_grid_runs_in_one_plan(spark):
     df = spark.createDataFrame(brute.skewed_posts(12, 60), SCHEMA)
     scores = homes.grid_search(df, truth_of(spark, brute.skewed_posts(12, 60)))
     assert scores.count() == 20
-    assert F.col("score") is not None
