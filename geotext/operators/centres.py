@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geotext.operators.ordered import running_totals
 from geotext.operators.skew import attach
+from geotext.session import cut
 
 MEDIAN_SITES = 100_000
 
@@ -26,6 +27,7 @@ def cluster_centres(
         )
     if method != "median":
         raise ValueError(f"unknown centre method {method!r}")
+    labels = cut(labels)  # sized first, then read
     sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("sites"))
     if (sizes.agg(F.max("sites")).first()[0] or 0) <= median_sites:
         return _median_in_task(labels, keys)

@@ -128,12 +128,13 @@ def _cores(crowded: DataFrame, min_neighbours: Sequence[int]) -> DataFrame:
 def _one_hop(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> DataFrame:
     rows = fold_sites
     placed = place(sites, eps_values, geometry)
+    if not fold_sites:
+        placed = cut(placed)
     crowded = crowd(placed, max(min_neighbours), by, geometry, rows)
     cores = _cores(crowded, min_neighbours)
     if fold_sites:
         seeds = _seeds_by_fold(cores, by, geometry)
     else:
-        placed = cut(placed)
         seeds = _seeds_by_rounds(cores, by, geometry)
     return _join_earliest_seed(placed, seeds, by, geometry, rows)
 
@@ -213,6 +214,8 @@ def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Data
     """Components of core sites, found on cells: the core sites of one cell always belong together."""
     rows = fold_sites
     placed = place(sites, eps_values, geometry)
+    if not fold_sites:
+        placed = cut(placed)
     ms = F.array(*[F.lit(int(m)) for m in min_neighbours])
     each = crowd(placed, max(min_neighbours), by, geometry, rows).withColumn("m", F.explode(ms))
     each = cut(each.withColumn("is_core", F.col("k") >= F.col("m")))

@@ -164,6 +164,8 @@ def crowd(
     keys = ["eps_id", by, *CELL]
     cells = placed.groupBy(*keys).agg(F.sum("weight").alias("cell_weight"))
     placed = attach(placed, cells, keys, rows=rows)
+    if rows is None:
+        placed = cut(placed)  # looked through for hot keys, and read twice
     settled = F.col("cell_weight") > enough
     met = probe(placed, placed.where(~settled), F.sum("weight"), "others", by, geometry, rows)
     k = F.when(settled, F.col("cell_weight")).otherwise(
