@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from geotext.llm import (  # noqa: F401  (they register)
+    chunk_recipes,
     token_counts,
     url_rules,
+    window_search,
 )
