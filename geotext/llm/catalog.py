@@ -5,6 +5,7 @@ from __future__ import annotations
 from geotext.llm import (  # noqa: F401  (they register)
     chunk_recipes,
     token_counts,
+    two_fit,
     url_rules,
     window_search,
 )
