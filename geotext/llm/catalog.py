@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from geotext.llm import (  # noqa: F401  (they register)
     chunk_recipes,
+    kernel_quality,
+    kneser_ney,
     token_counts,
     two_fit,
     url_rules,
