@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from geotext.llm import (  # noqa: F401  (they register)
     chunk_recipes,
+    context_trees,
     kernel_quality,
     kneser_ney,
     token_counts,
