@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from geotext.llm.common import cut, query, table
+from geotext.llm.token_counts import byte_symbols
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -25,8 +26,8 @@ END_ID = 1
 #: Pieces of one length that are put in order together, at most.
 GROUP_ROWS = 200_000
 
-#: Words kept in a worker's memory with their ids, and the longest word kept.
-KEPT_WORDS = 400_000
+#: Words kept in each half of a worker's memory with their ids, and the longest word kept.
+KEPT_WORDS = 300_000
 KEPT_LENGTH = 48
 
 # Up to U+017F, without U+0130, lower case is one letter of the same kind, NFC changes nothing,
@@ -42,6 +43,35 @@ _NORMALISER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class WordIds(dict):
+    """Packed ids of single words, by the library's model, with the words of late remembered.
+
+    When it is full, what it holds becomes the older half, from which words in use return.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        self.symbols = {b: s for b, s in byte_symbols().items() if chr(b) != s}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            symbols = word.encode().decode("latin-1").translate(self.symbols)
+            found = packed([t.id for t in self.tokenize(symbols)])
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Ids:
     """Ids of texts by the library, a word at a time where words do not depend on each other."""
 
@@ -55,30 +85,15 @@ class Ids:
         self.by_word = [s["type"] for s in steps] == _NORMALISER and pattern == _SPLIT
         added = [t["content"] for t in spec["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.words = WordIds(self.tokenizer)
 
     def ids(self, text: str) -> bytes:
         """The ids, packed as little-endian unsigned 32-bit numbers."""
         plain = self.by_word and _PLAIN.fullmatch(text) is not None
         if not plain or (self.added is not None and self.added.search(text)):
-            return self.whole(text)
-        words = _WORDS.findall(text.lower())
-        kept = self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in kept})
-        return b"".join([kept.get(w) or self.whole(w) for w in words])
-
-    def _learn(self, words: set[str]) -> None:
-        short = [w for w in words if len(w) <= KEPT_LENGTH]
-        if len(self.kept) + len(short) > KEPT_WORDS:
-            self.kept.clear()
-        for w, found in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False), strict=True):
-            self.kept[w] = np.array(found.ids, "<u4").tobytes()
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = self.words
+        return b"".join([words[w] for w in _WORDS.findall(text.lower())])
 
 
 @lru_cache(maxsize=2)
