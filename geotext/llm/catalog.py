@@ -7,6 +7,7 @@ from geotext.llm import (  # noqa: F401  (they register)
     context_trees,
     kernel_quality,
     kneser_ney,
+    popcount_simhash,
     token_counts,
     two_fit,
     url_rules,
