@@ -18,7 +18,7 @@ from geotext.llm.common import crc_share, cut, query, sigmoid_of, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
-WORD_BITS = 21
+WORD_BITS = 20
 #: Pairs with an estimate of their own, a prime; of pairs that share a slot the most frequent stays.
 PAIR_SLOTS = 1_048_573
 #: One in so many learned rows is kept from the counts, to calibrate on.
@@ -52,7 +52,7 @@ class WordNumbers(dict):
 def pairs_of(words: np.ndarray, bits: int) -> np.ndarray:
     """Each word with the one before it, as one number."""
     before = np.concatenate([[0], words[:-1]]) if words.size else words
-    return before << (bits + 1) | words
+    return before << bits | words
 
 
 def count_pairs(learn: DataFrame, bits: int) -> DataFrame:
@@ -108,7 +108,7 @@ class Model:
         pairs = pairs_of(words, self.word_bits)
         slot = pairs % self.held.size
         alone = self.word[:, words]
-        backed = self.gamma[:, pairs >> (self.word_bits + 1)] + alone
+        backed = self.gamma[:, pairs >> self.word_bits] + alone
         each = np.where(self.held[slot] == pairs, self.pair[:, slot], backed)
         ordinary, toxic = each.mean(axis=1, dtype=np.float64)
         apart = (alone[1] - alone[0]).astype(np.float64)
@@ -119,23 +119,24 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     """Both models from ``learn (text, label)``: every pair of every row is counted.
 
     Only sums by word hash and by slot meet the driver, at most
-    ``4 * 2**word_bits + pair_slots`` rows of a few integers. Each class backs off from
+    ``2 * 2**word_bits + pair_slots`` rows of a few integers. Each class backs off from
     pairs to how many words its words follow, and from there to the same counts of both
     classes together, so that what is rare in both tells little.
     """
-    size = 1 << (word_bits + 1)
+    size = 1 << word_bits
     pairs = cut(count_pairs(learn, word_bits))
     sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
     kinds = [F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"k{c}") for c in (0, 1)]
-    before = F.shiftright("pair", word_bits + 1).cast("int").alias("before")
+    before = F.shiftright("pair", word_bits).cast("int").alias("before")
     after = F.col("pair").bitwiseAND(size - 1).cast("int").alias("after")
 
-    types = np.zeros((3, size), dtype=np.int64)
+    types = np.zeros((3, size), dtype=np.int32)
     got = pairs.groupBy(after).agg(*kinds, F.count(F.lit(1)).cast("int").alias("k2")).toPandas()
     for c in range(3):
         types[c, got["after"]] = got[f"k{c}"]
     shared = continuation(types[2], 1 / (int((types[2] > 0).sum()) + 1))
     alone = np.stack([continuation(types[c], shared) for c in (0, 1)])
+    del got, types, shared
 
     # The discount of pairs, from how many occur once and twice.
     spots = pairs.agg(
@@ -144,12 +145,13 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     once, twice = (np.array([spots[f"n{c}_{k}"] for c in (0, 1)], dtype=float) for k in (1, 2))
     cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
 
-    total, follow = np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int64)
+    total, follow = np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int32)
     got = pairs.groupBy(before).agg(*sums, *kinds).toPandas()
     for c in (0, 1):
         total[c, got["before"]] = got[f"n{c}"]
         follow[c, got["before"]] = got[f"k{c}"]
     gamma = np.where(total > 0, cuts[:, None] * follow / np.maximum(total, 1), 1.0)
+    del got, follow
 
     rank = F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")
     best = pairs.groupBy((F.col("pair") % pair_slots).alias("slot")).agg(F.max(rank).alias("best"))
@@ -158,7 +160,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     own = np.zeros((2, pair_slots), dtype=np.float32)
     pair = best["pair"].to_numpy()
     held[pair % pair_slots] = pair
-    left, right = pair >> (word_bits + 1), pair & (size - 1)
+    left, right = pair >> word_bits, pair & (size - 1)
     for c in (0, 1):
         kept = np.maximum(best[f"n{c}"].to_numpy() - cuts[c], 0) / np.maximum(total[c, left], 1)
         own[c, pair % pair_slots] = np.log(kept + gamma[c, left] * alone[c, right])

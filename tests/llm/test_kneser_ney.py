@@ -58,7 +58,7 @@ def test_model_against_dictionaries(spark, taught):
             kinds = sum(1 for x, _ in count[c] if x == a)
             want = (max(count[c][a, b] - cut, 0) + cut * kinds * back) / total if total else back
             ids = np.array([numbers[a.encode()] if a else 0, numbers[b.encode()]])
-            pair = int(ids[0] << 17 | ids[1])
+            pair = int(ids[0] << 16 | ids[1])
             slot = pair % SMALL["pair_slots"]
             got = model.pair[c, slot] if model.held[slot] == pair else model.gamma[c, ids[0]] + model.word[c, ids[1]]
             assert got == pytest.approx(math.log(want), abs=1e-3), (c, a, b)
