@@ -204,7 +204,7 @@ def fit(learn: DataFrame, share: float = SHARE) -> Trees:
             sizes = rows.groupBy("lang", "context").agg(F.sum("n").alias("size"))
             kept = sizes.join(totals, "lang").where(F.col("size") >= F.col("total") * share)
             rows = rows.join(kept.select("lang", "context"), ["lang", "context"], "left_semi")
-        for lang, group in rows.toPandas().groupby("lang"):
+        for lang, group in rows.toArrow().to_pandas().groupby("lang"):
             found.setdefault(lang, []).append(group)
     none = pd.DataFrame({"context": [], "byte": [], "n": []}, dtype=np.int64)
     return make_trees({lang: (rows + [none] * ORDER)[: ORDER + 1] for lang, rows in found.items()})

@@ -191,7 +191,7 @@ def fit(
     counts = learn.groupBy(step("statistics").alias("step")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")
     )
-    got = counts.toPandas().sort_values("step")
+    got = counts.toArrow().to_pandas().sort_values("step")
     levels = pool_adjacent((got["good"] / got["n"]).to_numpy(dtype=float), got["n"].to_numpy(dtype=float))
     # Steps without a learned row lie between their neighbours.
     model.levels = np.interp(np.arange(steps), got["step"].to_numpy(), levels)

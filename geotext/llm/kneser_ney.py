@@ -131,7 +131,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     after = F.col("pair").bitwiseAND(size - 1).cast("int").alias("after")
 
     types = np.zeros((3, size), dtype=np.int32)
-    got = pairs.groupBy(after).agg(*kinds, F.count(F.lit(1)).cast("int").alias("k2")).toPandas()
+    got = pairs.groupBy(after).agg(*kinds, F.count(F.lit(1)).cast("int").alias("k2")).toArrow().to_pandas()
     for c in range(3):
         types[c, got["after"]] = got[f"k{c}"]
     shared = continuation(types[2], 1 / (int((types[2] > 0).sum()) + 1))
@@ -146,7 +146,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
 
     total, follow = np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int32)
-    got = pairs.groupBy(before).agg(*sums, *kinds).toPandas()
+    got = pairs.groupBy(before).agg(*sums, *kinds).toArrow().to_pandas()
     for c in (0, 1):
         total[c, got["before"]] = got[f"n{c}"]
         follow[c, got["before"]] = got[f"k{c}"]
@@ -155,7 +155,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
 
     rank = F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")
     best = pairs.groupBy((F.col("pair") % pair_slots).alias("slot")).agg(F.max(rank).alias("best"))
-    best = best.select("best.pair", "best.n0", "best.n1").toPandas()
+    best = best.select("best.pair", "best.n0", "best.n1").toArrow().to_pandas()
     held = np.full(pair_slots, -1, dtype=np.int64)
     own = np.zeros((2, pair_slots), dtype=np.float32)
     pair = best["pair"].to_numpy()
@@ -207,7 +207,7 @@ def score_toxicity(
             yield pd.DataFrame(rows, columns=["ordinary", "toxic", "alone", "highest"])
 
     kept = taught.where(held).select("doc_id", "label", judge("text").alias("f"))
-    few = bounded_sample(kept.select("doc_id", "label", "f.*"), calibration_rows).toPandas()
+    few = bounded_sample(kept.select("doc_id", "label", "f.*"), calibration_rows).toArrow().to_pandas()
     x = np.c_[few["toxic"] - few["ordinary"], few["alone"], few["highest"]].astype(float)
     y = few["label"].to_numpy(dtype=float)
     if not few.size or y.min() == y.max():
