@@ -73,7 +73,7 @@ def neighbour_join(
 
 def _in_parts(df, parts, keys, key, own: str, other: str) -> DataFrame:
     """Give each row of a hot key one part of its own side and every part of the other."""
-    joined = df.join(F.broadcast(parts), keys, "left").withColumn(
+    joined = df.join(skew.few_or_shuffled(parts), keys, "left").withColumn(
         "parts", F.coalesce("parts", F.lit(1))
     )
     return joined.withColumns(

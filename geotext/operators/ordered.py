@@ -138,11 +138,18 @@ def drop_right_while(
     """Drop each group's longest trailing run of rows that match."""
     group = list(group)
     kept = F.when(~F.coalesce(matches, F.lit(False)), F.col(order))
-    last = df.groupBy(*group).agg(F.max(kept).alias("_last"))
+    last = df.groupBy(*group).agg(F.max(kept).alias("_last"), F.count(F.lit(1)).alias("_rows"))
     if not group:
         # One row, read as a scalar: no join at all.
-        return df.where(F.col(order) <= last.scalar())
-    return attach(df, last, group, null_safe=True).where(F.col(order) <= F.col("_last")).drop("_last")
+        return df.where(F.col(order) <= last.select("_last").scalar())
+    kept_rows = attach(df, last, group, null_safe=True, count="_rows")
+    return kept_rows.where(F.col(order) <= F.col("_last")).drop("_last", "_rows")
+
+
+def drop_right_while_text(text: Column | str, characters: str) -> Column:
+    """A text without its longest trailing run of these characters; NULL stays NULL."""
+    inside = "".join("\\" + c if c in "\\]^-[&~" else c for c in characters)
+    return F.regexp_replace(text, f"[{inside}]+\\z", "") if characters else F.col(text) if isinstance(text, str) else text
 
 
 def zip_safe(

@@ -55,11 +55,11 @@ def normalize(df: DataFrame, column: str, name: str, group: Sequence[str] = ())
     if not group:
         total = df.agg(F.sum(value)).scalar()
         return df.withColumn(name, F.try_divide(value, total))
-    totals = df.groupBy(*group).agg(F.sum(value).alias("_total"))
+    totals = df.groupBy(*group).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_rows"))
     return (
-        attach(df, totals, list(group), null_safe=True)
+        attach(df, totals, list(group), null_safe=True, count="_rows")
         .withColumn(name, F.try_divide(value, F.col("_total")))
-        .drop("_total")
+        .drop("_total", "_rows")
     )
 
 

@@ -9,31 +9,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geotext.session import cut
 
+#: Rows of one key that one task takes, whatever the table holds.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
+
+#: A list of hot keys up to this long is broadcast; a longer one is joined by shuffle.
+BROADCAST_KEYS = 10_000
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], rows: int | None = None, hot_rows: int | None = None
 ) -> DataFrame | None:
-    """Keys with more than ``max(hot_rows, total / MAX_HOT_KEYS)`` rows, or None if there are none.
+    """``(keys, hot_rows)`` of keys with more than ``hot_rows`` rows, stored, or None if there are none.
 
-    A key must hold over a thousandth of all rows, so there are at most MAX_HOT_KEYS of
-    them whatever the table holds: small enough to broadcast, by construction.
+    There are at most as many of them as ``hot_rows`` goes into the table.
     ``rows`` is an upper bound on the rows of any key, if the caller knows one.
     """
     hot_rows = hot_rows or HOT_ROWS
     if rows is not None and rows <= hot_rows:
         return None
-    total = df.count()
-    if total <= hot_rows:
-        return None
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
     # Counted before the shuffle, so the hot key itself costs one row per task.
-    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(f"hot_rows > {limit}"))
+    return _if_any(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")), hot_rows)
+
+
+def _if_any(sizes: DataFrame, hot_rows: int) -> DataFrame | None:
+    hot = cut(sizes.where(F.col("hot_rows") > hot_rows))
     return None if hot.isEmpty() else hot
 
 
+def few_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A stored list of keys, to be broadcast if it is short."""
+    short = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(keys) if short else keys
+
+
 def attach(
     big: DataFrame,
     per_key: DataFrame,
@@ -42,25 +50,35 @@ def attach(
     rows: int | None = None,
     hot_rows: int | None = None,
     null_safe: bool = False,
+    count: str | None = None,
 ) -> DataFrame:
     """Join ``big`` to a table with boundedly many rows per key, most often one.
 
-    Rows of hot keys are joined by broadcast, so they stay where they are; the matching
-    rows of ``per_key``, which belong to at most MAX_HOT_KEYS keys, travel to them. All
-    other rows take the ordinary shuffle join. To find hot keys ``big`` is counted first,
-    so hand in a table that is stored or cheap to compute, or a bound in ``rows``.
-    With ``null_safe``, NULL is a key too.
+    The rows of a key over ``hot_rows`` are dealt to as many parts as they need by a hash of the whole
+    row, and the key's rows of ``per_key`` are copied to each part, so that no task takes more of
+    one key however large the table is. (Rows alike in all columns stay together.) Tell
+    what is known of the keys' sizes: a bound in ``rows``, or in ``count`` the
+    column of ``per_key`` that holds each key's rows in ``big``; else ``big`` is
+    counted first. With ``null_safe``, NULL is a key too.
     """
-    hot = hot_keys(big, keys, rows, hot_rows)
+    hot_rows = hot_rows or HOT_ROWS
+    if count is not None:
+        per_key = cut(per_key)
+        hot = _if_any(per_key.select(*keys, F.col(count).alias("hot_rows")), hot_rows)
+    else:
+        hot = hot_keys(big, keys, rows, hot_rows)
     if hot is None:
         return _join(big, per_key, keys, how, null_safe)
-    hot = hot.select(*keys)
-    hot_side = _join(big, F.broadcast(hot), keys, "left_semi", True)
-    cold_side = _join(big, F.broadcast(hot), keys, "left_anti", True)
-    hot_values = cut(_join(per_key, F.broadcast(hot), keys, "left_semi", True))
-    return _join(hot_side, F.broadcast(hot_values), keys, how, null_safe).unionByName(
-        _join(cold_side, per_key, keys, how, null_safe)
-    )
+    tag = f"_{uuid.uuid4().hex[:8]}"
+    parts = F.ceil(F.col("hot_rows") / hot_rows).cast("int").alias(tag)
+    listed = few_or_shuffled(hot.select(*keys, parts))
+    n = F.coalesce(F.col(tag), F.lit(1))
+    deal = F.when(n > 1, F.pmod(F.xxhash64(*big.columns), n)).otherwise(0).cast("int")
+    # By hand: a table that is already dealt by the key alone would pass as it is.
+    left = _join(big, listed, keys, "left", True).withColumn(tag, deal).repartition(*keys, tag)
+    copies = F.explode(F.sequence(F.lit(0), n - 1))
+    right = _join(per_key, listed, keys, "left", True).withColumn(tag, copies)
+    return _join(left, right, [*keys, tag], how, null_safe).drop(tag)
 
 
 def _join(

@@ -55,7 +55,7 @@ def min_rows_gate(
 ) -> DataFrame:
     """Mark each point with ``clustered``: whether its author has at least ``min_rows`` points."""
     sizes = points.groupBy(by).agg(F.count(F.lit(1)).alias("n_points"))
-    return attach(points, sizes, [by], rows=rows).withColumn(
+    return attach(points, sizes, [by], rows=rows, count="n_points").withColumn(
         "clustered", F.col("n_points") >= min_rows
     )
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +21,37 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the plans are tuned for; results do not depend on them."""
+    """Set the runtime options the plans are tuned for; results do not depend on them.
+
+    Sends the package to the workers, once per application, so that they need no copy of their own.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+#: The driver serves the archive from here as long as it lives.
+_archives = tempfile.TemporaryDirectory(prefix="geotext-package-")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add the package's modules as a zip file to those that workers import."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(_archives.name).resolve() / f"{context.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as package:
+        for module in sorted(root.rglob("*.py")):
+            package.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local session without one gets a new folder."""
     context = spark.sparkContext

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -91,8 +93,31 @@ def test_one_round_by_its_parts(spark):
     assert kmeans.dispersion(assigned).first()[0] == pytest.approx(result.dispersion)
 
 
-def test_model_size_is_checked(spark, monkeypatch):
-    _, points = clumps(spark)
-    monkeypatch.setattr(kmeans, "MAX_MODEL_VALUES", 5)
-    with pytest.raises(ValueError, match="more than"):
-        kmeans.kmeans_assign(points, starts(spark, [0, 0], [1, 1], [2, 2]))
+def test_zero_vectors_have_no_cluster_under_cosine(spark):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(10)] + [(10 + i, [0.01 * i, 1.0]) for i in range(10)] + [(99, [0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id int, vec array<double>")
+    starts = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0])], "restart int, cid int, vec array<double>")
+    result = kmeans.kmeans_lloyd(points, 2, "cosine", starts=starts)
+    assert result.without_cluster == 1
+    assert result.restarts.first()["rounds"] < 10
+    assigned = kmeans.kmeans_assign(points, result.centroids, "cosine")
+    assert [tuple(r) for r in assigned.where("cid IS NULL").select("id", "d").collect()] == [(99, None)]
+    assert {r["cid"] for r in kmeans.centroid_update(assigned).collect()} == {0, 1}
+    got = kmeans.dispersion(assigned).first()["dispersion"]
+    assert got == pytest.approx(result.final_dispersion) and got <= result.dispersion + 1e-12
+
+
+def test_workers_get_the_package(spark):
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, %r); from pyspark.sql import SparkSession; from geotext.session import configure; "
+        "from geotext.operators import kmeans; "
+        "s = configure(SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()); "
+        "p = s.createDataFrame([(0, [1.0]), (1, [2.0])], 'id int, vec array<double>'); "
+        "c = s.createDataFrame([(0, [1.0])], 'cid int, vec array<double>'); "
+        "print('rows', kmeans.kmeans_assign(p, c).count(), len(kmeans.kmeans_assign(p, c).collect()))"
+    ) % str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True, timeout=120)
+    assert "rows 2 2" in done.stdout, done.stderr[-2000:]

@@ -1,14 +1,21 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from geotext.plans import text
 from geotext.sources import posts, tables
-from geotext.streaming.posts import collect_stream, collected_counts, stream_classify, stream_to_table
+from geotext.streaming.posts import (
+    collect_stream,
+    collected_total,
+    stream_classify,
+    stream_print,
+    stream_to_table,
+)
 
 TEXTS = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und", "de")]
 
@@ -129,12 +136,43 @@ def test_collect_stops_over_the_limit_and_goes_on_after_a_restart(spark, tmp_pat
     root, state = str(tmp_path / "out"), str(tmp_path / "state")
     for limit, total in ((20, 30), (20, 30), (35, 40), (1000, 50)):
         stream = posts.stream_text(spark, stream_dir, files_per_batch=1)
-        collector = collect_stream(stream, root, state, limit=limit, interval=None)
+        collector = collect_stream(stream, root, state, limit=limit, partitions=5, interval=None)
         assert collector.wait() == total
-        assert sum(collected_counts(spark, root).values()) == total
+        assert collected_total(spark, root) == total
     saved = posts.read_text(spark, root)
     assert saved.select("user.name").distinct().count() == 50
-    assert len(list((tmp_path / "out" / "batch_id=0").glob("part-*"))) == 5
+    (stream,) = (tmp_path / "out").glob("stream=*")
+    assert len(list((stream / "batch_id=0").glob("part-*"))) == 5
+
+
+def test_a_new_checkpoint_adds_to_the_sink(spark, tmp_path, stream_dir):
+    root = str(tmp_path / "out")
+    first = posts.stream_text(spark, stream_dir, files_per_batch=1)
+    assert collect_stream(first, root, str(tmp_path / "s1"), limit=20, interval=None).wait() == 30
+    second = posts.stream_text(spark, stream_dir, files_per_batch=1)
+    assert collect_stream(second, root, str(tmp_path / "s2"), limit=45, interval=None).wait() == 50
+    assert posts.read_text(spark, root).count() == 50
+    assert len(list((tmp_path / "out").glob("stream=*"))) == 2
+
+
+def test_a_failure_is_raised_even_when_the_limit_is_reached(spark, tmp_path, stream_dir):
+    boom = F.when(F.length("text") >= 0, F.raise_error(F.lit("boom"))).cast("string")
+    bad = posts.stream_text(spark, stream_dir).withColumn("text", boom)
+    collector = collect_stream(bad, str(tmp_path / "out"), str(tmp_path / "s"), limit=5, interval=None)
+    with pytest.raises(StreamingQueryException):
+        collector.full.set()
+        while collector.query.isActive:
+            time.sleep(0.1)
+        collector.wait()
+
+
+def test_stream_print(spark, stream_dir, capfd):
+    query = stream_print(posts.stream_text(spark, stream_dir), rows=3, interval="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert "Batch: 0" in capfd.readouterr().out
 
 
 def test_stream_classify_equals_batch(spark, tmp_path, stream_dir, documents):
