@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from geotext.catalog.inputs import (
     CANDIDATES_SQL,
     CENTRES_SQL,
+    FULL_GRID,
+    FULL_GRID_SQL,
     GRID,
+    GRID_SQL,
     POSTS_SQL,
     TRUTH_SQL,
     VISITS_SQL,
@@ -250,19 +253,14 @@ def cluster_centre_median_query(spark, sf):
 @query(
     "run_density",
     clustering_sql(
-        """SELECT eps, m, user_id, count(*) AS clusters, round(min(lat), 8) AS min_lat,
-          round(max(lon), 8) AS max_lon FROM centres GROUP BY eps, m, user_id""",
+        _CENTRES,
         POSTS_SQL,
         CENTRES_SQL,
     ),
 )
 def run_density_query(spark, sf):
     sites = split_sites(points(spark, sf))
-    return homes.cluster_candidates(sites, GRID).groupBy("eps", "m", "user_id").agg(
-        F.count(F.lit(1)).alias("clusters"),
-        F.round(F.min("lat"), ROUND_CENTRE).alias("min_lat"),
-        F.round(F.max("lon"), ROUND_CENTRE).alias("max_lon"),
-    )
+    return _rounded(homes.cluster_candidates(sites, GRID), "lat", "lon", to=ROUND_CENTRE)
 
 
 @query(
@@ -330,12 +328,17 @@ def join_truth_predictions_query(spark, sf):
 
 @query(
     "nearest_candidate",
-    clustering_sql("SELECT eps, m, user_id, round(d, 6) AS d FROM nearest", VISITS_SQL, *_EVALUATION),
+    clustering_sql(
+        "SELECT eps, m, user_id, round(d, 6) AS d, round(lat, 8) AS lat, round(lon, 8) AS lon FROM nearest",
+        VISITS_SQL,
+        *_EVALUATION,
+    ),
 )
 def nearest_candidate_query(spark, sf):
     candidates, truth, _ = _predicted(spark, sf)
     nearest = homes.nearest_candidate(candidates, truth, ["eps", "m"], GRID)
-    return _rounded(nearest.select("eps", "m", "user_id", "d"), "d")
+    nearest = _rounded(nearest, "lat", "lon", to=ROUND_CENTRE)
+    return _rounded(nearest.select("eps", "m", "user_id", "d", "lat", "lon"), "d")
 
 
 @query(
@@ -401,6 +404,16 @@ def grid_search_query(spark, sf):
     return _rounded_scores(_searched(posts(spark, sf)))
 
 
+@query(
+    "grid_search_full",
+    clustering_sql(_SCORES, POSTS_SQL, *_EVALUATION, _SCORES_SQL).replace(GRID_SQL, FULL_GRID_SQL),
+)
+def grid_search_full_query(spark, sf):
+    """Four distances by five numbers of neighbours."""
+    made = posts(spark, sf)
+    return _rounded_scores(homes.grid_search(points_of(made), homes.author_truth(made), FULL_GRID))
+
+
 @query("grid_search_small_authors", clustering_sql(_SCORES, VISITS_SQL, *_EVALUATION, _SCORES_SQL))
 def grid_search_small_authors_query(spark, sf):
     return _rounded_scores(_searched(visits(spark, sf)))

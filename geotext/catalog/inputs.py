@@ -15,6 +15,11 @@ EPS = (0.05, 0.1, 0.2)
 MIN_NEIGHBOURS = (1, 3, 5)
 GRID = Settings(eps_values=EPS, min_neighbours=MIN_NEIGHBOURS)
 
+#: As many configurations as the full search has, at sizes where the derived posts have neighbours.
+FULL_EPS = (0.02, 0.05, 0.1, 0.2)
+FULL_MIN_NEIGHBOURS = (1, 2, 3, 5, 10)
+FULL_GRID = Settings(eps_values=FULL_EPS, min_neighbours=FULL_MIN_NEIGHBOURS)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,9 +79,13 @@ def km_sql(a: str, b: str) -> str:
       + pow(sin(radians({b}.lon - {a}.lon) / 2), 2) * cos(radians({a}.lat)) * cos(radians({b}.lat))))))"""
 
 
-GRID_SQL = "grid(eps, m) AS (VALUES {})".format(
-    ", ".join(f"(CAST({e} AS DOUBLE), {m})" for e in EPS for m in MIN_NEIGHBOURS)
-)
+def _grid_sql(eps_values: tuple[float, ...], min_neighbours: tuple[int, ...]) -> str:
+    rows = ", ".join(f"(CAST({e} AS DOUBLE), {m})" for e in eps_values for m in min_neighbours)
+    return f"grid(eps, m) AS (VALUES {rows})"
+
+
+GRID_SQL = _grid_sql(EPS, MIN_NEIGHBOURS)
+FULL_GRID_SQL = _grid_sql(FULL_EPS, FULL_MIN_NEIGHBOURS)
 
 PAIRS_SQL = f"""
 pairs AS MATERIALIZED (

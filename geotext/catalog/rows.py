@@ -66,9 +66,21 @@ def normalize_query(spark, sf):
 @query(
     "normalize_values",
     """SELECT o_custkey, o_orderkey,
-      round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders""",
+      round(o_totalprice / sum(o_totalprice) OVER () * 1000000, 6) AS share FROM orders""",
 )
 def normalize_values_query(spark, sf):
+    """Each value of a (key, value) table over the total of all of them; the key stays."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    shared = rows.normalize(orders, "o_totalprice", "share")
+    return shared.select("o_custkey", "o_orderkey", F.round(F.col("share") * 1000000, 6).alias("share"))
+
+
+@query(
+    "normalize_values_by_key",
+    """SELECT o_custkey, o_orderkey,
+      round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders""",
+)
+def normalize_values_by_key_query(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     shared = rows.normalize(orders, "o_totalprice", "share", group=["o_custkey"])
     return shared.select("o_custkey", "o_orderkey", F.round("share", 6).alias("share"))
@@ -146,6 +158,15 @@ def drop_right_while_query(spark, sf):
     return ordered.drop_right_while(_events(spark, sf), trailing, "event_id", ["user_id"])
 
 
+@query(
+    "drop_right_while_text",
+    """SELECT p_partkey, rtrim(p_name, 'aeiourstn') AS name FROM part""",
+)
+def drop_right_while_text_query(spark, sf):
+    name = ordered.drop_right_while_text("p_name", "aeiourstn").alias("name")
+    return table(spark, sf, "part").select("p_partkey", name)
+
+
 @query(
     "zip_safe",
     """SELECT a.pos AS position, a.o_orderkey AS by_key, b.o_orderkey AS by_price FROM
@@ -163,6 +184,6 @@ def zip_safe_query(spark, sf):
     return zipped.select("position", "by_key", "by_price")
 
 
-@query("shuffle")
+@query("shuffle", "SELECT event_id FROM events")
 def shuffle_query(spark, sf):
     return rows.shuffle_rows(_events(spark, sf).select("event_id"), "event_id", seed=13)

@@ -12,7 +12,7 @@ from geotext.functions.text import char_bigrams, tokenize
 from geotext.operators.ordered import collect_chunks
 from geotext.operators.rows import counts, ungroup
 from geotext.plans import text as plans
-from geotext.session import at_least_cores, checkpoint_dir
+from geotext.session import at_least_cores, checkpoint_dir, cut
 from geotext.sources.posts import to_json_rows
 from geotext.streaming.posts import collect_stream, stream_classify, stream_to_table
 
@@ -38,7 +38,7 @@ def _tokens(spark, sf):
     "SELECT lang, count(*) AS cnt FROM documents GROUP BY lang",
 )
 def lang_counts_query(spark, sf):
-    return plans.lang_counts(_documents(spark, sf))
+    return plans.lang_counts(table(spark, sf, "documents"))
 
 
 @query(
@@ -47,7 +47,7 @@ def lang_counts_query(spark, sf):
     FROM documents""",
 )
 def num_languages_query(spark, sf):
-    return plans.num_languages(_documents(spark, sf))
+    return plans.num_languages(table(spark, sf, "documents"))
 
 
 @query(
@@ -55,7 +55,7 @@ def num_languages_query(spark, sf):
     "SELECT lang, source, text FROM documents ORDER BY doc_id LIMIT 10",
 )
 def sample_posts_query(spark, sf):
-    return plans.sample_posts(_documents(spark, sf), ["lang", "source", "text"], "doc_id")
+    return plans.sample_posts(table(spark, sf, "documents"), ["lang", "source", "text"], "doc_id")
 
 
 @query(
@@ -63,7 +63,7 @@ def sample_posts_query(spark, sf):
     "SELECT text, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL",
 )
 def project_text_lang_query(spark, sf):
-    return plans.project_text_lang(_documents(spark, sf))
+    return plans.project_text_lang(table(spark, sf, "documents"))
 
 
 @query(
@@ -122,14 +122,14 @@ def _chunked_sql(key: str, expression: str) -> str:
 @query("group_by_key", _chunked_sql("lang", "lang"))
 def group_by_key_query(spark, sf):
     """Document ids per language, in arrays of bounded length."""
-    return _chunked(_documents(spark, sf).select("lang", "doc_id"), "lang")
+    return _chunked(table(spark, sf, "documents").select("lang", "doc_id"), "lang")
 
 
 @query("group_collect", _chunked_sql("size_class", "n_chars // 1000"))
 def group_collect_query(spark, sf):
     """Document ids per derived key, in arrays of bounded length."""
     size_class = F.floor(F.col("n_chars") / 1000).alias("size_class")
-    return _chunked(_documents(spark, sf).select(size_class, "doc_id"), "size_class")
+    return _chunked(table(spark, sf, "documents").select(size_class, "doc_id"), "size_class")
 
 
 @query("hashed_term_counts")
@@ -186,7 +186,78 @@ def cluster_quality_query(spark, sf):
     return plans.cluster_quality(cluster_lang_counts_query(spark, sf))
 
 
-@query("to_json_rows")
+@query(
+    "cluster_lang_agrees",
+    "SELECT lang, count(*) AS n, true AS agrees, 0 AS wrong FROM documents WHERE text IS NOT NULL GROUP BY lang",
+)
+def cluster_lang_agrees_query(spark, sf):
+    """Counts, ranks, shares and purity of the fitted clusters, each worked out another way, per language."""
+    model, documents = _trained(spark, sf)
+    labels = cut(plans.classify(model, documents).select("doc_id", "lang", "prediction"))
+    made = plans.cluster_quality(plans.cluster_lang_counts(labels, plans.model_k(model)))
+    labels.createOrReplaceTempView(view := f"labels_{uuid.uuid4().hex}")
+    own = spark.sql(
+        f"""WITH c AS (SELECT prediction, lang, count(*) AS n FROM {view} GROUP BY prediction, lang),
+        s AS (SELECT prediction, count(*) AS size FROM {view} GROUP BY prediction),
+        b AS (SELECT prediction, max(n) AS best FROM c GROUP BY prediction)
+        SELECT c.prediction AS p, c.lang AS l, n AS own_n, n / size AS own_share, best / size AS own_purity,
+          (SELECT count(*) FROM c d WHERE d.prediction = c.prediction AND (d.n > c.n OR d.n = c.n AND d.lang < c.lang)) AS above
+        FROM c JOIN s ON s.prediction = c.prediction JOIN b ON b.prediction = c.prediction"""
+    )
+    both = made.join(own, (F.col("prediction") == F.col("p")) & F.col("lang").eqNullSafe(F.col("l")), "full")
+    same = (
+        (F.col("n") == F.col("own_n"))
+        & (F.col("share") == F.col("own_share"))
+        & (F.col("purity") == F.col("own_purity"))
+        & (F.col("rank") == F.col("above") + 1)
+    )
+    wrong = F.count_if(~F.coalesce(same, F.lit(False)))
+    by_lang = both.groupBy(F.coalesce("lang", "l").alias("lang"))
+    return by_lang.agg(F.sum("n").alias("n"), (wrong == 0).alias("agrees"), wrong.cast("int").alias("wrong"))
+
+
+@query(
+    "filter_cluster_agrees",
+    "SELECT doc_id, true AS kept_in_one, true AS as_classified FROM documents",
+)
+def filter_cluster_agrees_query(spark, sf):
+    """Every document is kept by the filter of the cluster that it is classified to, and by no other."""
+    model, documents = _trained(spark, sf)
+    whole = plans.classify(model, documents).select("doc_id", "prediction")
+    kept = plans.filter_cluster(model, documents, 0).select("doc_id", F.lit(0).alias("cluster"))
+    for k in range(1, plans.model_k(model)):
+        kept = kept.unionByName(
+            plans.filter_cluster(model, documents, k).select("doc_id", F.lit(k).alias("cluster"))
+        )
+    both = whole.join(kept, "doc_id", "left").groupBy("doc_id", "prediction")
+    return both.agg(F.count("cluster").alias("n"), F.max("cluster").alias("cluster")).select(
+        "doc_id",
+        (F.col("n") == 1).alias("kept_in_one"),
+        (F.col("cluster") == F.col("prediction")).alias("as_classified"),
+    )
+
+
+@query(
+    "stream_classify_agrees",
+    "SELECT doc_id, true AS agrees FROM documents",
+)
+def stream_classify_agrees_query(spark, sf):
+    """A stream keeps exactly the documents of the cluster that a batch keeps."""
+    model, documents = _trained(spark, sf)
+    path = _folder(spark, "agreed")
+    kept = stream_classify(model, _stream(spark, sf).select("doc_id", "text", "lang"), 0)
+    stream_to_table(kept.select("doc_id"), path, _folder(spark, "state"), interval=None).awaitTermination()
+    streamed = spark.read.schema("doc_id long").parquet(path).withColumn("streamed", F.lit(True))
+    whole = plans.classify(model, documents).select("doc_id", "prediction").join(streamed, "doc_id", "left")
+    agrees = (F.col("prediction") == 0) == F.coalesce("streamed", F.lit(False))
+    return whole.select("doc_id", agrees.alias("agrees"))
+
+
+@query(
+    "to_json_rows",
+    """SELECT CAST(json_object('conv_id', conv_id, 'turn', turn, 'role', role, 'text', text) AS VARCHAR) AS value
+    FROM conversations""",
+)
 def to_json_rows_query(spark, sf):
     return to_json_rows(table(spark, sf, "conversations"))
 

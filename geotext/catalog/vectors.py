@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geotext.catalog.inputs import table
 from geotext.catalog.registry import query
@@ -102,20 +102,79 @@ def kmeans_lloyd_query(spark, sf):
     return _by_axis(result.centroids)
 
 
+def spaced_starts(points: DataFrame, restarts: int) -> DataFrame:
+    """Fixed starts: restart r begins with K vectors from the (r * K)-th id on."""
+    first = points.orderBy("id").limit(restarts * K).select("id", "vec")
+    place = F.row_number().over(Window.orderBy("id")) - 1  # over restarts * K rows
+    return first.select(
+        F.floor(place / K).cast("int").alias("restart"), (place % K).cast("int").alias("cid"), "vec"
+    )
+
+
+_RESTARTS = 25
+
+
+def _restarts_sql(rounds: int) -> str:
+    """Dispersion of each restart against its centroids before round ``rounds``."""
+    parts = [
+        "vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)",
+        f"""c0 AS (SELECT CAST((n - 1) // {K} AS INTEGER) AS restart, CAST((n - 1) % {K} AS INTEGER) AS cid, vec
+          FROM (SELECT vec, row_number() OVER (ORDER BY id) AS n FROM vecs) WHERE n <= {_RESTARTS * K})""",
+    ]
+    d = DISTANCE_SQL.format(a="v.vec", b="c.vec")
+    for n in range(rounds):
+        parts.append(
+            f"""a{n} AS (SELECT restart, id, arg_min(cid, (d, cid)) AS cid, min(d) AS d
+            FROM (SELECT v.id, c.restart, c.cid, {d} AS d FROM vecs v CROSS JOIN c{n} c) GROUP BY restart, id)"""
+        )
+        parts.append(
+            f"""m{n} AS (SELECT restart, cid, list(x ORDER BY axis) AS vec FROM (
+              SELECT restart, cid, axis, avg(vec[axis]) AS x
+              FROM a{n} JOIN vecs USING (id) CROSS JOIN generate_series(1, 64) AS g(axis) GROUP BY restart, cid, axis)
+            GROUP BY restart, cid)"""
+        )
+        parts.append(
+            f"""c{n + 1} AS (SELECT restart, cid, coalesce(m{n}.vec, c{n}.vec) AS vec
+            FROM c{n} LEFT JOIN m{n} USING (restart, cid))"""
+        )
+    return "WITH " + ",".join(parts) + f"\nSELECT restart, round(sum(d * d), 6) AS dispersion FROM a{rounds - 1} GROUP BY restart"
+
+
+@query("kmeans_restart_dispersion", _restarts_sql(2))
+def kmeans_restart_dispersion_query(spark, sf):
+    """All restarts from fixed starts, two rounds: few enough for SQL to follow."""
+    points = vectors(spark, sf)
+    result = kmeans.kmeans_lloyd(points, K, starts=spaced_starts(points, _RESTARTS), max_rounds=2)
+    return result.restarts.select("restart", F.round("dispersion", 6).alias("dispersion"))
+
+
 @query("kmeans_lloyd_restarts")
 def kmeans_lloyd_restarts_query(spark, sf):
-    return kmeans.kmeans_lloyd(vectors(spark, sf), K, restarts=5, max_rounds=20).restarts
+    return kmeans.kmeans_lloyd(vectors(spark, sf), K, restarts=_RESTARTS, max_rounds=100).restarts
 
 
 @query("best_restart")
 def best_restart_query(spark, sf):
-    result = kmeans.kmeans_lloyd(vectors(spark, sf), K, restarts=5, max_rounds=20)
+    result = kmeans.kmeans_lloyd(vectors(spark, sf), K, restarts=_RESTARTS, max_rounds=100)
     return kmeans.best_restart(result.restarts)
 
 
-@query("sample_k")
+@query(
+    "sample_k",
+    f"""SELECT CAST(r AS INTEGER) AS restart, {K} AS picks, {K} AS distinct_picks, {K} AS among_vectors
+    FROM generate_series(0, {_RESTARTS - 1}) AS g(r)""",
+)
 def sample_k_query(spark, sf):
-    return kmeans.sample_k(vectors(spark, sf), K, restarts=5, seed=13).select("restart", "cid", "id")
+    """Per restart: how many picks, how many distinct ones, and how many are vectors of the table."""
+    points = vectors(spark, sf)
+    picks = kmeans.sample_k(points, K, restarts=_RESTARTS, seed=13)
+    known = points.select("id", F.col("vec").alias("known"))
+    same = F.count_if(F.col("vec") == F.col("known"))
+    return picks.join(known, "id", "left").groupBy("restart").agg(
+        F.count(F.lit(1)).cast("int").alias("picks"),
+        F.count_distinct("id").cast("int").alias("distinct_picks"),
+        same.cast("int").alias("among_vectors"),
+    )
 
 
 def _to_centre(name: str, on_arrays, sql: str) -> None:
