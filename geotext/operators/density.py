@@ -15,12 +15,17 @@ A cluster id is the lowest post id of its seed site (one_hop) or core sites (dbs
 
 from __future__ import annotations
 
+import itertools
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from geotext.functions.distance import EARTH_RADIUS_KM, distance
 from geotext.operators import blocks
 from geotext.operators.blocks import linked_cells
 from geotext.operators.cells import CELL, TILE, Geometry
@@ -31,6 +36,11 @@ from geotext.session import cut
 
 FOLD_SITES = 2_000
 
+#: A block of large authors is three times so many eps wide, with a margin of so many.
+BLOCK_RADII = 64
+#: Sites of one cell that a block goes through in one round.
+CELL_SITES = 8
+
 
 @dataclass(frozen=True)
 class Sites:
@@ -157,34 +167,35 @@ def _seeds_by_fold(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame:
 
 
 def _seeds_by_rounds(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame:
-    """Seeds of authors of any size, in parallel rounds.
+    """Seeds of authors of any size, in parallel rounds over large blocks of the map.
 
-    Sites of one cell cover each other, so only the earliest undecided site of a cell can
-    be the next seed there. It is one if no undecided earlier site is near it. Seeds
-    leave the table with everything they cover, until nothing is left. Per cell there is
-    one candidate, so the candidates and seeds near a tile are boundedly many, and each
-    round passes over the undecided sites without pairing them.
+    A block is ``3 * BLOCK_RADII`` eps wide and sees a margin around it. In each round a task goes
+    through the undecided sites of its block in post order: one that no seed covers, with no
+    earlier site near it that waits, is a seed. Sites of the margin wait for their own block.
+    Of a crowded cell a block sees the first ``CELL_SITES``, and what comes near the rest and after
+    them waits too. So a block's task is bounded, however many sites there are.
 
-    The number of rounds is the longest chain of sites that wait for one another: about
-    logarithmic for places in no particular order, long for an author whose posts run
-    along one unbroken line.
+    Seeds leave the table with everything they cover, until nothing is left. Rounds follow the number of
+    blocks, not of sites, along the longest chain of sites that wait for one another.
     """
     where = ["eps_id", "m", by]
     site = ["eps", "first_id", "lat", "lon"]
     undecided = cut(cores.select(*where, *site, *CELL, *TILE))
     found = cut(undecided.select(*where, *site).limit(0))
+    wide = F.col("eps") * BLOCK_RADII
+    in_cell = Window.partitionBy(*where, *CELL).orderBy("first_id")
+    fold = _block_fold(where, geometry)
     while not undecided.isEmpty():
-        firsts = undecided.groupBy(*where, *CELL).agg(
-            F.min(F.struct("first_id", "lat", "lon", "eps")).alias("c")
+        seen = undecided.withColumn("_n", F.row_number().over(in_cell)).where(F.col("_n") <= CELL_SITES + 1)
+        home = geometry.tile(F.col("lat"), F.col("lon"), wide)
+        placed = seen.select(
+            *where, *site, (F.col("_n") > CELL_SITES).alias("more"), *[c.alias("_" + n) for n, c in home.items()]
         )
-        candidates = cut(firsts.select(*where, "c.*"))
-        blocked = (
-            meet(undecided, candidates, where, geometry)
-            .where(F.col("p_first_id") > F.col("first_id"))
-            .select(*where, F.col("p_first_id").alias("first_id"))
-            .distinct()
+        spread = geometry.spread(placed.withColumn("_wide", wide), "_wide").withColumn(
+            "own", (F.col("_" + TILE[0]) == F.col(TILE[0])) & (F.col("_" + TILE[1]) == F.col(TILE[1]))
         )
-        seeds = cut(candidates.join(blocked, [*where, "first_id"], "left_anti"))
+        schema = undecided.select(*where, *site).schema
+        seeds = cut(spread.groupBy(*where, *TILE).applyInPandas(fold, schema))
         found = cut(found.unionByName(seeds))
         # A seed is near itself, so it leaves too.
         covered = meet(undecided, seeds, where, geometry).select(*where, "first_id").distinct()
@@ -192,6 +203,46 @@ def _seeds_by_rounds(cores: DataFrame, by: str, geometry: Geometry) -> DataFrame
     return found
 
 
+def _block_fold(where: list[str], geometry: Geometry):
+    """The ordered pass over one block's sites: returns its own new seeds."""
+    on_rows, round_earth = distance(geometry.distance).on_rows, geometry.distance == "haversine"
+
+    def fold(sites: pd.DataFrame) -> pd.DataFrame:
+        sites = sites.sort_values("first_id", ignore_index=True)
+        eps, at = float(sites["eps"].iloc[0]), sites[["lat", "lon"]].to_numpy(float)
+        if round_earth:
+            phi, lam = np.radians(at).T
+            x = np.c_[np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)]
+            reach = 2 * np.sin(min(eps / (2 * EARTH_RADIUS_KM), np.pi / 2)) * 1.001
+        else:
+            x, reach = at, eps * 1.001
+        # Cubes two reaches wide: what is within two reaches lies in this cube or one beside it.
+        cubes = [tuple(c) for c in np.floor(x / (2 * reach)).astype(np.int64).tolist()]
+        beside = list(itertools.product((-1, 0, 1), repeat=x.shape[1]))
+        seeds: dict[tuple, list[int]] = {}
+        waiting: dict[tuple, list[int]] = {}
+        crowded: dict[tuple, list[int]] = {}
+
+        def near(held: dict[tuple, list[int]], i: int, limit: float) -> bool:
+            some = [j for d in beside for j in held.get(tuple(map(operator.add, cubes[i], d)), ())]
+            return bool(some) and bool((on_rows(at[some], at[i]) < limit).any())
+
+        new = []
+        for i, (own, more) in enumerate(zip(sites["own"], sites["more"], strict=True)):
+            if near(seeds, i, eps):
+                continue
+            if more:
+                crowded.setdefault(cubes[i], []).append(i)
+            if not own or more or near(waiting, i, eps) or near(crowded, i, 2 * eps):
+                waiting.setdefault(cubes[i], []).append(i)
+            else:
+                seeds.setdefault(cubes[i], []).append(i)
+                new.append(i)
+        return sites.loc[new, [*where, "eps", "first_id", "lat", "lon"]]
+
+    return fold
+
+
 def _join_earliest_seed(placed, seeds, by, geometry, rows) -> DataFrame:
     """Each site takes, for each m, the earliest seed closer than eps.
 

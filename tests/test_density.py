@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from geotext.operators import density
 from geotext.operators.cells import Geometry
 from geotext.operators.density import density_cluster
 from geotext.operators.neighbours import neighbour_count, neighbour_join
@@ -71,11 +72,35 @@ def test_plane_distances(spark, tiny_limits, distance):
     check_labels(spark, posts, [0.002], [2], "dbscan", Geometry(distance), fold_sites=30)
 
 
-def test_an_ordered_track_needs_many_rounds_and_stays_exact(spark):
+@pytest.mark.parametrize(("radii", "cell_sites"), [(64, 8), (1, 1), (2, 3)])
+def test_an_ordered_track_stays_exact(spark, monkeypatch, radii, cell_sites):
+    monkeypatch.setattr(density, "BLOCK_RADII", radii)
+    monkeypatch.setattr(density, "CELL_SITES", cell_sites)
     posts = [(1, i, 40 + i * 0.0003, -80.0) for i in range(12)]
     check_labels(spark, posts, [0.07], [1], "one_hop", fold_sites=1)
 
 
+def test_small_blocks_and_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK_RADII", 2)
+    monkeypatch.setattr(density, "CELL_SITES", 2)
+    check_labels(spark, brute.skewed_posts(9, 120), [0.2], [1, 4], "one_hop", fold_sites=1)
+
+
+def test_a_long_track_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    whole = density.meet
+    monkeypatch.setattr(density, "meet", lambda *a, **k: rounds.append(1) or whole(*a, **k))
+    posts = [(1, i, 40 + i * 0.0003, -80.0) for i in range(5000)]
+    df = spark.createDataFrame(posts, SCHEMA)
+    labels = labels_of(density_cluster(df, [0.07], [1], fold_sites=1), 0.07, 1)
+    assert len(rounds) <= 20
+    want, last = {}, None
+    for i in range(5000):  # a seed covers the two after it, and the one between takes the earlier
+        last = i if last is None or i - last > 2 else last
+        want[i] = last
+    assert labels == want
+
+
 def test_labels_do_not_depend_on_partitioning(spark):
     df = spark.createDataFrame(brute.skewed_posts(5), SCHEMA)
     a = density_cluster(df.repartition(1), [0.1], [2]).toPandas()
