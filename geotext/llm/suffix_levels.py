@@ -29,8 +29,8 @@ BATCHES = 4
 #: Starts worked on at once; fewer than 2**24, as a place fills that many bits of a key.
 STRETCH = 1 << 20
 
-#: Contexts of one anchor that a task compares; more are compared start by start over the cluster.
-GROUP_CONTEXTS = 256
+#: Contexts of one anchor that a task compares, some 3 MB; more are compared start by start over the cluster.
+GROUP_CONTEXTS = 4096
 
 _PLACE = np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(4)
