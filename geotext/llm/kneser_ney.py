@@ -18,7 +18,9 @@ from geotext.llm.common import crc_share, cut, query, sigmoid_of, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
-WORD_BITS = 20
+WORD_BITS = 22
+#: A word before another is known by the lower bits of its hash.
+CONTEXT_BITS = 18
 #: Pairs with an estimate of their own, a prime; of pairs that share a slot the most frequent stays.
 PAIR_SLOTS = 1_048_573
 #: One in so many learned rows is kept from the counts, to calibrate on.
@@ -49,20 +51,20 @@ class WordNumbers(dict):
         return np.array([self[w] for w in words_of(text)], dtype=np.int64)
 
 
-def pairs_of(words: np.ndarray, bits: int) -> np.ndarray:
+def pairs_of(words: np.ndarray, bits: int, context_bits: int) -> np.ndarray:
     """Each word with the one before it, as one number."""
     before = np.concatenate([[0], words[:-1]]) if words.size else words
-    return before << bits | words
+    return (before & ((1 << context_bits) - 1)) << bits | words
 
 
-def count_pairs(learn: DataFrame, bits: int) -> DataFrame:
+def count_pairs(learn: DataFrame, bits: int, context_bits: int) -> DataFrame:
     """``pair, n0, n1``: how often each pair occurs in texts of either label (``text, label``)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = WordNumbers(bits)
         for pdf in batches:
             for label, group in pdf.groupby("label"):
-                parts = [pairs_of(numbers.of(t), bits) for t in group["text"]]
+                parts = [pairs_of(numbers.of(t), bits, context_bits) for t in group["text"]]
                 pair, n = np.unique(np.concatenate(parts), return_counts=True)
                 zero = np.zeros_like(n)
                 yield pd.DataFrame({"pair": pair, "n0": zero if label else n, "n1": n if label else zero})
@@ -78,13 +80,14 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [max(0.05, k - (k + 1) * y * n[k + 1] / n[k]) if n[k] else 0.5 for k in (1, 2, 3)])
 
 
-def continuation(types: np.ndarray, shared: np.ndarray | float) -> np.ndarray:
+def continuation(types: np.ndarray, shared: np.ndarray | np.float32) -> np.ndarray:
     """Probability of a word by how many words it follows, backed off to ``shared``."""
-    total = types.sum()
+    total = int(types.sum())
     if not total:
-        return np.zeros(types.shape) + shared
-    taken = np.minimum(discounts(types[types > 0])[np.minimum(types, 3)], types)
-    return (types - taken + taken.sum() * shared) / total
+        return np.zeros(types.shape, np.float32) + np.float32(1) * shared
+    taken = np.minimum(discounts(types[types > 0]).astype(np.float32)[np.minimum(types, 3)], types)
+    lost = np.float32(taken.sum(dtype=np.float64))
+    return ((types - taken + lost * shared) / np.float32(total)).astype(np.float32)
 
 
 @dataclass
@@ -96,6 +99,7 @@ class Model:
     """
 
     word_bits: int
+    context_bits: int
     word: np.ndarray
     gamma: np.ndarray
     held: np.ndarray
@@ -105,7 +109,7 @@ class Model:
         """Log-likelihood per word in either class, mean and highest difference by words alone."""
         if not words.size:
             return 0.0, 0.0, 0.0, 0.0
-        pairs = pairs_of(words, self.word_bits)
+        pairs = pairs_of(words, self.word_bits, self.context_bits)
         slot = pairs % self.held.size
         alone = self.word[:, words]
         backed = self.gamma[:, pairs >> self.word_bits] + alone
@@ -115,16 +119,21 @@ class Model:
         return float(ordinary), float(toxic), float(apart.mean()), float(apart.max())
 
 
-def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLOTS) -> Model:
+def fit(
+    learn: DataFrame,
+    word_bits: int = WORD_BITS,
+    context_bits: int = CONTEXT_BITS,
+    pair_slots: int = PAIR_SLOTS,
+) -> Model:
     """Both models from ``learn (text, label)``: every pair of every row is counted.
 
     Only sums by word hash and by slot meet the driver, at most
-    ``2 * 2**word_bits + pair_slots`` rows of a few integers. Each class backs off from
+    ``2**word_bits + 2**context_bits + pair_slots`` rows of a few integers. Each class backs off from
     pairs to how many words its words follow, and from there to the same counts of both
     classes together, so that what is rare in both tells little.
     """
-    size = 1 << word_bits
-    pairs = cut(count_pairs(learn, word_bits))
+    size, contexts = 1 << word_bits, 1 << context_bits
+    pairs = cut(count_pairs(learn, word_bits, context_bits))
     sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
     kinds = [F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"k{c}") for c in (0, 1)]
     before = F.shiftright("pair", word_bits).cast("int").alias("before")
@@ -134,7 +143,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     got = pairs.groupBy(after).agg(*kinds, F.count(F.lit(1)).cast("int").alias("k2")).toArrow().to_pandas()
     for c in range(3):
         types[c, got["after"]] = got[f"k{c}"]
-    shared = continuation(types[2], 1 / (int((types[2] > 0).sum()) + 1))
+    shared = continuation(types[2], np.float32(1 / (int((types[2] > 0).sum()) + 1)))
     alone = np.stack([continuation(types[c], shared) for c in (0, 1)])
     del got, types, shared
 
@@ -145,7 +154,7 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     once, twice = (np.array([spots[f"n{c}_{k}"] for c in (0, 1)], dtype=float) for k in (1, 2))
     cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
 
-    total, follow = np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int32)
+    total, follow = np.zeros((2, contexts), dtype=np.int64), np.zeros((2, contexts), dtype=np.int64)
     got = pairs.groupBy(before).agg(*sums, *kinds).toArrow().to_pandas()
     for c in (0, 1):
         total[c, got["before"]] = got[f"n{c}"]
@@ -164,8 +173,8 @@ def fit(learn: DataFrame, word_bits: int = WORD_BITS, pair_slots: int = PAIR_SLO
     for c in (0, 1):
         kept = np.maximum(best[f"n{c}"].to_numpy() - cuts[c], 0) / np.maximum(total[c, left], 1)
         own[c, pair % pair_slots] = np.log(kept + gamma[c, left] * alone[c, right])
-    word = np.log(alone).astype(np.float32)
-    return Model(word_bits, word, np.log(np.maximum(gamma, 1e-9)).astype(np.float32), held, own)
+    word = np.log(alone, out=alone)
+    return Model(word_bits, context_bits, word, np.log(np.maximum(gamma, 1e-9)).astype(np.float32), held, own)
 
 
 def score_toxicity(

@@ -15,7 +15,7 @@ from geotext.llm.kneser_ney import WordNumbers, discounts, drop_toxic, fit, pair
 from geotext.llm.labelled import fit_logistic, pool_adjacent
 
 SF = "/root/testdata/sf0.01"
-SMALL = {"word_bits": 16, "pair_slots": 4099}
+SMALL = {"word_bits": 16, "context_bits": 16, "pair_slots": 4099}
 
 
 def talk(maker, n, bad=0):
@@ -66,7 +66,7 @@ def test_model_against_dictionaries(spark, taught):
 
 def test_probabilities_sum_to_one():
     types = np.array([5, 1, 1, 2, 0, 9, 3])
-    assert kneser_ney.continuation(types, 1 / 7).sum() == pytest.approx(1)
+    assert kneser_ney.continuation(types, np.float32(1 / 7)).sum() == pytest.approx(1)
 
 
 def test_edges(spark, taught):
@@ -105,4 +105,5 @@ def test_fits():
     x = np.array([[0.0], [1], [2], [3]])
     w, b = fit_logistic(x, np.array([0.0, 0, 1, 1]))
     assert w[0] > 0 and b < 0
-    assert pairs_of(np.array([], dtype=np.int64), 4).size == 0
+    assert pairs_of(np.array([], dtype=np.int64), 4, 4).size == 0
+    assert pairs_of(np.array([9, 3, 6]), 4, 3).tolist() == [9, 1 << 4 | 3, 3 << 4 | 6]
