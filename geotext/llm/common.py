@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from geotext.catalog.registry import query
 from geotext.session import configure, cut
 
-__all__ = ["configure", "crc_share", "cut", "query", "row_key", "sigmoid_of", "table", "tree_sum"]
+__all__ = ["configure", "crc_share", "cut", "query", "sigmoid_of", "table", "tree_sum"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,15 +23,6 @@ def crc_share(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
-def row_key(name: str = "doc_id") -> Column:
-    """64 bits of an id to deal rows out by; nulls have a key too."""
-    return F.xxhash64(F.col(name))
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def sigmoid_of(column: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-column))
 
