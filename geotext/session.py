@@ -31,9 +31,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_shipped: set[str] = set()
-#: The driver serves the archive from here as long as it lives.
-_archives = tempfile.TemporaryDirectory(prefix="geotext-package-")
+#: Of each application that has the package: the folder from which its driver serves it, as long as it lives.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -41,17 +40,15 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    _shipped.add(context.applicationId)
+    folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="geotext-package-")
     root = Path(__file__).resolve().parent
-    archive = Path(_archives.name).resolve() / f"{context.applicationId}.zip"
+    archive = Path(folder.name).resolve() / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as package:
         for module in sorted(root.rglob("*.py")):
             package.write(module, module.relative_to(root.parent))
     context.addPyFile(str(archive))
 
 
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local session without one gets a new folder."""
     context = spark.sparkContext
