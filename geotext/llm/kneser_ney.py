@@ -14,7 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import crc_share, cut, query, sigmoid_of, table
+from geotext.llm.common import crc_share, query, sigmoid_of, stored, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
@@ -133,7 +133,7 @@ def fit(
     classes together, so that what is rare in both tells little.
     """
     size, contexts = 1 << word_bits, 1 << context_bits
-    pairs = cut(count_pairs(learn, word_bits, context_bits))
+    pairs = stored(count_pairs(learn, word_bits, context_bits))
     sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
     kinds = [F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"k{c}") for c in (0, 1)]
     before = F.shiftright("pair", word_bits).cast("int").alias("before")
