@@ -229,10 +229,10 @@ def _block_fold(where: list[str], geometry: Geometry):
 
         new = []
         for i, (own, more) in enumerate(zip(sites["own"], sites["more"], strict=True)):
+            if more:  # also when a seed covers it, which need not cover the rest
+                crowded.setdefault(cubes[i], []).append(i)
             if near(seeds, i, eps):
                 continue
-            if more:
-                crowded.setdefault(cubes[i], []).append(i)
             if not own or more or near(waiting, i, eps) or near(crowded, i, 2 * eps):
                 waiting.setdefault(cubes[i], []).append(i)
             else:

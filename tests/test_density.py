@@ -65,6 +65,12 @@ def test_poles_and_the_180_degree_line(spark, fold_sites):
     check_labels(spark, posts, [2.0], [2], "dbscan", fold_sites=fold_sites)
 
 
+def test_a_seed_that_covers_the_last_seen_site_of_a_cell_does_not_cover_the_rest(spark):
+    cell = [(1, i, 0.9 + (i - 2) / 800, 0.1) for i in range(2, 11)]
+    posts = [(1, 1, 0.0, 0.1), *cell, (1, 11, 1.2, 0.1), (1, 12, 2.1, 0.1)]
+    check_labels(spark, posts, [1.0], [1], "one_hop", Geometry("euclidean"), fold_sites=5)
+
+
 @pytest.mark.parametrize("distance", ["euclidean", "manhattan"])
 def test_plane_distances(spark, tiny_limits, distance):
     posts = brute.skewed_posts(4, 120)
