@@ -1,7 +1,12 @@
 """Toxicity by two Kneser-Ney models of word pairs, one of toxic and one of ordinary texts.
 
-Words are known by a hash of ``WORD_BITS`` bits, so the tables of a model have a fixed size
-whatever the corpus; what is counted into them is every pair of every learned text.
+Every pair of every learned text is counted, and every counted pair and word keeps an estimate of
+its own, in a stored Spark table that grows with what is learned. A log-likelihood is a sum over a
+text's words and pairs, so texts meet the table in one join. Of the table only the commonest
+rows are broadcast, so that common keys need not be shuffled; all others are found by the join.
+
+``fit`` makes a smaller model for callers who name its sizes: words by a hash of so many bits, and pairs in
+slots, all in the memory of a worker.
 """
 
 from __future__ import annotations
@@ -12,7 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 from geotext.llm.common import crc_share, query, sigmoid_of, stored, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
@@ -29,6 +36,13 @@ CALIBRATION_SHARE = 8
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 
+#: Rows of the table that every worker holds, the commonest; the others are joined.
+KNOWN_KEYS = 1_000_000
+#: Vocabularies up to this size are broadcast to the pairs, larger ones joined by shuffle.
+BROADCAST_WORDS = 500_000
+#: Texts worked on at once.
+TEXTS = 500
+
 #: Words whose hashes a worker remembers.
 KEPT_WORDS = 1_000_000
 
@@ -51,6 +65,10 @@ class WordNumbers(dict):
         return np.array([self[w] for w in words_of(text)], dtype=np.int64)
 
 
+def word_numbers() -> WordNumbers:
+    return WordNumbers(WORD_BITS)
+
+
 def pairs_of(words: np.ndarray, bits: int, context_bits: int) -> np.ndarray:
     """Each word with the one before it, as one number."""
     before = np.concatenate([[0], words[:-1]]) if words.size else words
@@ -75,7 +93,11 @@ def count_pairs(learn: DataFrame, bits: int, context_bits: int) -> DataFrame:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """By Chen and Goodman: for counts 0, 1, 2 and more."""
-    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float)
+    return discounts_of(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float))
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """The same from how many counts are 0, 1, 2 and so on."""
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
     return np.array([0.0] + [max(0.05, k - (k + 1) * y * n[k + 1] / n[k]) if n[k] else 0.5 for k in (1, 2, 3)])
 
@@ -177,6 +199,243 @@ def fit(
     return Model(word_bits, context_bits, word, np.log(np.maximum(gamma, 1e-9)).astype(np.float32), held, own)
 
 
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of 64 bits of two words' hashes."""
+    with np.errstate(over="ignore"):
+        h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + after.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def words_before(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], words[:-1]]).astype(np.int64) if words.size else words
+
+
+@F.pandas_udf(LongType())
+def pair_key(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series(pair_keys(before.to_numpy(), after.to_numpy()))
+
+
+def count_all(learn: DataFrame) -> DataFrame:
+    """``before, after, n0, n1``: how often each pair of words occurs in texts of either label."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = word_numbers()
+        for pdf in batches:
+            for label, group in pdf.groupby("label"):
+                texts = [numbers.of(t) for t in group["text"]]
+                after = np.concatenate(texts)
+                before = np.concatenate([words_before(w) for w in texts])
+                _, at, n = np.unique(pair_keys(before, after), return_index=True, return_counts=True)
+                zero = np.zeros_like(n)
+                both = {"n0": zero if label else n, "n1": n if label else zero}
+                yield pd.DataFrame({"before": before[at], "after": after[at], **both})
+
+    rows = learn.select("text", "label").mapInPandas(count, "before long, after long, n0 long, n1 long")
+    return rows.groupBy("before", "after").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+@dataclass
+class Estimates:
+    """Log probabilities of both classes for all that was counted, less those of unknown words.
+
+    ``rows``: ``key, n, x0, x1, y0, y1``. For a word ``x`` is its log probability after any other, ``y`` the log
+    weight of that after this word. For a pair ``x`` is what its own estimate adds to those two.
+    ``unknown``: the log probability of a word that was never counted; after one, the weight is 1.
+    """
+
+    rows: DataFrame
+    unknown: tuple[float, float]
+
+
+def estimate(learn: DataFrame) -> Estimates:
+    """As ``fit``, for ``learn (text, label)``, without a bound on words or pairs; only totals meet the driver."""
+    pairs = stored(count_all(learn))
+    kinds = [(F.col(f"n{c}") > 0).cast("long") for c in (0, 1)]
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def role(word: str, *values: Column) -> Column:
+        return F.struct(F.col(word).alias("word"), *[v.alias(k) for k, v in zip(names, values, strict=True)])
+
+    # Of each word: how often and before how many others it comes in either class, and after how many.
+    names = ["t0", "t1", "f0", "f1", "k0", "k1", "k2"]
+    roles = F.array(
+        role("before", F.col("n0"), F.col("n1"), *kinds, zero, zero, zero),
+        role("after", zero, zero, zero, zero, *kinds, one),
+    )
+    words = pairs.select(F.inline(roles)).groupBy("word").agg(*[F.sum(k).alias(k) for k in names])
+    words = stored(words)
+    spots = [F.count_if(F.col(f"k{c}") == k).alias(f"k{c}_{k}") for c in range(3) for k in range(1, 5)]
+    more = [F.count_if(F.col(f"k{c}") >= 3).alias(f"k{c}_more") for c in range(3)]
+    sums = [F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"k{c}_all") for c in range(3)]
+    seen = words.agg(*spots, *more, *sums, F.count_if(F.col("k2") > 0).alias("words"), F.count(F.lit(1)).alias("all"))
+    seen = seen.first()
+
+    def lower(c: int, back: tuple[Column, float]) -> tuple[Column, float]:
+        """``continuation`` as an expression, and of a word never counted."""
+        total = seen[f"k{c}_all"]
+        known, never = back
+        if not total:
+            return known, never
+        d = discounts_of(np.array([0, *[seen[f"k{c}_{k}"] for k in range(1, 5)], 0], dtype=float))
+        lost = seen[f"k{c}_1"] * min(d[1], 1) + seen[f"k{c}_2"] * min(d[2], 2) + seen[f"k{c}_more"] * d[3]
+        n = F.col(f"k{c}")
+        cut = F.when(n == 0, 0.0).when(n == 1, float(d[1])).when(n == 2, float(d[2])).otherwise(float(d[3]))
+        return (n - F.least(cut, n.cast("double")) + F.lit(float(lost)) * known) / total, float(lost) * never / total
+
+    base = 1 / (seen["words"] + 1)
+    shared = lower(2, (F.lit(base), base))
+    alone = [lower(c, shared) for c in (0, 1)]
+
+    spots = pairs.agg(
+        *[F.count_if(F.col(f"n{c}") == k).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)]
+    ).first()
+    once, twice = (np.array([spots[f"n{c}_{k}"] for c in (0, 1)], dtype=float) for k in (1, 2))
+    cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+
+    def weight(c: int) -> Column:
+        return F.when(F.col(f"t{c}") > 0, float(cuts[c]) * F.col(f"f{c}") / F.col(f"t{c}")).otherwise(1.0)
+
+    words = words.select(
+        "word",
+        "t0",
+        "t1",
+        *[F.log(alone[c][0]).alias(f"a{c}") for c in (0, 1)],
+        *[F.log(weight(c)).alias(f"g{c}") for c in (0, 1)],
+    )
+    few = seen["all"] <= BROADCAST_WORDS
+    # Sort-merge joins, which Spark splits where one word has many pairs.
+    first = words.select(F.col("word").alias("before"), "t0", "t1", "g0", "g1").hint("broadcast" if few else "merge")
+    last = words.select(F.col("word").alias("after"), "a0", "a1").hint("broadcast" if few else "merge")
+    own = []
+    for c in (0, 1):
+        backed = F.col(f"g{c}") + F.col(f"a{c}")
+        kept = F.greatest(F.col(f"n{c}") - float(cuts[c]), F.lit(0.0)) / F.greatest(F.col(f"t{c}"), F.lit(1))
+        own.append((F.log(kept + F.exp(backed)) - backed).cast("float").alias(f"x{c}"))
+    nothing = [F.lit(0.0).cast("float").alias(f"y{c}") for c in (0, 1)]
+    unknown = tuple(float(np.log(alone[c][1])) for c in (0, 1))
+    rows = pairs.join(first, "before").join(last, "after").select(
+        pair_key("before", "after").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *own, *nothing
+    )
+    singles = words.select(
+        F.col("word").alias("key"),
+        (F.col("t0") + F.col("t1")).alias("n"),
+        *[(F.col(f"a{c}") - unknown[c]).cast("float").alias(f"x{c}") for c in (0, 1)],
+        *[F.col(f"g{c}").cast("float").alias(f"y{c}") for c in (0, 1)],
+    )
+    return Estimates(stored(rows.unionByName(singles)), unknown)
+
+
+def commonest(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and values of at most ``limit`` rows with the highest ``n``."""
+    level = F.floor(F.log2(F.col("n") + 1) * 8)
+    least, held = None, 0
+    for at, n in sorted(rows.groupBy(level.alias("level")).count().toArrow().to_pandas().to_numpy().tolist())[::-1]:
+        held += n
+        if held > limit:
+            break
+        least = at
+    some = rows.where(level >= least) if least is not None else rows.limit(0)
+    got = some.select("key", "x0", "x1", "y0", "y1").toArrow().to_pandas().sort_values("key")
+    return got["key"].to_numpy(np.int64), got[["x0", "x1", "y0", "y1"]].to_numpy(np.float32)
+
+
+def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = None) -> DataFrame:
+    """``_text, ordinary, toxic, alone, highest`` for each different text of ``docs (text)``, as ``Model.features``.
+
+    ``_text`` is ``xxhash64`` of the text. Copies of a text count alike, in the sums and in what these are divided by.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(commonest(found.rows, KNOWN_KEYS if known_keys is None else known_keys))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values = known.value
+        numbers = word_numbers()
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("_text")
+            for start in range(0, len(pdf), TEXTS):
+                some = pdf.iloc[start : start + TEXTS]
+                yield ask_some(some["_text"].to_numpy(np.int64), [numbers.of(t) for t in some["text"]], keys, values)
+
+    asked = docs.select(F.xxhash64("text").alias("_text"), "text").mapInPandas(
+        ask, "_text long, key long, n int, m int, sums array<double>"
+    )
+    # Sort-merge, which Spark splits where one key is asked for by many texts.
+    met = asked.join(found.rows.drop("n").hint("merge"), "key", "left")
+    word, apart = (F.col("m") >= 0) & (F.col("n") > 0) & F.col("x0").isNotNull(), F.col("x1") - F.col("x0")
+    here = [F.coalesce(F.col("sums")[i], F.lit(0.0)) for i in range(5)]
+    parts = [F.col("n") * F.col(f"x{c}") + F.greatest("m", F.lit(0)) * F.col(f"y{c}") for c in (0, 1)]
+    parts = [*parts, F.when(word, F.col("n") * apart)]
+    sums = [F.sum(here[i] + F.coalesce(parts[i], F.lit(0.0))).alias(f"s{i}") for i in range(3)]
+    total = met.groupBy("_text").agg(
+        *sums,
+        F.sum(here[3]).alias("words"),
+        (F.sum(here[4]) - F.count_if(word)).alias("missed"),
+        F.max(F.greatest(F.col("sums")[5], F.when(word, apart))).alias("most"),
+    )
+    gap = found.unknown[1] - found.unknown[0]
+    none = F.col("words") == 0
+
+    def mean(column: str, of_unknown: float) -> Column:
+        return F.when(none, 0.0).otherwise(F.col(column) / F.col("words") + of_unknown)
+
+    most = F.when(F.col("missed") > 0, F.greatest(F.col("most"), F.lit(0.0))).otherwise(F.col("most"))
+    return total.select(
+        "_text",
+        mean("s0", found.unknown[0]).alias("ordinary"),
+        mean("s1", found.unknown[1]).alias("toxic"),
+        mean("s2", gap).alias("alone"),
+        F.when(none, 0.0).otherwise(most + gap).alias("highest"),
+    )
+
+
+def ask_some(texts: np.ndarray, words: list[np.ndarray], keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    """The words and pairs of some texts that are not in ``keys``, and one row a text with the sums over those that are.
+
+    ``n`` and ``m`` are how often a word comes after and before another; a pair has ``m`` = -1. ``sums``: ordinary,
+    toxic, difference by words, number of words, different words asked for, highest difference.
+    """
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for w in words:
+        before = words_before(w)
+        pair, times = np.unique(pair_keys(before, w), return_counts=True)
+        single, at = np.unique(np.concatenate([w, before]), return_inverse=True)
+        n, m = np.bincount(at[: w.size], minlength=single.size), np.bincount(at[w.size :], minlength=single.size)
+        parts.append((np.r_[single, pair], np.r_[n, times], np.r_[m, np.full(pair.size, -1)]))
+    key, n, m = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+    of = np.repeat(np.arange(len(words)), [p[0].size for p in parts])
+    spot = np.minimum(np.searchsorted(keys, key), max(keys.size - 1, 0))
+    held = keys[spot] == key if keys.size else np.zeros(key.size, dtype=bool)
+    x = values[spot[held]].astype(float)
+    sums = np.zeros((len(words), 6))
+    is_word, apart = (m[held] >= 0) & (n[held] > 0), x[:, 1] - x[:, 0]
+    for c in (0, 1):
+        np.add.at(sums[:, c], of[held], n[held] * x[:, c] + np.maximum(m[held], 0) * x[:, 2 + c])
+    np.add.at(sums[:, 2], of[held][is_word], (n[held] * apart)[is_word])
+    sums[:, 3] = [w.size for w in words]
+    np.add.at(sums[:, 4], of[~held & (m >= 0) & (n > 0)], 1)
+    sums[:, 5] = -np.inf
+    np.maximum.at(sums[:, 5], of[held][is_word], apart[is_word])
+    rest = ~held
+    asked = pd.DataFrame({"_text": texts[of[rest]], "key": key[rest], "n": n[rest], "m": m[rest]})
+    own = pd.DataFrame({"_text": texts, "key": texts, "n": 0, "m": -1, "sums": list(sums)})
+    asked["sums"] = None
+    return pd.concat([asked, own], ignore_index=True)
+
+
+def _judge(model: Broadcast):
+    @F.pandas_udf("struct<ordinary: double, toxic: double, alone: double, highest: double>")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        found = model.value
+        numbers = WordNumbers(found.word_bits)
+        for texts in batches:
+            rows = [found.features(numbers.of(t)) for t in texts]
+            yield pd.DataFrame(rows, columns=["ordinary", "toxic", "alone", "highest"])
+
+    return judge
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -197,7 +456,8 @@ def score_toxicity(
     counts leave out. Only rows where ``learn`` holds teach. A text without words (empty, null)
     has three zeros and the score of these. Without labels of both kinds every score is
     the share of label 1, and 0 without any. Columns of the four names are replaced; rows,
-    repeats and null ids too, stay.
+    repeats and null ids too, stay. Every counted pair and word keeps its estimate, unless the caller names
+    ``sizes`` for ``fit``.
     """
     known = one_label(labels, label, doc_id)
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -205,18 +465,19 @@ def score_toxicity(
         ids = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(calibration_share)) == 0
     taught = ids.join(known, "doc_id")
-    model = docs.sparkSession.sparkContext.broadcast(fit(taught.where(~held), **sizes))
-
-    @F.pandas_udf("struct<ordinary: double, toxic: double, alone: double, highest: double>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = model.value
-        numbers = WordNumbers(found.word_bits)
-        for texts in batches:
-            rows = [found.features(numbers.of(t)) for t in texts]
-            yield pd.DataFrame(rows, columns=["ordinary", "toxic", "alone", "highest"])
-
-    kept = taught.where(held).select("doc_id", "label", judge("text").alias("f"))
-    few = bounded_sample(kept.select("doc_id", "label", "f.*"), calibration_rows).toArrow().to_pandas()
+    names = ["ordinary", "toxic", "alone", "highest"]
+    if sizes:
+        judge = _judge(docs.sparkSession.sparkContext.broadcast(fit(taught.where(~held), **sizes)))
+        kept = taught.where(held).select("doc_id", "label", judge("text").alias("f")).select("doc_id", "label", "f.*")
+        judged = docs.withColumn("_judged", judge(text))
+    else:
+        texts = docs.select(F.col(text).alias("text"))
+        found = stored(text_features(texts, estimate(taught.where(~held))))
+        kept = taught.where(held).select("doc_id", "label", F.xxhash64("text").alias("_text"))
+        kept = kept.join(found.hint("merge"), "_text").select("doc_id", "label", *names)
+        one = found.select("_text", F.struct(*names).alias("_judged")).hint("merge")
+        judged = docs.withColumn("_text", F.xxhash64(text)).join(one, "_text").drop("_text")
+    few = bounded_sample(kept, calibration_rows).toArrow().to_pandas()
     x = np.c_[few["toxic"] - few["ordinary"], few["alone"], few["highest"]].astype(float)
     y = few["label"].to_numpy(dtype=float)
     if not few.size or y.min() == y.max():
@@ -230,8 +491,7 @@ def score_toxicity(
         + f["highest"] * float(weights[2])
         + float(start)
     )
-    out = docs.withColumn("_judged", judge(text))
-    out = out.withColumns(
+    out = judged.withColumns(
         {"log_ordinary": f["ordinary"], "log_toxic": f["toxic"], "score": sigmoid_of(linear)}
     ).drop("_judged")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -243,8 +503,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     renamed = docs.toDF(*names)
     at = {k: names[docs.columns.index(options.pop(k, k))] for k in ("doc_id", "text")}
     known = labels.withColumnRenamed("doc_id", at["doc_id"])
+    # A verdict depends on the text alone, so whole rows need not meet scores, only the few toxic texts.
+    renamed = renamed.withColumn("_key", F.xxhash64(at["text"]))
     judged = score_toxicity(renamed, known, **at, **options)
-    return judged.where("predicted = 0").select(*names).toDF(*docs.columns)
+    toxic = stored(judged.where("predicted = 1").select("_key").distinct())
+    return renamed.join(toxic, "_key", "left_anti").select(*names).toDF(*docs.columns)
 
 
 @query("op2_kneser_ney")

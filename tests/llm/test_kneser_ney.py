@@ -107,3 +107,78 @@ def test_fits():
     assert w[0] > 0 and b < 0
     assert pairs_of(np.array([], dtype=np.int64), 4, 4).size == 0
     assert pairs_of(np.array([9, 3, 6]), 4, 3).tolist() == [9, 1 << 4 | 3, 3 << 4 | 6]
+
+
+def brute_log_likelihoods(taught):
+    """Of each class, a function that gives a text's mean log probability, from ``(text, label)``."""
+    count = [Counter(), Counter()]
+    for text, label in taught:
+        words = ["", *text.split()]
+        count[label].update(zip(words, words[1:]))
+    shared = set(count[0]) | set(count[1])
+
+    def lower(pairs):
+        types = Counter(b for _, b in pairs)
+        d = discounts(np.array(list(types.values())))
+        lost = sum(min(d[min(n, 3)], n) for n in types.values())
+        return lambda w, back: (types[w] - min(d[min(types[w], 3)], types[w]) + lost * back) / len(pairs)
+
+    base, both = 1 / (len({b for _, b in shared}) + 1), lower(shared)
+
+    def of(c):
+        once, twice = (sum(n == k for n in count[c].values()) for k in (1, 2))
+        cut = once / (once + 2 * twice) if once else 0.5
+        own, total, kinds = lower(count[c]), Counter(), Counter(a for a, _ in count[c])
+        for (a, _), n in count[c].items():
+            total[a] += n
+
+        def log_of(a, b):
+            back = own(b, both(b, base))
+            return math.log((max(count[c][a, b] - cut, 0) + cut * kinds[a] * back) / total[a] if total[a] else back)
+
+        def mean(text):
+            words = ["", *text.split()]
+            return sum(map(log_of, words, words[1:])) / max(len(words) - 1, 1)
+
+        return mean
+
+    return of(0), of(1)
+
+
+def check_likelihoods(spark, vocabulary, known_keys, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "KNOWN_KEYS", known_keys, raising=False)
+    maker = random.Random(4)
+    rows = [(i, " ".join(maker.choices(vocabulary, k=60)), int(i % 4 == 0)) for i in range(400)]
+    rows += [(i, " ".join(maker.choices([*vocabulary, "never", "seen"], k=20)), None) for i in range(400, 440)]
+    rows += [(440, rows[0][1], None), (441, "", None), (442, rows[401][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    left_out = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(8)) == 0
+    taught = docs.where(~left_out & F.col("toxic").isNotNull()).select("text", "toxic").collect()
+    ordinary, toxic = brute_log_likelihoods(taught)
+    got = score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.log_ordinary == pytest.approx(ordinary(r.text), abs=1e-4), r.doc_id
+        assert r.log_toxic == pytest.approx(toxic(r.text), abs=1e-4), r.doc_id
+
+
+@pytest.mark.parametrize("known_keys", [0, 300])
+def test_every_counted_pair_keeps_its_estimate(spark, known_keys, monkeypatch):
+    """More than 10,000 different pairs, of which dozens would share one of 1,048,573 slots."""
+    check_likelihoods(spark, [f"w{i}" for i in range(150)], known_keys, monkeypatch)
+
+
+def test_whole_tables_as_fixed_ones_of_ample_size(spark, taught):
+    docs, labels = taught.select("doc_id", "text"), taught.select("doc_id", "toxic")
+    ample = {"word_bits": 20, "context_bits": 20, "pair_slots": 1_048_573}
+    want = {r.doc_id: r for r in score_toxicity(docs, labels, **ample).collect()}
+    for r in score_toxicity(docs, labels).collect():
+        assert r.score == pytest.approx(want[r.doc_id].score, abs=1e-3) and r.predicted == want[r.doc_id].predicted
+
+
+@pytest.mark.parametrize("kind", ["none", "one"])
+def test_whole_tables_without_both_labels(spark, taught, kind):
+    labels = taught.select("doc_id", F.lit(1).alias("toxic")).where(F.lit(kind == "one"))
+    got = score_toxicity(taught.drop("toxic"), labels).select("score").distinct().collect()
+    assert len(got) == 1 and got[0].score == pytest.approx(float(kind == "one"), abs=1e-3)
+    assert score_toxicity(taught.where(F.lit(False)), labels).count() == 0
