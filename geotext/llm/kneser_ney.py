@@ -1,8 +1,8 @@
 """Toxicity by two Kneser-Ney models of word pairs, one of toxic and one of ordinary texts.
 
-Every pair of every learned text is counted, and every counted pair and word keeps an estimate of
-its own, in a stored Spark table that grows with what is learned. A log-likelihood is a sum over a
-text's words and pairs, so texts meet the table in one join. Of the table only the commonest
+Words and pairs are known by hashes of 64 bits. Every pair of every learned text is counted, and every
+counted pair and word keeps an estimate of its own, in a stored Spark table that grows with what is
+learned. A log-likelihood is a sum over a text's words and pairs, so texts meet the table in one join. Of the table only the commonest
 rows are broadcast, so that common keys need not be shuffled; all others are found by the join.
 
 ``fit`` makes a smaller model for callers who name its sizes: words by a hash of so many bits, and pairs in
@@ -25,6 +25,7 @@ from geotext.llm.common import crc_share, query, sigmoid_of, stored, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
+#: Of ``fit`` alone, as the next two: the whole tables know words by 64 bits.
 WORD_BITS = 22
 #: A word before another is known by the lower bits of its hash.
 CONTEXT_BITS = 18
@@ -65,8 +66,17 @@ class WordNumbers(dict):
         return np.array([self[w] for w in words_of(text)], dtype=np.int64)
 
 
-def word_numbers() -> WordNumbers:
-    return WordNumbers(WORD_BITS)
+class WordHashes(WordNumbers):
+    """Hash of a word in 64 bits, signed. 0 begins a text."""
+
+    def __init__(self) -> None:
+        super().__init__(64)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
+        return found
 
 
 def pairs_of(words: np.ndarray, bits: int, context_bits: int) -> np.ndarray:
@@ -222,7 +232,7 @@ def count_all(learn: DataFrame) -> DataFrame:
     """``before, after, n0, n1``: how often each pair of words occurs in texts of either label."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = word_numbers()
+        numbers = WordHashes()
         for pdf in batches:
             for label, group in pdf.groupby("label"):
                 texts = [numbers.of(t) for t in group["text"]]
@@ -351,7 +361,7 @@ def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = No
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, values = known.value
-        numbers = word_numbers()
+        numbers = WordHashes()
         for pdf in batches:
             pdf = pdf.drop_duplicates("_text")
             for start in range(0, len(pdf), TEXTS):

@@ -168,6 +168,12 @@ def test_every_counted_pair_keeps_its_estimate(spark, known_keys, monkeypatch):
     check_likelihoods(spark, [f"w{i}" for i in range(150)], known_keys, monkeypatch)
 
 
+def test_words_that_share_22_bits_are_told_apart(spark, monkeypatch):
+    words = [f"w{i}" for i in range(6000)]
+    assert len({WordNumbers(22)[w.encode()] for w in words}) < len(words)
+    check_likelihoods(spark, words, 1000, monkeypatch)
+
+
 def test_whole_tables_as_fixed_ones_of_ample_size(spark, taught):
     docs, labels = taught.select("doc_id", "text"), taught.select("doc_id", "toxic")
     ample = {"word_bits": 20, "context_bits": 20, "pair_slots": 1_048_573}
