@@ -31,9 +31,9 @@ WORD_BITS = 22
 CONTEXT_BITS = 18
 #: Pairs with an estimate of their own, a prime; of pairs that share a slot the most frequent stays.
 PAIR_SLOTS = 1_048_573
-#: One in so many learned rows is kept from the counts, to calibrate on.
+#: One in so many learned rows, at most, is kept from the counts, to calibrate on.
 CALIBRATION_SHARE = 8
-#: Calibration rows that meet the driver, three numbers each.
+#: About so many are enough, three numbers each.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 
@@ -462,8 +462,8 @@ def score_toxicity(
 
     The score is a logistic function of the difference between the two, of the mean
     difference by words alone, and of the highest one, as a few expressions make a long text
-    toxic. It is calibrated on one in ``calibration_share`` learned documents that the
-    counts leave out. Only rows where ``learn`` holds teach. A text without words (empty, null)
+    toxic. It is calibrated on one in ``calibration_share`` learned documents, or fewer
+    so that they are about ``calibration_rows``, that the counts leave out. Only rows where ``learn`` holds teach. A text without words (empty, null)
     has three zeros and the score of these. Without labels of both kinds every score is
     the share of label 1, and 0 without any. Columns of the four names are replaced; rows,
     repeats and null ids too, stay. Every counted pair and word keeps its estimate, unless the caller names
@@ -473,8 +473,10 @@ def score_toxicity(
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if learn is not None:
         ids = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(calibration_share)) == 0
     taught = ids.join(known, "doc_id")
+    # No more than calibration takes: all other rows teach.
+    share = max(calibration_share, -(-taught.count() // calibration_rows))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(share)) == 0
     names = ["ordinary", "toxic", "alone", "highest"]
     if sizes:
         judge = _judge(docs.sparkSession.sparkContext.broadcast(fit(taught.where(~held), **sizes)))
@@ -487,7 +489,8 @@ def score_toxicity(
         kept = kept.join(found.hint("merge"), "_text").select("doc_id", "label", *names)
         one = found.select("_text", F.struct(*names).alias("_judged")).hint("merge")
         judged = docs.withColumn("_text", F.xxhash64(text)).join(one, "_text").drop("_text")
-    few = bounded_sample(kept, calibration_rows).toArrow().to_pandas()
+    # Twice as many if ids fall so: what is left out is used.
+    few = bounded_sample(kept, 2 * calibration_rows).toArrow().to_pandas()
     x = np.c_[few["toxic"] - few["ordinary"], few["alone"], few["highest"]].astype(float)
     y = few["label"].to_numpy(dtype=float)
     if not few.size or y.min() == y.max():

@@ -188,3 +188,12 @@ def test_whole_tables_without_both_labels(spark, taught, kind):
     got = score_toxicity(taught.drop("toxic"), labels).select("score").distinct().collect()
     assert len(got) == 1 and got[0].score == pytest.approx(float(kind == "one"), abs=1e-3)
     assert score_toxicity(taught.where(F.lit(False)), labels).count() == 0
+
+
+def test_only_rows_that_calibrate_are_left_out(spark):
+    """Each text has a word of its own: it is likelier where its row is counted."""
+    rows = [(i, f"own{i} " * 6, i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"), calibration_share=2, calibration_rows=10)
+    unlike = sum(abs(r.log_toxic - r.log_ordinary) < 0.5 for r in got.collect())
+    assert 0 < unlike <= 20
