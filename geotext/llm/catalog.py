@@ -10,6 +10,7 @@ from geotext.llm import (  # noqa: F401  (they register)
     popcount_simhash,
     skip_list_fim,
     suffix_levels,
+    token_alignment,
     token_counts,
     two_fit,
     url_rules,

@@ -28,13 +28,13 @@ def sigmoid_of(column: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-column))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from it: a narrow table takes a third of a checkpoint.
 
     The table stays there until the user clears the folder.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
