@@ -8,6 +8,7 @@ from geotext.llm import (  # noqa: F401  (they register)
     kernel_quality,
     kneser_ney,
     popcount_simhash,
+    size_aware_join,
     skip_list_fim,
     suffix_levels,
     token_alignment,
