@@ -12,14 +12,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
@@ -39,17 +40,33 @@ SLICE_PAIRS = 1_000_000
 
 # A segment begins where a space or line feed follows anything else: there both tokenizers start anew.
 _SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# Letters, numbers and white space up to here are the same in every library's tables.
+_PLAIN = re.compile("[\x00-ſ]*")
 #: Other white space, whose runs the byte-level split divides by what follows them.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-class Aligned(NamedTuple):
-    """Of one stretch: tokens of both, the groups as text, and the numbers of the linked pairs, packed."""
+#: Ids of a stretch by each vocabulary, packed. Tuples of plain values are left alone by the garbage
+#: collector, however many are remembered.
+Ids = tuple[bytes, bytes]
 
-    n_a: int
-    n_b: int
-    groups: str
-    pairs: bytes
+
+class Segments(dict):
+    """Segments met of late. When it is full, what it holds becomes the older half, from which segments in use return."""
+
+    def __init__(self, encode: Callable[[str], Ids | None]) -> None:
+        super().__init__()
+        self.encode = encode
+        self.older: dict[str, Ids | None] = {}
+
+    def __missing__(self, data: str) -> Ids | None:
+        found = self.older[data] if data in self.older else self.encode(data)
+        if len(data) <= KEPT_LENGTH:
+            if len(self) >= KEPT_SEGMENTS:
+                self.older = dict(self)
+                self.clear()
+            self[data] = found
+        return found
 
 
 class Aligner:
@@ -69,74 +86,101 @@ class Aligner:
         self.number = np.dtype("<u4" if len(self.bytes_a) * n <= 1 << 32 else "<u8")
         #: No piece goes on past a space or line feed that follows anything else.
         self.by_segment = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
-        self.late: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
+        self.ranks = self._as_ranks()
+        self.lengths_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.lengths_a[list(self.bytes_a)] = [len(raw) for raw in self.bytes_a.values()]
+        self.lengths_b = np.array([len(raw) for raw in self.bytes_b], np.int64)
+        #: Each id as it is written within a group and at its side's end.
+        written = [f"{i}{mark}" for i in range(self.lengths_a.size) for mark in ",|"]
+        self.written = np.array(written + [f"{i}{mark}" for i in range(n) for mark in ",;"], "S")
+        self.segments = Segments(self.segment)
 
     def _byte_entries(self, path: str) -> dict[int, bytes]:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec["pre_tokenizer"]
-        if before["type"] != "ByteLevel" or before["add_prefix_space"] or spec["normalizer"]:
+        if before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or spec["normalizer"]:
             raise ValueError(f"{path}: only byte-level vocabularies without a normaliser are aligned")
         byte_of = {c: b for b, c in byte_symbols().items()}
-        added = {t["content"] for t in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
+        self.added_a = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.entry_a = {i: entry for entry, i in vocab.items()}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        #: Ids in the order of the merges that make them.
+        self.merged = [vocab[a + b] for a, b in pairs]
         return {
-            i: entry.encode() if entry in added else bytes(byte_of[c] for c in entry)
-            for entry, i in spec["model"]["vocab"].items()
+            i: entry.encode() if i in self.added_a else bytes(byte_of[c] for c in entry)
+            for i, entry in self.entry_a.items()
         }
 
+    def _as_ranks(self) -> tiktoken.Encoding | None:
+        """The same merges by the rank of what they make, which is faster, or None where that could differ.
+
+        Ids must follow the order of the merges, and each entry alone must merge to itself. Then two neighbours whose
+        union is an entry are always the two that it is merged from: what merges inside a stretch does
+        not depend on what is around it, and the entry alone has one last pair.
+        """
+        entries = {raw: i for i, raw in self.bytes_a.items() if i not in self.added_a}
+        rank = {i: k for k, i in enumerate(self.merged)}
+        ordered = sorted(rank, key=rank.__getitem__) == sorted(rank)
+        tokenize = self.a.model.tokenize
+        alone = all(len(tokenize(self.entry_a[i])) == 1 for i in entries.values())
+        if not ordered or not alone or len(rank) + 256 != len(entries) or max(map(entries.get, map(bytes, zip(range(256))))) >= min(rank):
+            return None
+        return tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=entries, special_tokens={}
+        )
+
     def pair_bound(self) -> int:
         """No more pairs than this are ever linked: each is an entry with a suffix of it in the other vocabulary."""
         longest = sum(map(len, self.bytes_a.values())) + sum(map(len, self.bytes_b))
         alike = max(pd.Series(self.bytes_b).value_counts().max(), pd.Series(list(self.bytes_a.values())).value_counts().max())
         return longest * int(alike)
 
-    def whole(self, data: str) -> Aligned | None:
+    def spelled(self, data: str, a: list[int], b: list[int]) -> Ids | None:
+        raw = data.encode()
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+            return None
+        return array("I", a).tobytes(), array("I", b).tobytes()
+
+    def whole(self, data: str) -> Ids | None:
         """A space and a text encoded whole; None where the tokens of either do not spell it."""
-        return self._link(data, self.a.encode(data, add_special_tokens=False).ids, self.b.encode(data[1:]))
+        return self.spelled(data, self.a.encode(data, add_special_tokens=False).ids, self.b.encode(data[1:]))
 
-    def _link(self, data: str, a: list[int], b: list[int]) -> Aligned | None:
-        raw, bytes_a, bytes_b = data.encode(), self.bytes_a, self.bytes_b
-        if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-            return None
-        ends_a = np.cumsum(np.fromiter([len(bytes_a[i]) for i in a], np.int64, len(a)))
-        ends_b = np.cumsum(np.fromiter([len(bytes_b[i]) for i in b], np.int64, len(b)))
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        links = np.asarray(a, np.int64)[at_a] * len(bytes_b) + np.asarray(b, np.int64)[at_b]
-        return Aligned(len(a), len(b), ";".join(groups), links.astype(self.number).tobytes())
-
-    def segment(self, data: str) -> Aligned | None:
-        """One segment of a text; what was met of late is remembered."""
-        try:
-            return self.late[data]
-        except KeyError:
-            pass
-        if data in self.older:
-            found = self.older[data]
-        else:
-            # The library puts a space before what it encodes: it stands for the segment's own, or goes.
-            b = self.b.encode(data[1:]) if data[0] == " " else self.b.encode(data)[1:]
-            found = self._link(data, self.a.encode(data, add_special_tokens=False).ids, b)
-        if len(data) <= KEPT_LENGTH:
-            if len(self.late) >= KEPT_SEGMENTS:
-                self.older, self.late = self.late, {}
-            self.late[data] = found
-        return found
+    def segment(self, data: str) -> Ids | None:
+        # The library puts a space before what it encodes: it stands for the segment's own, or goes.
+        b = self.b.encode(data[1:]) if data[0] == " " else self.b.encode(data)[1:]
+        if self.ranks is not None and _PLAIN.fullmatch(data):
+            return self.spelled(data, self.ranks.encode_ordinary(data), b)
+        return self.spelled(data, self.a.encode(data, add_special_tokens=False).ids, b)
 
-    def align(self, text: str) -> Aligned | None:
-        """The whole text, a segment at a time where that gives the same tokens."""
+    def ids(self, text: str) -> Ids | None:
+        """The whole text after a space, a segment at a time where that gives the same tokens."""
         data = " " + text
         if not self.by_segment or _OTHER_SPACE.search(text):
             return self.whole(data)
-        parts = list(map(self.segment, _SEGMENT.findall(data)))
+        segments = self.segments
+        parts = [segments[s] for s in _SEGMENT.findall(data)]
         if None in parts:
             return self.whole(data)
-        n_a, n_b, groups, pairs = zip(*parts, strict=True)
-        return Aligned(sum(n_a), sum(n_b), ";".join(groups), b"".join(pairs))
+        return b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
+
+    def groups(self, found: Ids) -> tuple[int, int, np.ndarray, bytes]:
+        """Tokens of each, the numbers of the linked pairs in order, and the groups as text."""
+        a, b = (np.frombuffer(packed, np.uint32).astype(np.int64) for packed in found)
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        ends = np.zeros(int(ends_a[-1]) + 1, np.int8)
+        ends[ends_a] = 1
+        ends[ends_b] += 1
+        last_a, last_b = ends[ends_a] == 2, ends[ends_b] == 2
+        upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        # A group's tokens stand after those of all groups before it, first the one side's, then the other's.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.empty(a.size + b.size, np.int64)
+        order[np.arange(a.size) + np.concatenate([[0], upto_b])[group_a]] = 2 * a + last_a
+        order[np.arange(b.size) + upto_a[group_b]] = 2 * (self.lengths_a.size + b) + last_b
+        text = self.written[order].tobytes().translate(None, b"\0")[:-1]
+        return a.size, b.size, a[last_a] * len(self.bytes_b) + b[last_b], text
 
 
 @lru_cache(maxsize=2)
@@ -169,14 +213,14 @@ def align_texts(texts: DataFrame, name_a: str = BYTE_TOKENIZER, name_b: str = PI
 
 
 def _measured(aligner: Aligner, text: str) -> tuple:
-    found = aligner.align(text)
+    found = aligner.ids(text)
     if found is None:
         return 0, 0, 0, 0, "", b"", b""
-    links = np.frombuffer(found.pairs, aligner.number)
-    pairs, times = np.unique(links, return_counts=True)
-    digest = hashlib.sha256(found.groups.encode()).hexdigest()
+    n_a, n_b, links, groups = aligner.groups(found)
+    pairs, times = np.unique(links.astype(aligner.number), return_counts=True)
     steps = np.diff(pairs, prepend=aligner.number.type(0))
-    return found.n_a, found.n_b, links.size, links.size, digest, steps.tobytes(), times.astype("<u4").tobytes()
+    digest = hashlib.sha256(groups).hexdigest()
+    return n_a, n_b, links.size, links.size, digest, steps.tobytes(), times.astype("<u4").tobytes()
 
 
 def _unpacked(pdf: pd.DataFrame, number: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

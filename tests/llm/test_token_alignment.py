@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -93,17 +94,18 @@ def noise():
 
 def test_segments_give_the_tokens_of_the_whole():
     aligner = Aligner(A, B)
-    assert aligner.by_segment
-    for text in [t for t in ODD + noise() if t]:
-        assert aligner.align(text) == aligner.whole(" " + text), repr(text)
+    assert aligner.by_segment and aligner.ranks is not None
+    documents = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    for text in [t for t in ODD + noise() + documents if t]:
+        assert aligner.ids(text) == aligner.whole(" " + text), repr(text)
 
 
 def test_small_memory_of_segments(monkeypatch):
     monkeypatch.setattr(token_alignment, "KEPT_SEGMENTS", 2)
     aligner = Aligner(A, B)
     text = "the quick brown fox jumps over the lazy dog and the quick cat the the fox"
-    assert aligner.align(text) == aligner.whole(" " + text)
-    assert len(aligner.late) <= 2 and len(aligner.older) <= 2
+    assert aligner.ids(text) == aligner.whole(" " + text)
+    assert len(aligner.segments) <= 2 and len(aligner.segments.older) <= 2
 
 
 @pytest.mark.parametrize("hot_rows", [3, 1_000_000])
