@@ -359,17 +359,28 @@ def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int
     first = F.min(F.struct("name", "n", "left"))
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("first")).where("members > 1")
     entries = stored(attach(entries, lists, ["key"], count="members"))
-    sets = stored(sets_of(docs, filter_of(entries.select("name").distinct()), size, percent))
 
     member = [F.col(c).alias("b_" + c) for c in ("name", "n", "left")]
     star = entries.where(F.col("name") != F.col("first.name")).select(*member, *[F.col(f"first.{c}").alias("a_" + c) for c in ("name", "n", "left")])
-    star = star.where(may_link("a_", "b_", percent)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct()
+    star = star.where(may_link("a_", "b_", percent)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    star = stored(star.distinct())
+    wanted = filter_of(_names(star))
+    sets = stored(sets_of(docs, wanted, size, percent))
     links = stored(verified(star, sets, percent))
 
     rest = _apart(entries, connected_components(links, []))
     if rest is None:
         return links
-    return links.unionByName(verified(_across(rest, percent), sets, percent))
+    across = stored(_across(rest, percent).join(star, ["a", "b"], "left_anti"))
+    if across.isEmpty():
+        return links
+    others = filter_of(_names(across))
+    more = stored(sets_of(docs, lambda names: others(names) & ~wanted(names), size, percent))
+    return links.unionByName(verified(across, sets.unionByName(more), percent))
+
+
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
 
 
 def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame | None:
@@ -394,7 +405,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     b = rest.select("key", part.alias("q"), every.alias("p"), (F.col("root") == F.col("head")).alias("b_head"), *[F.col(c).alias("b_" + c) for c in columns])
     once = F.col("b_head") | (F.col("a_name") < F.col("b_name"))
     met = a.join(b, ["key", "p", "q"]).where((F.col("a_root") != F.col("b_root")) & once & may_link("a_", "b_", percent))
-    low, high = F.least("a_name", "b_name"), F.greatest("a_name", "b_name")
+    low, high = F.least("a_name", "b_name"), F.greatest("a_name", "b_name")  # as a list's first is its lowest
     return met.select(low.alias("a"), high.alias("b")).distinct()
 
 
