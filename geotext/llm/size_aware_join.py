@@ -8,7 +8,8 @@ is on. Up to which size sets are small is what costs the fewest rows, worked out
 
 The order is by a table of hashed counts of bounded size: it need only be the same for all, so its errors cost
 time and never a link. Candidates are compared by their whole sets. Lists are first searched for links
-to one of their members; what those links join needs no comparison among itself.
+to one of their members; what those links join needs no comparison among itself. Of other members those
+pairs are compared whose parities over 256 slots differ in no more places than similar sets can.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ PERCENT = 80
 #: Slots of the hashed counts, 32 bits each.
 SLOT_BITS = 22
 #: Sets are never small beyond this many shingles.
-LARGEST_SMALL = 256
+LARGEST_SMALL = 64
 #: Most bits of a filter over keys or names: 16 MB.
 FILTER_BITS = 27
 #: Members of one list that one task compares with one another.
 LIST_ROWS = 4_000
+POSTED = ["key", "name", "n", "left", "place"]
+PARITIES = ["odd_0", "odd_1", "odd_2", "odd_3"]
+#: In lists longer than this a pair is noted at the first that both are on.
+LONG_LIST = 64
 #: Shingles counted, keys handed on, and set digests remembered at once.
 COUNT_ROWS, SLICE_ROWS, KEPT_DIGESTS = 1 << 20, 200_000, 500_000
 
@@ -144,6 +149,12 @@ def describe_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, part binary")
 
 
+def parities_of(shingles: np.ndarray) -> list[int]:
+    """A bit for each of 256 slots: whether it holds an odd number of shingles. Two sets differ in as many shingles at least."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def _fresh(digests: list[bytes], met: set[bytes], limit: int) -> list[int]:
     """Places of digests not met before. What is met is forgotten when it fills the memory, which costs repeats only."""
     new = []
@@ -157,7 +168,7 @@ def _fresh(digests: list[bytes], met: set[bytes], limit: int) -> list[int]:
 
 
 def prefixes_of(docs: DataFrame, counts: bytes, size: int, percent: int) -> DataFrame:
-    """``digest, name, n, prefix, scan``, a row per different set that can have partners.
+    """``digest, name, n, prefix, scan`` and parities, a row per different set that can have partners.
 
     ``prefix`` holds the shingles that come first, enough to share two. ``scan`` estimates the rows of the lists
     of those that it would post: what their slots hold beyond a slot's mean.
@@ -178,14 +189,14 @@ def prefixes_of(docs: DataFrame, counts: bytes, size: int, percent: int) -> Data
                 first = np.lexsort((s, rare))[: prefix_length(s.size, 2, percent)]
                 posted = rare[first[: prefix_length(s.size, 1, percent)]]
                 scan = posted.size + float(np.maximum(posted - usual, 0).sum())
-                rows.append((digests[k], name_of(digests[k]), s.size, s[first].tobytes(), scan))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "name", "n", "prefix", "scan"]
-            )
-
-    found = docs.select("text").mapInArrow(run, "digest binary, name long, n long, prefix binary, scan double")
+                rows.append((digests[k], name_of(digests[k]), s.size, s[first].tobytes(), scan, *parities_of(s)))
+            columns = list(zip(*rows, strict=True)) or [[]] * (5 + len(PARITIES))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), *[pa.int64()] * len(PARITIES)]
+            names = ["digest", "name", "n", "prefix", "scan", *PARITIES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    schema = "digest binary, name long, n long, prefix binary, scan double" + "".join(f", {c} long" for c in PARITIES)
+    found = docs.select("text").mapInArrow(run, schema)
     return found.dropDuplicates(["digest"])
 
 
@@ -271,7 +282,10 @@ def filter_of(values: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def post(prefixes: DataFrame, small: int, percent: int, holds: Callable | None = None) -> DataFrame:
-    """``key, name, n, left``, a row for each key of each set; only the keys where the filter says that others share them."""
+    """``key, name, n, left, place``, a row for each key of each set; only the keys where the filter says that others share them.
+
+    ``place`` numbers a set's keys in the global order, so keys that two sets share come in one order in both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +293,11 @@ def post(prefixes: DataFrame, small: int, percent: int, holds: Callable | None =
             held, rows = [], 0
             for name, n, prefix in zip(names, sizes, packed, strict=True):
                 keys, left = keys_of(np.frombuffer(prefix, np.uint64), n, small, percent)
+                place = np.arange(keys.size)
                 if holds is not None:
                     kept = holds(keys)
-                    keys, left = keys[kept], left[kept]
-                held.append((keys, name, n, left))
+                    keys, left, place = keys[kept], left[kept], place[kept]
+                held.append((keys, name, n, left, place))
                 rows += keys.size
                 if rows > SLICE_ROWS:
                     yield _posted(held)
@@ -290,14 +305,14 @@ def post(prefixes: DataFrame, small: int, percent: int, holds: Callable | None =
             if held:
                 yield _posted(held)
 
-    return prefixes.select("name", "n", "prefix").mapInArrow(run, "key long, name long, n long, left long")
+    return prefixes.select("name", "n", "prefix").mapInArrow(run, ", ".join(f"{c} long" for c in POSTED))
 
 
 def _posted(held: list) -> pa.RecordBatch:
-    keys, names, sizes, left = zip(*held, strict=True)
+    keys, names, sizes, left, place = zip(*held, strict=True)
     repeat = [k.size for k in keys]
-    columns = [np.concatenate(keys), np.repeat(names, repeat), np.repeat(sizes, repeat), np.concatenate(left)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "name", "n", "left"])
+    columns = [np.concatenate(keys), np.repeat(names, repeat), np.repeat(sizes, repeat), np.concatenate(left), np.concatenate(place)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=POSTED)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -360,15 +375,12 @@ def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("first")).where("members > 1")
     entries = stored(attach(entries, lists, ["key"], count="members"))
 
-    member = [F.col(c).alias("b_" + c) for c in ("name", "n", "left")]
-    star = entries.where(F.col("name") != F.col("first.name")).select(*member, *[F.col(f"first.{c}").alias("a_" + c) for c in ("name", "n", "left")])
-    star = star.where(may_link("a_", "b_", percent)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    star = stored(star.distinct())
+    star = stored(_star(entries, percent))
     wanted = filter_of(_names(star))
     sets = stored(sets_of(docs, wanted, size, percent))
     links = stored(verified(star, sets, percent))
 
-    rest = _apart(entries, connected_components(links, []))
+    rest = _apart(entries, connected_components(links, []), prefixes)
     if rest is None:
         return links
     across = stored(_across(rest, percent).join(star, ["a", "b"], "left_anti"))
@@ -379,19 +391,40 @@ def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int
     return links.unionByName(verified(across, sets.unionByName(more), percent))
 
 
+def _star(entries: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of a list's ``first`` and its other members, the lower name first."""
+    sides = {"a_": "first.", "b_": ""}
+    both = entries.select(*[F.col(at + c).alias(to + c) for to, at in sides.items() for c in ("name", "n", "left")])
+    both = both.where((F.col("a_name") != F.col("b_name")) & may_link("a_", "b_", percent))
+    return both.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
+
+
 def _names(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
 
 
-def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Members of lists that hold more than one component, each with its own and with that of the list's first."""
-    own = attach(entries, roots.withColumnsRenamed({"v": "name"}), ["name"], "left")
+def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFrame | None:
+    """Members of lists that hold more than one component.
+
+    Each has its ``root``, the list's commonest, its ``head``, its parities, and the keys ``before`` of other long lists.
+    """
+    known = attach(prefixes.select("name", *PARITIES), roots.withColumnsRenamed({"v": "name"}), ["name"], "left")
+    own = attach(entries.drop("first", "members"), known, ["name"])
     own = stored(own.withColumn("root", F.coalesce("root", "name")))
-    head = F.min(F.struct(F.col("name"), F.col("root"))).getField("root")
-    mixed_lists = own.groupBy("key").agg(head.alias("head"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    mixed_lists = mixed_lists.where("low <> high").select("key", "head", "size")
-    rest = stored(attach(own.drop("first", "members"), mixed_lists, ["key"], count="size"))
-    return None if rest.isEmpty() else rest
+    parts = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
+    whole = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("part", "root")).alias("head"), F.count(F.lit(1)).alias("parts"), F.sum("part").alias("size")
+    )
+    rest = stored(attach(own, whole.where("parts > 1").drop("parts"), ["key"], count="size"))
+    if rest.isEmpty():
+        return None
+    # What a set posted before, of long lists: two that share one of these meet there.
+    long = rest.where(F.col("size") > LONG_LIST)
+    posted = long.groupBy("name").agg(F.collect_list(F.struct("place", "key")).alias("posted"))
+    before = F.filter("posted", lambda p: p["place"] < F.col("place"))
+    long = attach(long, posted, ["name"]).withColumn("before", F.transform(before, lambda p: p["key"])).drop("posted")
+    short = rest.where(F.col("size") <= LONG_LIST).withColumn("before", F.array().cast("array<bigint>"))
+    return stored(short.unionByName(long))
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:
@@ -399,14 +432,17 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     parts = F.ceil(F.col("size") / LIST_ROWS).cast("int")
     part = F.pmod(F.xxhash64("name"), parts).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
-    columns = ["name", "n", "left", "root"]
-    # What joined the list's first member is compared with the others, never with itself.
+    columns = ["name", "n", "left", "root", "before", *PARITIES]
+    # What is joined already is compared with the others, never with itself.
     a = rest.where("root <> head").select("key", part.alias("p"), every.alias("q"), *[F.col(c).alias("a_" + c) for c in columns])
     b = rest.select("key", part.alias("q"), every.alias("p"), (F.col("root") == F.col("head")).alias("b_head"), *[F.col(c).alias("b_" + c) for c in columns])
     once = F.col("b_head") | (F.col("a_name") < F.col("b_name"))
-    met = a.join(b, ["key", "p", "q"]).where((F.col("a_root") != F.col("b_root")) & once & may_link("a_", "b_", percent))
-    low, high = F.least("a_name", "b_name"), F.greatest("a_name", "b_name")  # as a list's first is its lowest
-    return met.select(low.alias("a"), high.alias("b")).distinct()
+    differ = sum(F.bit_count(F.col("a_" + c).bitwiseXOR(F.col("b_" + c))) for c in PARITIES)
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    met = a.join(b, ["key", "p", "q"]).where((F.col("a_root") != F.col("b_root")) & once & may_link("a_", "b_", percent) & close & ~F.arrays_overlap("a_before", "b_before"))
+    low, high = F.least("a_name", "b_name"), F.greatest("a_name", "b_name")
+    met = met.select(low.alias("a"), high.alias("b"))
+    return met.distinct()
 
 
 def jaccard_components(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geotext.llm import size_aware_join
 from geotext.llm.common import table
-from geotext.llm.size_aware_join import has_partners, jaccard_components, keys_of, least_overlap, op13_size_aware_join, prefix_length, shingle_set
+from geotext.llm.size_aware_join import has_partners, jaccard_components, keys_of, least_overlap, op13_size_aware_join, parities_of, prefix_length, shingle_set
 from geotext.operators import skew
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +108,15 @@ def test_prefixes_hold_what_is_shared(percent):
     assert least_overlap(5, 80) == 4 and not has_partners(3, 80) and has_partners(4, 80)
 
 
+def test_parities_differ_in_no_more_places_than_sets():
+    maker = np.random.default_rng(4)
+    for n in (1, 7, 90, 2000):
+        a = maker.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[n // 3 :], maker.integers(0, 1 << 63, n // 4).astype(np.uint64)]))
+        differ = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(parities_of(a), parities_of(b), strict=True))
+        assert differ <= np.setxor1d(a, b).size
+
+
 @pytest.mark.parametrize("seed,small,list_rows", [(1, None, 4000), (2, 0, 3), (3, 20, 2), (4, 10**6, 5), (5, None, 2)])
 def test_equals_brute_force(spark, monkeypatch, seed, small, list_rows):
     monkeypatch.setattr(size_aware_join, "LIST_ROWS", list_rows)
@@ -115,6 +124,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, small, list_rows):
     monkeypatch.setattr(size_aware_join, "FILTER_BITS", 11 if seed == 3 else 27)
     monkeypatch.setattr(size_aware_join, "KEPT_DIGESTS", 3 if seed == 2 else 500_000)
     monkeypatch.setattr(size_aware_join, "SLICE_ROWS", 50)
+    monkeypatch.setattr(size_aware_join, "LONG_LIST", 64 if seed == 1 else 2)
     monkeypatch.setattr(skew, "HOT_ROWS", 12 if seed in (2, 5) else 1_000_000)
     docs = corpus(seed) + [(None, "one"), (100, "other words that stand under an id of its own"), (None, "no id at all for this one")]
     wide = [(i, t, 5, "x", b"y") for i, t in docs]
