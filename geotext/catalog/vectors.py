@@ -8,6 +8,7 @@ from geotext.catalog.inputs import table
 from geotext.catalog.registry import query
 from geotext.functions import distance as dist
 from geotext.operators import kmeans
+from geotext.operators.neighbourhoods import cluster_vectors
 
 K = 8
 ROUNDS = 3
@@ -202,3 +203,46 @@ _to_centre(
     dist.array_manhattan,
     "list_sum(list_transform(generate_series(1, len(vec)), lambda i: abs(vec[i] - centre[i])))",
 )
+
+
+#: Radius by distance at which vectors have a few neighbours each, and how many make a core.
+VECTOR_EPS = {"euclidean": 1.2, "cosine": 0.72}
+VECTOR_NEIGHBOURS = 5
+
+_VECTOR_PAIRS = """
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+pairs AS MATERIALIZED (
+  SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id <> b.id WHERE {d}(a.vec, b.vec) < {eps}),
+core AS MATERIALIZED (SELECT i AS p, list(j) AS near FROM pairs GROUP BY i HAVING count(*) >= {m}),"""
+
+_VECTOR_CLUSTERS = {
+    "one_hop": """
+seeds(p, taken) AS (
+  SELECT min(p), [min(p)] FROM core
+  UNION ALL
+  SELECT min(c.p), list_append(s.taken, min(c.p))
+  FROM seeds s JOIN core c ON c.p > s.p AND NOT list_has_any(c.near, s.taken) GROUP BY s.taken)
+SELECT id, min(p) AS cluster_id
+FROM (SELECT p AS id, p FROM seeds UNION ALL SELECT j, p FROM seeds JOIN pairs ON i = p) GROUP BY id""",
+    "dbscan": """
+edges AS (SELECT i AS a, j AS b FROM pairs WHERE i IN (SELECT p FROM core) AND j IN (SELECT p FROM core)),
+reach(a, b) AS (SELECT p, p FROM core UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+roots AS (SELECT a AS p, min(b) AS cluster_id FROM reach GROUP BY a)
+SELECT p AS id, cluster_id FROM roots
+UNION ALL
+SELECT j, min(cluster_id) FROM pairs JOIN roots ON i = p WHERE j NOT IN (SELECT p FROM core) GROUP BY j""",
+}
+
+
+def _vector_clusters(distance: str, mode: str) -> None:
+    function = {"euclidean": "list_distance", "cosine": "list_cosine_distance"}[distance]
+    pairs = _VECTOR_PAIRS.format(d=function, eps=VECTOR_EPS[distance], m=VECTOR_NEIGHBOURS)
+
+    @query(f"vector_clusters_{distance}_{mode}", "WITH RECURSIVE" + pairs + _VECTOR_CLUSTERS[mode])
+    def run(spark, sf):
+        return cluster_vectors(vectors(spark, sf), VECTOR_EPS[distance], VECTOR_NEIGHBOURS, mode, distance)
+
+
+for _distance in VECTOR_EPS:
+    for _mode in _VECTOR_CLUSTERS:
+        _vector_clusters(_distance, _mode)
