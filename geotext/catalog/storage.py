@@ -59,10 +59,11 @@ def scan_posts_text_query(spark, sf):
     return _flat(sources.read_text(spark, f"{_stored_text(spark, sf)}/batch_id=*"))
 
 
-@query("scan_posts_text_root", POSTS + " WHERE doc_id % 2 = 1")
+@query("scan_posts_text_root", POSTS.replace(" FROM", ", CAST(doc_id % 2 AS INTEGER) AS batch_id FROM"))
 def scan_posts_text_root_query(spark, sf):
     """The root of the folders; the folder's number is a column to filter by."""
-    return _flat(sources.read_text(spark, _stored_text(spark, sf)).where("batch_id = 1"))
+    read = sources.read_text(spark, _stored_text(spark, sf))
+    return read.select("text", "user.lang", "user.name", F.col("batch_id").cast("int").alias("batch_id"))
 
 
 @query("register_view", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters FROM documents GROUP BY lang")

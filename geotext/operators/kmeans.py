@@ -19,7 +19,7 @@ from geotext.session import cut
 
 CENTROID_SCHEMA = "restart int, cid int, vec array<double>"
 
-#: Tasks that fold the partial sums of the others, before the last fold.
+#: Parts in which each key's partial sums are folded, before the last fold.
 FOLD_TASKS = 32
 
 Model = dict[int, np.ndarray]  # restart -> centroids by cid
@@ -107,7 +107,9 @@ def _added(partial: DataFrame, keys: list[str]) -> DataFrame:
         if held:
             yield pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*keys, "sums"])
 
-    few = partial.coalesce(FOLD_TASKS).mapInPandas(add, partial.schema)
+    # An exchange, not a coalesce: that would make so few tasks read the points as well.
+    dealt = partial.withColumn("_part", F.pmod(F.spark_partition_id(), FOLD_TASKS)).repartition(FOLD_TASKS, *keys, "_part")
+    few = dealt.drop("_part").mapInPandas(add, partial.schema)
     return few.repartition(*keys).mapInPandas(add, partial.schema)
 
 
