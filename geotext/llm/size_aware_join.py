@@ -400,7 +400,7 @@ def _star(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _names(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    return pairs.select(F.col("a").alias("name")).distinct().union(pairs.select("b").distinct()).distinct()
 
 
 def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFrame | None:
