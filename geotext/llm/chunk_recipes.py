@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import cut, query, table
+from geotext.llm.common import cut, placed, query, table
 
 #: A boundary follows where this many low bits of the rolling value are zero: 2 KB on average.
 BOUNDARY_BITS = 11
@@ -116,13 +116,15 @@ def find_copies(
     first in the table. A null id comes after all others. Null and empty texts
     have the empty recipe and are equal. Other columns are not read.
 
-    ``docs`` must be a stored table: ``row_tag`` is the place of a row in its scan, the
-    same in each of them. Text moves once, as chunks, after equal ones of a task have been joined.
+    ``row_tag`` is the row's number by ``placed``, the
+    same in each scan. Text moves once, as chunks, after equal ones of a task have been joined.
     Names are verified there: two contents under one name are given different numbers.
     """
-    tagged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "row_tag", F.monotonically_increasing_id()
-    )
+    return _copies(placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), name)
+
+
+def _copies(tagged: DataFrame, name: Name = chunk_hash) -> DataFrame:
+    """``find_copies`` for ``tagged (doc_id, text, row_tag)``."""
     lists = tagged.withColumn("_made", recipe_of(name)("text")).select("doc_id", "row_tag", "_made.*")
     lists = cut(lists.withColumn("apart", F.lit(None).cast("array<struct<seq:int,n:int>>")))
     contents = chunk_rows(tagged, "row_tag", name=name).select("h", "chunk").distinct()
@@ -162,10 +164,12 @@ def _tell_apart(tagged: DataFrame, lists: DataFrame, shared: DataFrame, name: Na
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (a stored table) that stay, with all their columns."""
-    found = find_copies(docs, doc_id, text).where("NOT kept").select("row_tag")
-    tagged = docs.withColumn("row_tag", F.monotonically_increasing_id())
-    return tagged.join(found, "row_tag", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    tagged = placed(docs.toDF(*names))
+    ids, texts = (F.col(names[docs.columns.index(k)]) for k in (doc_id, text))
+    found = _copies(tagged.select(ids.alias("doc_id"), texts.alias("text"), "row_tag")).where("NOT kept").select("row_tag")
+    return tagged.join(found, "row_tag", "left_anti").select(names).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from geotext.catalog.registry import query
 from geotext.session import checkpoint_dir, configure, cut
 
-__all__ = ["configure", "crc_share", "cut", "query", "sigmoid_of", "stored", "table", "tree_sum"]
+__all__ = ["configure", "crc_share", "cut", "placed", "query", "sigmoid_of", "stored", "table", "tree_sum"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,6 +39,45 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one file may have; the number of the file fills the bits above.
+FILE_ROWS = 1 << 40
+
+#: Plans under which a row of a file stays one row.
+_ONE_TO_ONE = {"LogicalRelation", "Relation", "Project", "Filter", "SubqueryAlias"}
+
+
+def _plan_nodes(plan: Any) -> set[str]:
+    children = plan.children()
+    return {plan.nodeName().split()[0]}.union(*[_plan_nodes(children.apply(i)) for i in range(children.size())])
+
+
+def placed(docs: DataFrame, tag: str = "row_tag") -> DataFrame:
+    """``docs`` with ``tag``, a number of each row's own that every later scan gives it again.
+
+    The number is the file's among the sorted names of the table's files, and the place of the row in
+    it; neither depends on how a scan is split among tasks. What is not a plain scan of
+    files, with columns and rows chosen, is first stored in the shared folder. ``docs`` may not have a column ``tag``.
+    The names of the files, which planning the scan holds on the driver anyway, are broadcast.
+    """
+    spark = docs.sparkSession
+    files = docs.inputFiles()
+    plain = _plan_nodes(docs._jdf.queryExecution().analyzed()) <= _ONE_TO_ONE
+    if not (files and plain) or "_metadata" in docs.columns:
+        back = list(docs.columns)
+        docs = stored(docs.toDF(*[f"c{i}" for i in range(len(back))]))
+        files = docs.inputFiles()
+    else:
+        back = None
+    # Without an authority the plan writes three slashes where a scan writes one.
+    files = sorted({re.sub(r"^([^:/]+):///", r"\1:/", f) for f in files})
+    names = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    out = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    out = out.join(F.broadcast(names), "_file", "left")
+    number = F.coalesce("_number", F.raise_error(F.concat(F.lit("a file that the plan did not name: "), "_file")).cast("long"))
+    out = out.select(*docs.columns, (number * FILE_ROWS + F.col("_row")).alias(tag))
+    return out.toDF(*back, tag) if back else out
+
+
 def tree_sum(
     df: DataFrame, merge: Callable[[Sequence[bytes]], bytes], value: str = "part", fan_in: int = 16
 ) -> bytes | None:

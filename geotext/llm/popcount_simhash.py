@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
-from geotext.llm.common import cut, query, table
+from geotext.llm.common import cut, placed, query, table
 from geotext.operators.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -216,14 +216,15 @@ def near_copies(
     be reached, its id the smallest document id in it, its ``kept`` row the first with that
     id. A null id comes after all others, so a component has a null id only if all its rows
     have. Texts without words have the fingerprint 0, which links like any other. Other columns are not
-    read. ``docs`` must be a stored table: ``row_tag`` is the place of a row in its scan.
+    read. ``row_tag`` is the row's number by ``placed``.
     """
-    made = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_tag"),
-        fingerprint_of(text).alias("fp"),
-    )
-    made = cut(made)
+    tagged = placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return _near(tagged, limit, point_rows)
+
+
+def _near(tagged: DataFrame, limit: int = DIFFERING_BITS, point_rows: int = POINT_ROWS) -> DataFrame:
+    """``near_copies`` for ``tagged (doc_id, text, row_tag)``."""
+    made = cut(tagged.select("doc_id", "row_tag", fingerprint_of("text").alias("fp")))
     id_last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_tag")
     prints = cut(made.groupBy("fp").agg(F.min(id_last).alias("first")))
     roots = connected_components(links_of(prints, limit, point_rows), [])
@@ -242,10 +243,12 @@ def near_copies(
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` (a stored table) for each component, with all its columns."""
-    found = near_copies(docs, doc_id, text).where("NOT kept").select("row_tag")
-    tagged = docs.withColumn("row_tag", F.monotonically_increasing_id())
-    return tagged.join(found, "row_tag", "left_anti").select(docs.columns)
+    """One row of ``docs`` for each component, with all its columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    tagged = placed(docs.toDF(*names))
+    ids, texts = (F.col(names[docs.columns.index(k)]) for k in (doc_id, text))
+    found = _near(tagged.select(ids.alias("doc_id"), texts.alias("text"), "row_tag")).where("NOT kept").select("row_tag")
+    return tagged.join(found, "row_tag", "left_anti").select(names).toDF(*docs.columns)
 
 
 @query("op1_popcount_simhash")

@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import cut, query, table
+from geotext.llm.common import cut, placed, query, table
 
 LENGTH = 400
 #: A power of two below ``LENGTH``.
@@ -276,14 +276,12 @@ def remove_repeats(
     Every byte is removed that lies in a string of ``length`` bytes which starts anywhere else
     too, in the same text or another; ``spans`` are the maximal removed runs ``(start, end)``, ``kept``
     the bytes that are left, which need not be valid text where a letter of more bytes was cut. Null is an empty
-    text. Repeated rows repeat each other. Other columns are not read. ``docs`` must be a
-    stored table: ``row_tag`` is the place of a row in its scan.
+    text. Repeated rows repeat each other. Other columns are not read. ``row_tag`` is the
+    row's number by ``placed``.
     """
     if prefix & (prefix - 1) or not 0 < prefix < length:
         raise ValueError("the prefix must be a power of two below the length")
-    tagged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "row_tag", F.monotonically_increasing_id()
-    )
+    tagged = placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     anchors = cut(find_anchors(tagged.select("row_tag", "text"), length, prefix))
     starts = repeated_starts(tagged.select("row_tag", "text"), anchors, batches, length, group_contexts)
     by_row = starts.groupBy("row_tag").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
