@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from geotext.catalog.registry import query
 from geotext.session import checkpoint_dir, configure, cut
 
-__all__ = ["configure", "crc_share", "cut", "placed", "query", "sigmoid_of", "stored", "table", "tree_sum"]
+__all__ = ["configure", "crc_share", "cut", "forget", "placed", "query", "sigmoid_of", "stored", "table", "tree_sum"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,13 +32,25 @@ def sigmoid_of(column: Column) -> Column:
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from it: a narrow table takes a third of a checkpoint.
 
-    The table stays there until the user clears the folder.
+    The table stays there until ``forget`` or the user clears it.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that reads them is stored in its turn."""
+    for df in tables:
+        files = df.inputFiles()
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            if not folder.rsplit("/", 1)[-1].startswith("stored-"):
+                raise ValueError(f"not a table of this library: {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows that one file may have; the number of the file fills the bits above.
 FILE_ROWS = 1 << 40
 

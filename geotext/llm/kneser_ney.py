@@ -3,10 +3,11 @@
 Words and pairs are known by hashes of 64 bits. Every pair of every learned text is counted, and every
 counted pair and word keeps an estimate of its own, in a stored Spark table that grows with what is
 learned. A log-likelihood is a sum over a text's words and pairs, so texts meet the table in one join. Of the table only the commonest
-rows are broadcast, so that common keys need not be shuffled; all others are found by the join.
+rows are broadcast, so that common keys need not be shuffled; all others are found by the join. A row is known
+by its place in the table, so that no two texts are taken for one.
 
-``fit`` makes a smaller model for callers who name its sizes: words by a hash of so many bits, and pairs in
-slots, all in the memory of a worker.
+The score compares, per word, the likelihoods of the whole text by pairs and those of its most telling words, since a few
+expressions make a long text toxic.
 """
 
 from __future__ import annotations
@@ -17,23 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
-from geotext.llm.common import crc_share, query, sigmoid_of, stored, table
+from geotext.llm.common import crc_share, forget, placed, query, sigmoid_of, stored, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
-#: Of ``fit`` alone, as the next two: the whole tables know words by 64 bits.
-WORD_BITS = 22
-#: A word before another is known by the lower bits of its hash.
-CONTEXT_BITS = 18
-#: Pairs with an estimate of their own, a prime; of pairs that share a slot the most frequent stays.
-PAIR_SLOTS = 1_048_573
 #: One in so many learned rows, at most, is kept from the counts, to calibrate on.
 CALIBRATION_SHARE = 8
-#: About so many are enough, three numbers each.
+#: About so many are enough, two numbers each.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 
@@ -41,6 +35,10 @@ THRESHOLD = 0.7
 KNOWN_KEYS = 1_000_000
 #: Vocabularies up to this size are broadcast to the pairs, larger ones joined by shuffle.
 BROADCAST_WORDS = 500_000
+#: Words are dealt to so many parts by their hash; of each part a text's most telling word is noted.
+WORD_PARTS = 8
+#: The most telling words, of different parts, over which their log-likelihoods are averaged.
+TELLING_WORDS = 2
 #: Texts worked on at once.
 TEXTS = 500
 
@@ -48,59 +46,20 @@ TEXTS = 500
 KEPT_WORDS = 1_000_000
 
 
-class WordNumbers(dict):
-    """Hash of a word in ``bits`` bits, remembered for a bounded number of words. 0 begins a text."""
-
-    def __init__(self, bits: int) -> None:
-        super().__init__()
-        self.mask = (1 << bits) - 1
+class WordHashes(dict):
+    """Hash of a word in 64 bits, signed, remembered for a bounded number of words. 0 begins a text."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word) % self.mask + 1
+        found = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
         return found
 
     def of(self, text: str | None) -> np.ndarray:
-        """The numbers of a text's words; words are runs of ASCII letters, digits and non-ASCII."""
+        """The hashes of a text's words; words are runs of ASCII letters, digits and non-ASCII."""
         return np.array([self[w] for w in words_of(text)], dtype=np.int64)
 
 
-class WordHashes(WordNumbers):
-    """Hash of a word in 64 bits, signed. 0 begins a text."""
-
-    def __init__(self) -> None:
-        super().__init__(64)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
-        return found
-
-
-def pairs_of(words: np.ndarray, bits: int, context_bits: int) -> np.ndarray:
-    """Each word with the one before it, as one number."""
-    before = np.concatenate([[0], words[:-1]]) if words.size else words
-    return (before & ((1 << context_bits) - 1)) << bits | words
-
-
-def count_pairs(learn: DataFrame, bits: int, context_bits: int) -> DataFrame:
-    """``pair, n0, n1``: how often each pair occurs in texts of either label (``text, label``)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = WordNumbers(bits)
-        for pdf in batches:
-            for label, group in pdf.groupby("label"):
-                parts = [pairs_of(numbers.of(t), bits, context_bits) for t in group["text"]]
-                pair, n = np.unique(np.concatenate(parts), return_counts=True)
-                zero = np.zeros_like(n)
-                yield pd.DataFrame({"pair": pair, "n0": zero if label else n, "n1": n if label else zero})
-
-    rows = learn.select("text", "label").mapInPandas(count, "pair long, n0 long, n1 long")
-    return rows.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
 def discounts(counts: np.ndarray) -> np.ndarray:
     """By Chen and Goodman: for counts 0, 1, 2 and more."""
     return discounts_of(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float))
@@ -112,103 +71,6 @@ def discounts_of(n: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [max(0.05, k - (k + 1) * y * n[k + 1] / n[k]) if n[k] else 0.5 for k in (1, 2, 3)])
 
 
-def continuation(types: np.ndarray, shared: np.ndarray | np.float32) -> np.ndarray:
-    """Probability of a word by how many words it follows, backed off to ``shared``."""
-    total = int(types.sum())
-    if not total:
-        return np.zeros(types.shape, np.float32) + np.float32(1) * shared
-    taken = np.minimum(discounts(types[types > 0]).astype(np.float32)[np.minimum(types, 3)], types)
-    lost = np.float32(taken.sum(dtype=np.float64))
-    return ((types - taken + lost * shared) / np.float32(total)).astype(np.float32)
-
-
-@dataclass
-class Model:
-    """Log probabilities of both classes, in tables of fixed size.
-
-    ``word[c]``: of a word after any other. ``gamma[c]``: weight of that after a given
-    one. ``pair[c]``: of a pair with a slot of its own, which ``held`` names.
-    """
-
-    word_bits: int
-    context_bits: int
-    word: np.ndarray
-    gamma: np.ndarray
-    held: np.ndarray
-    pair: np.ndarray
-
-    def features(self, words: np.ndarray) -> tuple[float, float, float, float]:
-        """Log-likelihood per word in either class, mean and highest difference by words alone."""
-        if not words.size:
-            return 0.0, 0.0, 0.0, 0.0
-        pairs = pairs_of(words, self.word_bits, self.context_bits)
-        slot = pairs % self.held.size
-        alone = self.word[:, words]
-        backed = self.gamma[:, pairs >> self.word_bits] + alone
-        each = np.where(self.held[slot] == pairs, self.pair[:, slot], backed)
-        ordinary, toxic = each.mean(axis=1, dtype=np.float64)
-        apart = (alone[1] - alone[0]).astype(np.float64)
-        return float(ordinary), float(toxic), float(apart.mean()), float(apart.max())
-
-
-def fit(
-    learn: DataFrame,
-    word_bits: int = WORD_BITS,
-    context_bits: int = CONTEXT_BITS,
-    pair_slots: int = PAIR_SLOTS,
-) -> Model:
-    """Both models from ``learn (text, label)``: every pair of every row is counted.
-
-    Only sums by word hash and by slot meet the driver, at most
-    ``2**word_bits + 2**context_bits + pair_slots`` rows of a few integers. Each class backs off from
-    pairs to how many words its words follow, and from there to the same counts of both
-    classes together, so that what is rare in both tells little.
-    """
-    size, contexts = 1 << word_bits, 1 << context_bits
-    pairs = stored(count_pairs(learn, word_bits, context_bits))
-    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
-    kinds = [F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"k{c}") for c in (0, 1)]
-    before = F.shiftright("pair", word_bits).cast("int").alias("before")
-    after = F.col("pair").bitwiseAND(size - 1).cast("int").alias("after")
-
-    types = np.zeros((3, size), dtype=np.int32)
-    got = pairs.groupBy(after).agg(*kinds, F.count(F.lit(1)).cast("int").alias("k2")).toArrow().to_pandas()
-    for c in range(3):
-        types[c, got["after"]] = got[f"k{c}"]
-    shared = continuation(types[2], np.float32(1 / (int((types[2] > 0).sum()) + 1)))
-    alone = np.stack([continuation(types[c], shared) for c in (0, 1)])
-    del got, types, shared
-
-    # The discount of pairs, from how many occur once and twice.
-    spots = pairs.agg(
-        *[F.count_if(F.col(f"n{c}") == k).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)]
-    ).first()
-    once, twice = (np.array([spots[f"n{c}_{k}"] for c in (0, 1)], dtype=float) for k in (1, 2))
-    cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
-
-    total, follow = np.zeros((2, contexts), dtype=np.int64), np.zeros((2, contexts), dtype=np.int64)
-    got = pairs.groupBy(before).agg(*sums, *kinds).toArrow().to_pandas()
-    for c in (0, 1):
-        total[c, got["before"]] = got[f"n{c}"]
-        follow[c, got["before"]] = got[f"k{c}"]
-    gamma = np.where(total > 0, cuts[:, None] * follow / np.maximum(total, 1), 1.0)
-    del got, follow
-
-    rank = F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")
-    best = pairs.groupBy((F.col("pair") % pair_slots).alias("slot")).agg(F.max(rank).alias("best"))
-    best = best.select("best.pair", "best.n0", "best.n1").toArrow().to_pandas()
-    held = np.full(pair_slots, -1, dtype=np.int64)
-    own = np.zeros((2, pair_slots), dtype=np.float32)
-    pair = best["pair"].to_numpy()
-    held[pair % pair_slots] = pair
-    left, right = pair >> word_bits, pair & (size - 1)
-    for c in (0, 1):
-        kept = np.maximum(best[f"n{c}"].to_numpy() - cuts[c], 0) / np.maximum(total[c, left], 1)
-        own[c, pair % pair_slots] = np.log(kept + gamma[c, left] * alone[c, right])
-    word = np.log(alone, out=alone)
-    return Model(word_bits, context_bits, word, np.log(np.maximum(gamma, 1e-9)).astype(np.float32), held, own)
-
-
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Hash of 64 bits of two words' hashes."""
     with np.errstate(over="ignore"):
@@ -261,8 +123,12 @@ class Estimates:
 
 
 def estimate(learn: DataFrame) -> Estimates:
-    """As ``fit``, for ``learn (text, label)``, without a bound on words or pairs; only totals meet the driver."""
-    pairs = stored(count_all(learn))
+    """Both models from ``learn (text, label)``: every pair of every row is counted; only totals meet the driver.
+
+    Each class backs off from pairs to how many words its words follow, and from there to the same counts of both
+    classes together, so that what is rare in both tells little.
+    """
+    pairs = pairs_table = stored(count_all(learn))
     kinds = [(F.col(f"n{c}") > 0).cast("long") for c in (0, 1)]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
@@ -276,7 +142,7 @@ def estimate(learn: DataFrame) -> Estimates:
         role("after", zero, zero, zero, zero, *kinds, one),
     )
     words = pairs.select(F.inline(roles)).groupBy("word").agg(*[F.sum(k).alias(k) for k in names])
-    words = stored(words)
+    words = words_table = stored(words)
     spots = [F.count_if(F.col(f"k{c}") == k).alias(f"k{c}_{k}") for c in range(3) for k in range(1, 5)]
     more = [F.count_if(F.col(f"k{c}") >= 3).alias(f"k{c}_more") for c in range(3)]
     sums = [F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"k{c}_all") for c in range(3)]
@@ -284,7 +150,7 @@ def estimate(learn: DataFrame) -> Estimates:
     seen = seen.first()
 
     def lower(c: int, back: tuple[Column, float]) -> tuple[Column, float]:
-        """``continuation`` as an expression, and of a word never counted."""
+        """Probability of a word by how many words it follows, backed off to ``back``; and of a word never counted."""
         total = seen[f"k{c}_all"]
         known, never = back
         if not total:
@@ -335,7 +201,9 @@ def estimate(learn: DataFrame) -> Estimates:
         *[(F.col(f"a{c}") - unknown[c]).cast("float").alias(f"x{c}") for c in (0, 1)],
         *[F.col(f"g{c}").cast("float").alias(f"y{c}") for c in (0, 1)],
     )
-    return Estimates(stored(rows.unionByName(singles)), unknown)
+    found = Estimates(stored(rows.unionByName(singles)), unknown)
+    forget(pairs_table, words_table)
+    return found
 
 
 def commonest(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,58 +221,56 @@ def commonest(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = None) -> DataFrame:
-    """``_text, ordinary, toxic, alone, highest`` for each different text of ``docs (text)``, as ``Model.features``.
+    """``row_tag, ordinary, toxic, telling`` for each row of ``docs (row_tag, text)``.
 
-    ``_text`` is ``xxhash64`` of the text. Copies of a text count alike, in the sums and in what these are divided by.
+    ``ordinary`` and ``toxic`` are log-likelihoods per word. ``telling`` is the mean difference of the two over the
+    ``TELLING_WORDS`` words that tell most, by themselves; none tells less than nothing, and of a part of the words only one is taken.
     """
     known = docs.sparkSession.sparkContext.broadcast(commonest(found.rows, KNOWN_KEYS if known_keys is None else known_keys))
+    gap = found.unknown[1] - found.unknown[0]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, values = known.value
         numbers = WordHashes()
         for pdf in batches:
-            pdf = pdf.drop_duplicates("_text")
             for start in range(0, len(pdf), TEXTS):
                 some = pdf.iloc[start : start + TEXTS]
-                yield ask_some(some["_text"].to_numpy(np.int64), [numbers.of(t) for t in some["text"]], keys, values)
+                yield ask_some(some["row_tag"].to_numpy(np.int64), [numbers.of(t) for t in some["text"]], keys, values, gap)
 
-    asked = docs.select(F.xxhash64("text").alias("_text"), "text").mapInPandas(
-        ask, "_text long, key long, n int, m int, sums array<double>"
-    )
+    asked = docs.select("row_tag", "text").mapInPandas(ask, "row_tag long, key long, n int, m int, sums array<float>")
     # Sort-merge, which Spark splits where one key is asked for by many texts.
     met = asked.join(found.rows.drop("n").hint("merge"), "key", "left")
-    word, apart = (F.col("m") >= 0) & (F.col("n") > 0) & F.col("x0").isNotNull(), F.col("x1") - F.col("x0")
-    here = [F.coalesce(F.col("sums")[i], F.lit(0.0)) for i in range(5)]
+    word = (F.col("m") >= 0) & (F.col("n") > 0)
+    # What was never counted has the log probabilities of unknown words.
+    apart = F.coalesce(F.col("x1") - F.col("x0"), F.lit(0.0)) + gap
+    here = [F.coalesce(F.col("sums")[i], F.lit(0.0)) for i in range(3)]
     parts = [F.col("n") * F.col(f"x{c}") + F.greatest("m", F.lit(0)) * F.col(f"y{c}") for c in (0, 1)]
-    parts = [*parts, F.when(word, F.col("n") * apart)]
-    sums = [F.sum(here[i] + F.coalesce(parts[i], F.lit(0.0))).alias(f"s{i}") for i in range(3)]
-    total = met.groupBy("_text").agg(
-        *sums,
-        F.sum(here[3]).alias("words"),
-        (F.sum(here[4]) - F.count_if(word)).alias("missed"),
-        F.max(F.greatest(F.col("sums")[5], F.when(word, apart))).alias("most"),
+    part = F.pmod("key", F.lit(WORD_PARTS))
+    most = [F.max(F.greatest(F.col("sums")[3 + i], F.when(word & (part == i) & (apart > 0), apart.cast("float")))) for i in range(WORD_PARTS)]
+    total = met.groupBy("row_tag").agg(
+        *[F.sum(here[i] + F.coalesce(parts[i], F.lit(0.0))).alias(f"s{i}") for i in (0, 1)],
+        F.sum(here[2]).alias("words"),
+        F.reverse(F.array_sort(F.array(*[F.coalesce(m, F.lit(0.0).cast("float")) for m in most]))).alias("most"),
     )
-    gap = found.unknown[1] - found.unknown[0]
     none = F.col("words") == 0
 
     def mean(column: str, of_unknown: float) -> Column:
         return F.when(none, 0.0).otherwise(F.col(column) / F.col("words") + of_unknown)
 
-    most = F.when(F.col("missed") > 0, F.greatest(F.col("most"), F.lit(0.0))).otherwise(F.col("most"))
+    telling = sum((F.col("most")[i] for i in range(1, TELLING_WORDS)), F.col("most")[0]).cast("double") / TELLING_WORDS
     return total.select(
-        "_text",
+        "row_tag",
         mean("s0", found.unknown[0]).alias("ordinary"),
         mean("s1", found.unknown[1]).alias("toxic"),
-        mean("s2", gap).alias("alone"),
-        F.when(none, 0.0).otherwise(most + gap).alias("highest"),
+        telling.alias("telling"),
     )
 
 
-def ask_some(texts: np.ndarray, words: list[np.ndarray], keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+def ask_some(tags: np.ndarray, words: list[np.ndarray], keys: np.ndarray, values: np.ndarray, gap: float) -> pd.DataFrame:
     """The words and pairs of some texts that are not in ``keys``, and one row a text with the sums over those that are.
 
     ``n`` and ``m`` are how often a word comes after and before another; a pair has ``m`` = -1. ``sums``: ordinary,
-    toxic, difference by words, number of words, different words asked for, highest difference.
+    toxic, number of words, and of each part of the words the highest difference above nothing.
     """
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for w in words:
@@ -418,34 +284,21 @@ def ask_some(texts: np.ndarray, words: list[np.ndarray], keys: np.ndarray, value
     spot = np.minimum(np.searchsorted(keys, key), max(keys.size - 1, 0))
     held = keys[spot] == key if keys.size else np.zeros(key.size, dtype=bool)
     x = values[spot[held]].astype(float)
-    sums = np.zeros((len(words), 6))
-    is_word, apart = (m[held] >= 0) & (n[held] > 0), x[:, 1] - x[:, 0]
+    sums = np.zeros((len(words), 3 + WORD_PARTS))
     for c in (0, 1):
         np.add.at(sums[:, c], of[held], n[held] * x[:, c] + np.maximum(m[held], 0) * x[:, 2 + c])
-    np.add.at(sums[:, 2], of[held][is_word], (n[held] * apart)[is_word])
-    sums[:, 3] = [w.size for w in words]
-    np.add.at(sums[:, 4], of[~held & (m >= 0) & (n > 0)], 1)
-    sums[:, 5] = -np.inf
-    np.maximum.at(sums[:, 5], of[held][is_word], apart[is_word])
+    sums[:, 2] = [w.size for w in words]
+    is_word = (m[held] >= 0) & (n[held] > 0)
+    apart = (x[:, 1] - x[:, 0] + gap)[is_word]
+    np.maximum.at(sums, (of[held][is_word], 3 + key[held][is_word] % WORD_PARTS), apart)
     rest = ~held
-    asked = pd.DataFrame({"_text": texts[of[rest]], "key": key[rest], "n": n[rest], "m": m[rest]})
-    own = pd.DataFrame({"_text": texts, "key": texts, "n": 0, "m": -1, "sums": list(sums)})
+    asked = pd.DataFrame({"row_tag": tags[of[rest]], "key": key[rest], "n": n[rest], "m": m[rest]})
+    # Counted no times, so that a pair whose key is such a number adds nothing.
+    own = pd.DataFrame({"row_tag": tags, "key": tags, "n": 0, "m": -1, "sums": list(sums)})
     asked["sums"] = None
     return pd.concat([asked, own], ignore_index=True)
 
 
-def _judge(model: Broadcast):
-    @F.pandas_udf("struct<ordinary: double, toxic: double, alone: double, highest: double>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = model.value
-        numbers = WordNumbers(found.word_bits)
-        for texts in batches:
-            rows = [found.features(numbers.of(t)) for t in texts]
-            yield pd.DataFrame(rows, columns=["ordinary", "toxic", "alone", "highest"])
-
-    return judge
-
-
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -456,71 +309,74 @@ def score_toxicity(
     threshold: float = THRESHOLD,
     calibration_share: int = CALIBRATION_SHARE,
     calibration_rows: int = CALIBRATION_ROWS,
-    **sizes: int,
 ) -> DataFrame:
     """``docs`` with ``log_ordinary``, ``log_toxic`` (per word), ``score`` and ``predicted``.
 
-    The score is a logistic function of the difference between the two, of the mean
-    difference by words alone, and of the highest one, as a few expressions make a long text
-    toxic. It is calibrated on one in ``calibration_share`` learned documents, or fewer
+    The score is a logistic function of two differences between log-likelihoods per word: of the whole text, and of its
+    most telling words alone. It is calibrated on one in ``calibration_share`` learned documents, or fewer
     so that they are about ``calibration_rows``, that the counts leave out. Only rows where ``learn`` holds teach. A text without words (empty, null)
-    has three zeros and the score of these. Without labels of both kinds every score is
-    the share of label 1, and 0 without any. Columns of the four names are replaced; rows,
-    repeats and null ids too, stay. Every counted pair and word keeps its estimate, unless the caller names
-    ``sizes`` for ``fit``.
+    has zeros and the score of these. Without labels of both kinds every score is
+    the share of label 1, and 0 without any. Columns of the four names are replaced, all others stay whatever their names; rows,
+    repeats and null ids too, stay. Every counted pair and word keeps its estimate.
     """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    judged = _judged(docs, names, labels, learn, doc_id, text, label, threshold, calibration_share, calibration_rows)[1]
+    new = ["log_ordinary", "log_toxic", "score", "predicted"]
+    old = [F.col(c).alias(k) for c, k in zip(names, docs.columns, strict=True) if k not in new]
+    return judged.select(*old, *[F.col(f"_{k}").alias(k) for k in new])
+
+
+def _judged(
+    docs: DataFrame,
+    names: list[str],
+    labels: DataFrame,
+    learn: Column | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    threshold: float = THRESHOLD,
+    calibration_share: int = CALIBRATION_SHARE,
+    calibration_rows: int = CALIBRATION_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` under other ``names`` with ``row_tag``; the same with verdicts; and the stored table of likelihoods."""
+    teaches = F.lit(True) if learn is None else learn
+    rows = placed(docs.select("*", teaches).toDF(*names, "_learn"))
+    at_id, at_text = (names[docs.columns.index(k)] for k in (doc_id, text))
+    texts = rows.select("row_tag", F.col(at_text).alias("text"))
     known = one_label(labels, label, doc_id)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if learn is not None:
-        ids = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    taught = ids.join(known, "doc_id")
+    learned = rows.where("_learn").select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text"), "row_tag")
+    taught = learned.join(known, "doc_id")
     # No more than calibration takes: all other rows teach.
     share = max(calibration_share, -(-taught.count() // calibration_rows))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(share)) == 0
-    names = ["ordinary", "toxic", "alone", "highest"]
-    if sizes:
-        judge = _judge(docs.sparkSession.sparkContext.broadcast(fit(taught.where(~held), **sizes)))
-        kept = taught.where(held).select("doc_id", "label", judge("text").alias("f")).select("doc_id", "label", "f.*")
-        judged = docs.withColumn("_judged", judge(text))
-    else:
-        texts = docs.select(F.col(text).alias("text"))
-        found = stored(text_features(texts, estimate(taught.where(~held))))
-        kept = taught.where(held).select("doc_id", "label", F.xxhash64("text").alias("_text"))
-        kept = kept.join(found.hint("merge"), "_text").select("doc_id", "label", *names)
-        one = found.select("_text", F.struct(*names).alias("_judged")).hint("merge")
-        judged = docs.withColumn("_text", F.xxhash64(text)).join(one, "_text").drop("_text")
+    estimates = estimate(taught.where(~held))
+    found = stored(text_features(texts, estimates))
+    forget(estimates.rows)
+    kept = taught.where(held).select("doc_id", "label", "row_tag").join(found.hint("merge"), "row_tag")
     # Twice as many if ids fall so: what is left out is used.
-    few = bounded_sample(kept, 2 * calibration_rows).toArrow().to_pandas()
-    x = np.c_[few["toxic"] - few["ordinary"], few["alone"], few["highest"]].astype(float)
+    few = bounded_sample(kept.drop("row_tag"), 2 * calibration_rows).toArrow().to_pandas()
+    x = np.c_[few["toxic"] - few["ordinary"], few["telling"]].astype(float)
     y = few["label"].to_numpy(dtype=float)
     if not few.size or y.min() == y.max():
         rate = taught.agg(F.avg("label")).first()[0]
-        y, x = np.full(1, rate or 0.0), np.zeros((1, 3))
+        y, x = np.full(1, rate or 0.0), np.zeros((1, 2))
     weights, start = fit_logistic(x, y)
-    f = F.col("_judged")
-    linear = (
-        (f["toxic"] - f["ordinary"]) * float(weights[0])
-        + f["alone"] * float(weights[1])
-        + f["highest"] * float(weights[2])
-        + float(start)
-    )
-    out = judged.withColumns(
-        {"log_ordinary": f["ordinary"], "log_toxic": f["toxic"], "score": sigmoid_of(linear)}
-    ).drop("_judged")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    linear = (F.col("toxic") - F.col("ordinary")) * float(weights[0]) + F.col("telling") * float(weights[1]) + float(start)
+    scored = found.select(
+        "row_tag", F.col("ordinary").alias("_log_ordinary"), F.col("toxic").alias("_log_toxic"), sigmoid_of(linear).alias("_score")
+    ).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    rows = rows.drop("_learn")
+    return rows, rows.join(scored.hint("merge"), "row_tag"), found
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names)
-    at = {k: names[docs.columns.index(options.pop(k, k))] for k in ("doc_id", "text")}
-    known = labels.withColumnRenamed("doc_id", at["doc_id"])
-    # A verdict depends on the text alone, so whole rows need not meet scores, only the few toxic texts.
-    renamed = renamed.withColumn("_key", F.xxhash64(at["text"]))
-    judged = score_toxicity(renamed, known, **at, **options)
-    toxic = stored(judged.where("predicted = 1").select("_key").distinct())
-    return renamed.join(toxic, "_key", "left_anti").select(*names).toDF(*docs.columns)
+    rows, judged, found = _judged(docs, names, labels, **options)
+    # Whole rows need not meet scores, only the few toxic numbers.
+    toxic = stored(judged.where("_predicted = 1").select("row_tag"))
+    forget(found)
+    return rows.join(toxic, "row_tag", "left_anti").select(*names).toDF(*docs.columns)
 
 
 @query("op2_kneser_ney")

@@ -7,15 +7,15 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from geotext.llm import kneser_ney
 from geotext.llm.common import table
-from geotext.llm.kneser_ney import WordNumbers, discounts, drop_toxic, fit, pairs_of, score_toxicity
+from geotext.llm.kneser_ney import discounts, drop_toxic, score_toxicity
 from geotext.llm.labelled import fit_logistic, pool_adjacent
 
 SF = "/root/testdata/sf0.01"
-SMALL = {"word_bits": 16, "context_bits": 16, "pair_slots": 4099}
 
 
 def talk(maker, n, bad=0):
@@ -32,65 +32,20 @@ def taught(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(3).cache()
 
 
-def test_model_against_dictionaries(spark, taught):
-    learn = taught.select("text", F.col("toxic").alias("label"))
-    model = fit(learn, **SMALL)
-    count = [Counter(), Counter()]
-    for r in learn.collect():
-        words = ["", *r.text.split()]
-        count[r.label].update(zip(words, words[1:]))
-    shared = set(count[0]) | set(count[1])
-    numbers = WordNumbers(SMALL["word_bits"])
-
-    def lower(pairs, w, back):
-        types = Counter(b for _, b in pairs)
-        d = discounts(np.array(list(types.values())))
-        total, lost = len(pairs), sum(min(d[min(n, 3)], n) for n in types.values())
-        return (types[w] - min(d[min(types[w], 3)], types[w]) + lost * back) / total
-
-    vocabulary = {b for _, b in shared}
-    for c in (0, 1):
-        once, twice = (sum(n == k for n in count[c].values()) for k in (1, 2))
-        cut = once / (once + 2 * twice) if once else 0.5
-        for a, b in [("the", "cat"), ("", "moron"), ("scum", "scum"), ("hill", "unseen"), ("unseen", "red")]:
-            back = lower(count[c], b, lower(shared, b, 1 / (len(vocabulary) + 1)))
-            total = sum(n for (x, _), n in count[c].items() if x == a)
-            kinds = sum(1 for x, _ in count[c] if x == a)
-            want = (max(count[c][a, b] - cut, 0) + cut * kinds * back) / total if total else back
-            ids = np.array([numbers[a.encode()] if a else 0, numbers[b.encode()]])
-            pair = int(ids[0] << 16 | ids[1])
-            slot = pair % SMALL["pair_slots"]
-            got = model.pair[c, slot] if model.held[slot] == pair else model.gamma[c, ids[0]] + model.word[c, ids[1]]
-            assert got == pytest.approx(math.log(want), abs=1e-3), (c, a, b)
-
-
-def test_probabilities_sum_to_one():
-    types = np.array([5, 1, 1, 2, 0, 9, 3])
-    assert kneser_ney.continuation(types, np.float32(1 / 7)).sum() == pytest.approx(1)
-
-
 def test_edges(spark, taught):
     maker = random.Random(8)
     rows = [(1, None, 1), (2, "", 2), (None, "scum", 3), (4, "the cat " * 40_000, 4), (4, talk(maker, 30, 1), 5), (4, talk(maker, 30, 1), 5), (5, "ünï ¿? !!", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int").unionByName(taught.select("doc_id", "text", F.lit(0).alias("score")))
     labels = taught.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (7, None), (8, 1), (8, 0)], "doc_id long, toxic int"))
-    got = score_toxicity(docs, labels, **SMALL).collect()
+    got = score_toxicity(docs, labels).collect()
     assert len(got) == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     odd = {r.text: r.predicted for r in got[:7]}
     assert odd[None] == odd[""] == odd["the cat " * 40_000] == 0 and odd["scum"] == 1
-    left = drop_toxic(docs, labels, **SMALL)
+    left = drop_toxic(docs, labels)
     assert left.columns == docs.columns and left.count() == sum(1 - r.predicted for r in got)
 
 
-@pytest.mark.parametrize("kind", ["none", "one"])
-def test_without_both_labels(spark, taught, kind):
-    labels = taught.select("doc_id", F.lit(1).alias("toxic")).where(F.lit(kind == "one"))
-    got = score_toxicity(taught.drop("toxic"), labels, **SMALL).select("score").distinct().collect()
-    assert len(got) == 1 and got[0].score == pytest.approx(float(kind == "one"), abs=1e-3)
-    assert score_toxicity(taught.where(F.lit(False)), labels, **SMALL).count() == 0
-
-
 def test_held_out_accuracy(spark):
     toxic = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
     got = kneser_ney.op2_kneser_ney(spark, SF).collect()
@@ -100,13 +55,31 @@ def test_held_out_accuracy(spark):
     assert sum(p == y for p, y in held) >= 0.93 * len(held)
 
 
+def test_held_out_precision_and_recall(spark):
+    """On the largest table. 23 of 144 held-out toxic rows hold none of the insults, so recall by them is 0.84 at best; 0.722 was measured."""
+    folder = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in table(spark, folder, "labels").collect()}
+    got = kneser_ney.op2_kneser_ney(spark, folder).select("doc_id", "held_out", "predicted").collect()
+    held = [(r.predicted, toxic[r.doc_id]) for r in got if r.held_out and r.doc_id in toxic]
+    hits = sum(p and y for p, y in held)
+    precision, recall = hits / sum(p for p, _ in held), hits / sum(y for _, y in held)
+    assert precision >= 0.95 and recall >= 0.7
+
+
+def test_columns_of_any_name_stay(spark, taught):
+    named = taught.select("doc_id", "text", *[F.lit(7).alias(k) for k in ("_judged", "_text", "row_tag", "_learn", "_score", "c0")])
+    got = score_toxicity(named, taught.select("doc_id", "toxic"))
+    assert got.columns == [*named.columns, "log_ordinary", "log_toxic", "score", "predicted"]
+    assert got.where("_judged + _text + row_tag + _learn + _score + c0 = 42").count() == 600
+    left = drop_toxic(named, taught.select("doc_id", "toxic"))
+    assert left.columns == named.columns and left.where("_text = 7").count() == got.where("predicted = 0").count()
+
+
 def test_fits():
     assert pool_adjacent(np.array([1.0, 3, 2, 2, 5]), np.ones(5)).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
     x = np.array([[0.0], [1], [2], [3]])
     w, b = fit_logistic(x, np.array([0.0, 0, 1, 1]))
     assert w[0] > 0 and b < 0
-    assert pairs_of(np.array([], dtype=np.int64), 4, 4).size == 0
-    assert pairs_of(np.array([9, 3, 6]), 4, 3).tolist() == [9, 1 << 4 | 3, 3 << 4 | 6]
 
 
 def brute_log_likelihoods(taught):
@@ -170,18 +143,10 @@ def test_every_counted_pair_keeps_its_estimate(spark, known_keys, monkeypatch):
 
 def test_words_that_share_22_bits_are_told_apart(spark, monkeypatch):
     words = [f"w{i}" for i in range(6000)]
-    assert len({WordNumbers(22)[w.encode()] for w in words}) < len(words)
+    assert len({xxhash.xxh3_64_intdigest(w.encode()) >> 42 for w in words}) < len(words)
     check_likelihoods(spark, words, 1000, monkeypatch)
 
 
-def test_whole_tables_as_fixed_ones_of_ample_size(spark, taught):
-    docs, labels = taught.select("doc_id", "text"), taught.select("doc_id", "toxic")
-    ample = {"word_bits": 20, "context_bits": 20, "pair_slots": 1_048_573}
-    want = {r.doc_id: r for r in score_toxicity(docs, labels, **ample).collect()}
-    for r in score_toxicity(docs, labels).collect():
-        assert r.score == pytest.approx(want[r.doc_id].score, abs=1e-3) and r.predicted == want[r.doc_id].predicted
-
-
 @pytest.mark.parametrize("kind", ["none", "one"])
 def test_whole_tables_without_both_labels(spark, taught, kind):
     labels = taught.select("doc_id", F.lit(1).alias("toxic")).where(F.lit(kind == "one"))
