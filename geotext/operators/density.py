@@ -34,6 +34,7 @@ from geotext.operators.neighbours import collapse, crowd, meet, place
 from geotext.operators.skew import attach
 from geotext.session import cut
 
+#: Sites of an author that one task takes whole; dbscan holds a distance for each two of them, 32 MB.
 FOLD_SITES = 2_000
 
 #: A block of large authors is three times so many eps wide, with a margin of so many.
@@ -262,13 +263,68 @@ def _join_earliest_seed(placed, seeds, by, geometry, rows) -> DataFrame:
 
 
 def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> DataFrame:
-    """Components of core sites, found on cells: the core sites of one cell always belong together."""
-    rows = fold_sites
-    placed = place(sites, eps_values, geometry)
-    if not fold_sites:
-        placed = cut(placed)
+    if fold_sites:
+        return _dbscan_by_fold(sites, eps_values, min_neighbours, by, geometry)
+    return _dbscan_by_rounds(sites, eps_values, min_neighbours, by, geometry)
+
+
+def _dbscan_by_fold(sites, eps_values, min_neighbours, by, geometry) -> DataFrame:
+    """Labels of authors of bounded size: one pass over each author's sites, for the whole grid.
+
+    Sites without an author or a place have no neighbours and are noise.
+    """
+    site = ["first_id", "lat", "lon", "weight"]
+    known = sites.select(by, *site).dropna(subset=[by, "lat", "lon"])
+    types = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    columns = {"eps": "double", "m": "int", **{c: types[c] for c in (by, *site)}, "cluster_id": types["first_id"]}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
+    return known.groupBy(by).applyInPandas(
+        _component_fold(list(columns), eps_values, min_neighbours, geometry), schema
+    )
+
+
+def _component_fold(columns: list[str], eps_values, min_neighbours, geometry: Geometry):
+    """Labels of one author's sites. The distances are worked out once and serve every (eps, m)."""
+    on_rows = distance(geometry.distance).on_rows
+    grid_eps, ms = [float(e) for e in eps_values], [int(m) for m in min_neighbours]
+
+    def fold(sites: pd.DataFrame) -> pd.DataFrame:
+        sites = sites.sort_values("first_id", ignore_index=True)
+        at, weight, n = sites[["lat", "lon"]].to_numpy(float), sites["weight"].to_numpy(float), len(sites)
+        apart = np.array([on_rows(at, p) for p in at])
+        found = []
+        for eps in grid_eps:
+            near = apart < eps
+            k = near.astype(float) @ weight - 1
+            for m in ms:
+                label = _components(near, k >= m)
+                kept = np.flatnonzero(label < n)
+                ids = sites["first_id"].to_numpy()[label[kept]]
+                found.append(sites.loc[kept].assign(eps=eps, m=m, cluster_id=ids)[columns])
+        return pd.concat(found, ignore_index=True)
+
+    return fold
+
+
+def _components(near: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """The lowest core site that each site is linked to by core sites; their number for noise."""
+    n = len(core)
+    label = np.full(n, n)
+    for first in np.flatnonzero(core):
+        front = [first] if label[first] == n else []
+        while len(front):
+            label[front] = first
+            front = np.flatnonzero(near[front].any(axis=0) & core & (label == n))
+    edge = np.flatnonzero(~core)
+    label[edge] = np.where(near[edge] & core, label, n).min(axis=1, initial=n)
+    return label
+
+
+def _dbscan_by_rounds(sites, eps_values, min_neighbours, by, geometry) -> DataFrame:
+    """Components of core sites of authors of any size, found on cells: the core sites of one cell always belong together."""
+    placed = cut(place(sites, eps_values, geometry))
     ms = F.array(*[F.lit(int(m)) for m in min_neighbours])
-    each = crowd(placed, max(min_neighbours), by, geometry, rows).withColumn("m", F.explode(ms))
+    each = crowd(placed, max(min_neighbours), by, geometry).withColumn("m", F.explode(ms))
     each = cut(each.withColumn("is_core", F.col("k") >= F.col("m")))
     keys = ["eps_id", "m", by]
     cores = each.where("is_core")
@@ -277,17 +333,17 @@ def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Data
             F.min("first_id").alias("v"), F.count(F.lit(1)).alias("cell_sites")
         )
     )
-    cores = cut(attach(cores, cells, [*keys, *CELL], rows=rows))
-    edges = _core_edges(cores, keys, geometry, rows)
-    roots = connected_components(edges, keys, rows)
-    cores = attach(cores, roots, [*keys, "v"], "left", rows=rows).withColumn(
+    cores = cut(attach(cores, cells, [*keys, *CELL]))
+    edges = _core_edges(cores, keys, geometry)
+    roots = connected_components(edges, keys)
+    cores = attach(cores, roots, [*keys, "v"], "left").withColumn(
         "cluster_id", F.coalesce("root", "v")
     )
     # A site that is not core shares its cell with few others.
     site = ["first_id", "lat", "lon", "eps", "weight"]
     others = each.where(~F.col("is_core")).select(*keys, *site)
     borders = (
-        meet(cores.select(*keys, *site, *TILE, "cluster_id"), others, keys, geometry, rows)
+        meet(cores.select(*keys, *site, *TILE, "cluster_id"), others, keys, geometry)
         .groupBy(*keys, F.col("p_first_id").alias("first_id"))
         .agg(
             *[F.max("p_" + c).alias(c) for c in ("lat", "lon", "weight")],
@@ -299,12 +355,12 @@ def _dbscan(sites, eps_values, min_neighbours, by, geometry, fold_sites) -> Data
     return cores.select(label).unionByName(borders.select(label))
 
 
-def _core_edges(cores, keys, geometry, rows) -> DataFrame:
+def _core_edges(cores, keys, geometry) -> DataFrame:
     """``(keys, a, b)``: cells, named by their lowest core post, with close core sites."""
     crowded = F.col("cell_sites") > blocks.CROWDED_SITES
     few = cores.where(~crowded).select(*keys, "first_id", "lat", "lon", "eps", "v")
     edges = (
-        meet(cores, few, keys, geometry, rows)
+        meet(cores, few, keys, geometry)
         .where(F.col("v") != F.col("p_v"))
         .select(*keys, F.col("v").alias("a"), F.col("p_v").alias("b"))
     )

@@ -53,6 +53,31 @@ def test_bounded_authors(spark, mode):
     check_labels(spark, brute.skewed_posts(1), [0.05, 0.3], [1, 3, 10], mode)
 
 
+def test_dbscan_of_bounded_authors_is_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(density, "cut", None)  # no checkpoint, no rounds
+    posts = [*brute.edge_posts(11, 80), *[(2, 1000 + i, i * 0.01, 0.0) for i in range(60)]]
+    check_labels(spark, posts, [1.2, 3.0], [1, 2, 4], "dbscan")
+    check_labels(spark, posts, [0.011, 0.3], [1, 2], "dbscan", Geometry("manhattan"))
+
+
+def test_dbscan_agrees_on_both_sides_of_the_limit(spark):
+    df = spark.createDataFrame(brute.skewed_posts(12, 200), SCHEMA)
+    order = ["eps", "m", "user_id", "post_id"]
+    folded, rounds = (
+        density_cluster(df, [0.05, 0.3], [1, 4], "dbscan", fold_sites=n).toPandas().sort_values(order, ignore_index=True)
+        for n in (2000, 1)
+    )
+    assert folded.equals(rounds[folded.columns])
+
+
+@pytest.mark.parametrize("mode", ["one_hop", "dbscan"])
+def test_sites_without_a_place_or_author_are_noise(spark, mode):
+    posts = [*LINE, (1, 10, None, 1.0), (1, 11, 1.0, None), (None, 12, 0.0, 0.0), (None, 13, 0.0, 0.5)]
+    df = spark.createDataFrame(posts, SCHEMA)
+    found = density_cluster(df, [1.5], [1], mode, geometry=Geometry("euclidean"))
+    assert sorted(r["post_id"] for r in found.collect()) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("mode", ["one_hop", "dbscan"])
 def test_hot_author_hot_spot_and_crowded_cells(spark, tiny_limits, mode):
     check_labels(spark, brute.skewed_posts(2, 160), [0.2], [1, 4], mode, fold_sites=20)
