@@ -291,17 +291,21 @@ def _component_fold(columns: list[str], eps_values, min_neighbours, geometry: Ge
     def fold(sites: pd.DataFrame) -> pd.DataFrame:
         sites = sites.sort_values("first_id", ignore_index=True)
         at, weight, n = sites[["lat", "lon"]].to_numpy(float), sites["weight"].to_numpy(float), len(sites)
-        apart = np.array([on_rows(at, p) for p in at])
-        found = []
+        apart = np.array([on_rows(at, place) for place in at])
+        rows, labels, epss, sizes = [], [], [], []
         for eps in grid_eps:
             near = apart < eps
             k = near.astype(float) @ weight - 1
             for m in ms:
                 label = _components(near, k >= m)
-                kept = np.flatnonzero(label < n)
-                ids = sites["first_id"].to_numpy()[label[kept]]
-                found.append(sites.loc[kept].assign(eps=eps, m=m, cluster_id=ids)[columns])
-        return pd.concat(found, ignore_index=True)
+                rows.append(np.flatnonzero(label < n))
+                labels.append(label[rows[-1]])
+                epss.append(np.full(len(rows[-1]), eps))
+                sizes.append(np.full(len(rows[-1]), m, np.int32))
+        out = sites.take(np.concatenate(rows)).reset_index(drop=True)
+        out["eps"], out["m"] = np.concatenate(epss), np.concatenate(sizes)
+        out["cluster_id"] = sites["first_id"].to_numpy()[np.concatenate(labels)]
+        return out[columns]
 
     return fold
 
