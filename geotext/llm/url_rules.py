@@ -7,6 +7,7 @@ one after another; every url meets every block and keeps its longest rule.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -50,10 +51,24 @@ def path_of(url: Column) -> Column:
 
 @dataclass
 class Segment:
-    """Whole path segments lead down; ``tails`` are rules that end inside the next one."""
+    """Whole path segments lead down; ``tails`` are rules that end inside the next one, ``lengths`` theirs in order."""
 
     below: dict[str, Segment] = field(default_factory=dict)
     tails: dict[str, tuple[str, str]] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
+
+    def add(self, tail: str, found: tuple[str, str]) -> None:
+        at = bisect_left(self.lengths, len(tail))
+        if at == len(self.lengths) or self.lengths[at] != len(tail):
+            self.lengths.insert(at, len(tail))
+        self.tails[tail] = found
+
+    def longest(self, part: str) -> tuple[str, str] | None:
+        """The longest rule that ends inside ``part``: a look-up for each length that rules have."""
+        for n in reversed(self.lengths[: bisect_right(self.lengths, len(part))]):
+            if found := self.tails.get(part[:n]):
+                return found
+        return None
 
 
 @dataclass
@@ -77,7 +92,7 @@ def build_trie(rules: Iterable[Rule]) -> Label:
         *whole, tail = path.split("/")
         for name in whole:
             segment = segment.below.setdefault(name, Segment())
-        segment.tails[tail] = (host + path, verdict)
+        segment.add(tail, (host + path, verdict))
     return root
 
 
@@ -97,9 +112,9 @@ def longest_match(trie: Label, host: str, path: str) -> tuple[str, str] | None:
         for part in segments:
             if node is None:
                 break
-            for tail, found in node.tails.items():
-                if part.startswith(tail) and (best is None or len(found[0]) >= len(best[0])):
-                    best = found
+            found = node.longest(part)
+            if found and (best is None or len(found[0]) >= len(best[0])):
+                best = found
             node = node.below.get(part)
     return best
 

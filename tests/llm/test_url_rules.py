@@ -61,3 +61,16 @@ def test_rules_of():
 
 def test_query_is_registered():
     assert url_rules.op7_url_rules
+
+
+def test_many_rules_on_one_host_cost_a_look_up_for_each_length():
+    rules = [("a.com", f"/user{i}", "block") for i in range(50_000)] + [("a.com", "/", "allow"), ("a.com", "/user", "allow")]
+    trie = url_rules.build_trie(rules)
+    node = trie.below["com"].below["a"].paths.below[""]
+    assert len(node.tails) == 50_002 and node.lengths == [0, *range(4, 10)]
+    for i in range(0, 60_000, 777):
+        path = f"/user{i}x/y"
+        want = max((p for _, p, _ in rules if path.startswith(p)), key=len)
+        assert url_rules.longest_match(trie, "b.a.com", path)[0] == "a.com" + want
+    assert url_rules.longest_match(trie, "a.com", "/use") == ("a.com/", "allow")
+    assert url_rules.longest_match(trie, "a.com", "") is None
