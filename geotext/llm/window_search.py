@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import cut, query, table
+from geotext.llm.common import placed, query, stored, table
 
 WINDOW = 10
 #: Words of benchmark text searched for at once: about 150 MB in a worker's memory.
@@ -142,32 +144,51 @@ def find_windows(
     rows that share an id count as one item. Columns of the five names are replaced.
 
     The benchmark is read to the driver one block of ``block_words`` words at a time,
-    and each block goes over all documents, so that no broadcast grows with it.
+    and each block goes over all documents, so that no broadcast grows with it. With more than
+    one block each stores only the places and spans of the rows that it hits; texts meet
+    these once, after the last block.
     """
-    context = docs.sparkSession.sparkContext
+    new = ["n_words", "n_hit", "spans", "items", "contaminated"]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    words = names[docs.columns.index(text)]
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), item_text)
-    out, first = docs, True
-    for searcher in blocks_of(rows.toLocalIterator(), window, block_words):
-        if not first:
-            out = cut(out)
-        scan = _scan(context.broadcast(searcher))
-        out = out.withColumn("_found", scan(text) if first else scan(text, "_found.starts", "_found.ends", "_found.items"))
-        first = False
-    if first:
-        out = out.withColumn("_found", _scan(context.broadcast(Searcher()))(text))
+    searchers = blocks_of(rows.toLocalIterator(), window, block_words)
+    out = docs.toDF(*names)
+    first, second = next(searchers, Searcher()), next(searchers, None)
+    if second is None:
+        out = out.withColumn("_found", _scan(_shared(docs, first))(words))
+    else:
+        out = _search_blocks(placed(out, "_tag"), words, chain([first, second], searchers))
     spans = F.zip_with(
         "_found.starts", "_found.ends", lambda s, e: F.struct(s.alias("start"), e.alias("end"))
     )
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.withColumns(
-        {
-            "n_words": F.col("_found.n_words"),
-            "n_hit": hit,
-            "spans": spans,
-            "items": F.col("_found.items"),
-            "contaminated": hit > 0,
-        }
-    ).drop("_found")
+    found = [F.col("_found.n_words"), hit, spans, F.col("_found.items"), hit > 0]
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c.lower() not in new]
+    return out.select(
+        *[F.col(n).alias(c) for n, c in kept], *[c.alias(n) for n, c in zip(new, found, strict=True)]
+    )
+
+
+def _shared(docs: DataFrame, searcher: Searcher) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(searcher)
+
+
+def _search_blocks(docs: DataFrame, text: str, searchers: Iterable[Searcher]) -> DataFrame:
+    """``docs``, numbered by ``_tag``, with ``_found`` over all blocks: hits are stored block by block, without texts."""
+    hits = []
+    for searcher in searchers:
+        shared = _shared(docs, searcher)
+        found = docs.select("_tag", _scan(shared)(text).alias("_found")).where(F.size("_found.starts") > 0)
+        hits.append(stored(found.select("_tag", "_found.starts", "_found.ends", "_found.items")))
+        shared.unpersist()
+    each = F.collect_list(F.struct("starts", "ends", "items"))
+    merged = reduce(DataFrame.unionByName, hits).groupBy("_tag").agg(each.alias("each"))
+    merged = merged.select("_tag", *[F.flatten(F.col("each")[c]).alias(c) for c in ("starts", "ends", "items")])
+    out = docs.join(merged, "_tag", "left").withColumns(
+        {c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("starts", "int"), ("ends", "int"), ("items", "string"))}
+    )
+    return out.withColumn("_found", _scan(_shared(docs, Searcher()))(text, "starts", "ends", "items"))
 
 
 def _scan(shared: Broadcast):

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from geotext.llm import window_search
 from geotext.llm.window_search import drop_contaminated, find_windows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,3 +70,21 @@ def test_empty_tables(spark):
     got = find_windows(docs, bench.where(F.lit(False))).first()
     assert (got.n_words, got.n_hit, got["items"]) == (2, 0, [])
     assert find_windows(docs.where(F.lit(False)), bench).count() == 0
+
+
+def test_blocks_store_no_text_and_clashing_columns_stay(spark, tmp_path, monkeypatch):
+    docs, items = tables(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    mine = {"_found": "f", "_tag": "t", "row_tag": "r", "starts": "s", "each": "e"}
+    frame = frame.withColumns({c: F.concat(F.lit(v), F.col("doc_id").cast("string")) for c, v in mine.items()})
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    kept = []
+    whole = window_search.stored
+    monkeypatch.setattr(window_search, "stored", lambda df: kept.append(df.columns) or whole(df))
+    got = find_windows(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=25).collect()
+    assert len(kept) >= 5 and all(c == ["_tag", "starts", "ends", "items"] for c in kept)
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.n_words, r.n_hit, r["items"]) == brute(r.text, items)
+        assert all(r[c] == f"{v}{r.doc_id}" for c, v in mine.items())
