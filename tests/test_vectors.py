@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geotext.functions.distance import distance
-from geotext.operators import metric, skew
+from geotext.operators import metric, neighbourhoods, skew
 from geotext.operators.density import density_cluster
 from geotext.operators.metric import close_vectors
 from geotext.operators.neighbourhoods import cluster_pairs, cluster_vectors
@@ -128,3 +128,43 @@ def test_pivots_are_bounded(monkeypatch, spark):
     rows = clumps(6, n=60)
     got = close_vectors(spark.createDataFrame(rows, SCHEMA), 0.4, cell_rows=40)
     assert {(r.i, r.j) for r in got.collect()} == brute_pairs(rows, 0.4, "euclidean")
+
+
+@pytest.mark.parametrize("mode", ["one_hop", "dbscan"])
+@pytest.mark.parametrize("name,eps", [("euclidean", 0.5), ("euclidean", 6.0), ("cosine", 0.01)])
+def test_clusters_by_small_batches_equal_brute_force(spark, monkeypatch, mode, name, eps):
+    """Several batches of cores, thin rests, and components that only pairs between them join."""
+    monkeypatch.setattr(metric, "BATCH", 12)
+    rows = clumps(9, n=120)
+    got = cluster_vectors(spark.createDataFrame(rows, SCHEMA), eps, 4, mode, name, cell_rows=40)
+    want = brute_clusters([i for i, _ in rows], brute_pairs(rows, eps, name), 4, mode)
+    assert {r.id: r.cluster_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("mode", ["one_hop", "dbscan"])
+def test_dense_vectors_list_no_pairs(spark, monkeypatch, mode):
+    """Where each vector is near a share of all others, pairs grow with the square of the table: they are not listed."""
+    listed = []
+
+    def counted(*args, **options):
+        pairs = close_vectors(*args, **options)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neighbourhoods, "close_vectors", counted)
+    monkeypatch.setattr(metric, "BATCH", 100)
+    maker = np.random.default_rng(4)
+    rows = [(k, v.tolist()) for k, v in enumerate(maker.normal(size=(400, 3)))]
+    got = {r.id: r.cluster_id for r in cluster_vectors(spark.createDataFrame(rows, SCHEMA), 1.5, 3, mode).collect()}
+    pairs = brute_pairs(rows, 1.5, "euclidean")
+    assert got == brute_clusters(range(400), pairs, 3, mode)
+    assert listed and sum(listed) < len(pairs) / 20
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "manhattan"])
+def test_table_of_near_vectors_is_exact_at_the_edge(name):
+    """Copies, and vectors at eps itself: the product's rounding decides nothing."""
+    rows = np.array([[1e6, 0.0], [1e6, 0.0], [1e6, 1e-4], [1e6, 3.0], [1e6 + 4.0, 3.0], [3.0, 4.0], [0.5, 0.5]])
+    for eps in (1e-4, 3.0, 5.0, distance(name).on_rows(rows, rows[0])[3]):
+        want = np.stack([distance(name).on_rows(rows, c) < eps for c in rows], axis=1)
+        assert (metric.Space(distance(name)).near(rows, rows, eps) == want).all()
