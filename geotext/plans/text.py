@@ -9,7 +9,7 @@ from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geotext.functions.text import hashed_counts
-from geotext.session import at_least_cores
+from geotext.session import at_least_cores, cut
 
 NUM_FEATURES = 10_000
 ROUNDS = 20
@@ -84,11 +84,16 @@ def text_pipeline(
 def train_text_kmeans(
     posts: DataFrame, k: int | None = None, count_null: bool = False, **options
 ) -> PipelineModel:
-    """Fit the pipeline on posts with a text and a language; k defaults to the languages' number."""
+    """Fit the pipeline on posts with a text and a language; k defaults to the languages' number.
+
+    The fit reads the features for its size, its start and its summary besides its rounds: they are worked out once and stored.
+    """
     if k is None:
         k = num_languages(posts, count_null=count_null).first()[0]
     # Every round of the fit reads the features: a small table should use all cores.
-    return text_pipeline(k, **options).fit(at_least_cores(project_text_lang(posts)))
+    *helpers, kmeans = text_pipeline(k, **options).getStages()
+    featured = PipelineModel(helpers).transform(at_least_cores(project_text_lang(posts)))
+    return PipelineModel([*helpers, kmeans.fit(cut(featured.select(kmeans.getFeaturesCol())))])
 
 
 def model_k(model: PipelineModel) -> int:

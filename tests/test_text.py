@@ -186,3 +186,20 @@ def test_stream_classify_equals_batch(spark, tmp_path, stream_dir, documents):
     got = spark.read.parquet(path)
     assert 0 < got.count() == batch.count() < 50
     assert got.select("text").distinct().count() == 1
+
+
+def test_a_fit_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = [(f"{'red green' if k % 2 else 'three four'} w{k % 7}", "en" if k % 2 else "fr") for k in range(40)]
+    written = spark.createDataFrame(rows, "text string, lang string")
+    model = text.train_text_kmeans(written.mapInPandas(seen, written.schema), k=2, num_features=64)
+    assert read.value == len(rows)
+    own = text.text_pipeline(2, num_features=64).fit(written)
+    assert [c.tolist() for c in model.stages[-1].clusterCenters()] == [c.tolist() for c in own.stages[-1].clusterCenters()]
+    assert text.model_k(model) == 2 and text.classify(model, written).count() == len(rows)
