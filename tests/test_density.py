@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from geotext.operators import density
+from geotext.operators import density, neighbours
 from geotext.operators.cells import Geometry
 from geotext.operators.density import density_cluster
 from geotext.operators.neighbours import neighbour_count, neighbour_join
@@ -160,3 +160,16 @@ def test_neighbour_rule_as_a_condition(spark):
     later = neighbour_join(df, 0.2, condition=F.col("post_id_j") > F.col("post_id_i"))
     both = neighbour_join(df, 0.2)
     assert later.count() * 2 == both.count() > 0
+
+
+def test_a_crowded_tile_is_many_small_joins(spark, monkeypatch):
+    """All pairs of a tile are tried, so one task takes far fewer of its rows than of a key that is only looked up."""
+    rows = [(k % 3, k, 40.0 + k % 7 * 1e-5, -80.0 + k % 11 * 1e-5) for k in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, post_id long, lat double, lon double")
+    want = {(i, j) for _, i, *a in rows for _, j, *b in rows if i != j and brute.DISTANCES["haversine"](tuple(a), tuple(b)) < 0.001}
+    for limit in (20_000, 9):
+        monkeypatch.setattr(neighbours, "JOIN_ROWS", limit)
+        pairs = neighbour_join(df, 0.001, by=None)
+        assert ("part_i" in pairs._jdf.queryExecution().toString()) == (limit == 9)
+        got = [(r.i, r.j) for r in pairs.select("i", "j").collect()]
+        assert len(got) == len(want) and set(got) == want
