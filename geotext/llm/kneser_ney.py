@@ -2,8 +2,9 @@
 
 Words and pairs are known by hashes of 64 bits. Every pair of every learned text is counted, and every
 counted pair and word keeps an estimate of its own, in a stored Spark table that grows with what is
-learned. A log-likelihood is a sum over a text's words and pairs, so texts meet the table in one join. Of the table only the commonest
-rows are broadcast, so that common keys need not be shuffled; all others are found by the join. A row is known
+learned. A log-likelihood is a sum over a text's words and pairs, so texts meet the table in a join. Of the table only the commonest
+rows are broadcast, so that common keys need not be shuffled; all others are found by the join. The table is stored in buckets of its
+keys and stays where it is; texts meet it a share at a time, so that no more than a share's words and pairs lie on the disks. A row is known
 by its place in the table, so that no two texts are taken for one.
 
 The score compares, per word, the likelihoods of the whole text by pairs and those of its most telling words, since a few
@@ -14,14 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
-from geotext.llm.common import crc_share, forget, placed, query, sigmoid_of, stored, table
+from geotext.llm.common import Buckets, crc_share, forget, placed, query, short_shuffles, sigmoid_of, stored, table
 from geotext.llm.labelled import bounded_sample, fit_logistic, one_label
 from geotext.llm.window_search import words_of
 
@@ -33,8 +36,8 @@ THRESHOLD = 0.7
 
 #: Rows of the table that every worker holds, the commonest; the others are joined.
 KNOWN_KEYS = 1_000_000
-#: Vocabularies up to this size are broadcast to the pairs, larger ones joined by shuffle.
-BROADCAST_WORDS = 500_000
+#: So many of the commonest words are broadcast to the pairs; pairs of other words meet theirs by shuffle.
+BROADCAST_WORDS = 150_000
 #: Words are dealt to so many parts by their hash; of each part a text's most telling word is noted.
 WORD_PARTS = 8
 #: The most telling words, of different parts, over which their log-likelihoods are averaged.
@@ -43,7 +46,14 @@ TELLING_WORDS = 2
 TEXTS = 500
 
 #: Words whose hashes a worker remembers.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
+
+#: Learned texts are counted in so many passes, each of which shuffles its share of the pairs. A share is deleted when it has its estimates.
+COUNT_PASSES = 2
+#: Rows of the table in one bucket, which one task holds while texts pass by.
+BUCKET_ROWS = 300_000
+#: Shares of the texts that meet the table one after the other, so that only one share's words and pairs are shuffled at a time.
+TEXT_SHARES = 4
 
 
 class WordHashes(dict):
@@ -57,7 +67,8 @@ class WordHashes(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """The hashes of a text's words; words are runs of ASCII letters, digits and non-ASCII."""
-        return np.array([self[w] for w in words_of(text)], dtype=np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -90,20 +101,28 @@ def pair_key(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(pair_keys(before.to_numpy(), after.to_numpy()))
 
 
-def count_all(learn: DataFrame) -> DataFrame:
-    """``before, after, n0, n1``: how often each pair of words occurs in texts of either label."""
+def count_all(learn: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """``before, after, n0, n1``: how often each pair of words occurs in texts of either label.
+
+    Of ``turns`` shares of the pairs only that numbered ``turn``.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = WordHashes()
         for pdf in batches:
-            for label, group in pdf.groupby("label"):
-                texts = [numbers.of(t) for t in group["text"]]
-                after = np.concatenate(texts)
-                before = np.concatenate([words_before(w) for w in texts])
-                _, at, n = np.unique(pair_keys(before, after), return_index=True, return_counts=True)
-                zero = np.zeros_like(n)
-                both = {"n0": zero if label else n, "n1": n if label else zero}
-                yield pd.DataFrame({"before": before[at], "after": after[at], **both})
+            for start in range(0, len(pdf), TEXTS):
+                for label, group in pdf.iloc[start : start + TEXTS].groupby("label"):
+                    texts = [numbers.of(t) for t in group["text"]]
+                    after = np.concatenate(texts)
+                    before = np.concatenate([words_before(w) for w in texts])
+                    keys = pair_keys(before, after)
+                    if turns > 1:
+                        mine = keys % turns == turn
+                        keys, before, after = keys[mine], before[mine], after[mine]
+                    _, at, n = np.unique(keys, return_index=True, return_counts=True)
+                    zero = np.zeros_like(n)
+                    both = {"n0": zero if label else n, "n1": n if label else zero}
+                    yield pd.DataFrame({"before": before[at], "after": after[at], **both})
 
     rows = learn.select("text", "label").mapInPandas(count, "before long, after long, n0 long, n1 long")
     return rows.groupBy("before", "after").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -118,9 +137,13 @@ class Estimates:
     ``unknown``: the log probability of a word that was never counted; after one, the weight is 1.
     """
 
-    rows: DataFrame
+    table: Buckets
     unknown: tuple[float, float]
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.table.rows
+
 
 def estimate(learn: DataFrame) -> Estimates:
     """Both models from ``learn (text, label)``: every pair of every row is counted; only totals meet the driver.
@@ -128,7 +151,10 @@ def estimate(learn: DataFrame) -> Estimates:
     Each class backs off from pairs to how many words its words follow, and from there to the same counts of both
     classes together, so that what is rare in both tells little.
     """
-    pairs = pairs_table = stored(count_all(learn))
+    texts = stored(learn.select("text", "label"), "zstd")
+    parts = [stored(count_all(texts, k, COUNT_PASSES)) for k in range(COUNT_PASSES)]
+    forget(texts)
+    pairs = reduce(DataFrame.unionByName, parts)
     kinds = [(F.col(f"n{c}") > 0).cast("long") for c in (0, 1)]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
@@ -166,7 +192,7 @@ def estimate(learn: DataFrame) -> Estimates:
     alone = [lower(c, shared) for c in (0, 1)]
 
     spots = pairs.agg(
-        *[F.count_if(F.col(f"n{c}") == k).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)]
+        *[F.count_if(F.col(f"n{c}") == k).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)], F.count(F.lit(1)).alias("all")
     ).first()
     once, twice = (np.array([spots[f"n{c}_{k}"] for c in (0, 1)], dtype=float) for k in (1, 2))
     cuts = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
@@ -178,13 +204,24 @@ def estimate(learn: DataFrame) -> Estimates:
         "word",
         "t0",
         "t1",
+        (F.col("t0") + F.col("t1") + F.col("k2")).alias("n"),
         *[F.log(alone[c][0]).alias(f"a{c}") for c in (0, 1)],
         *[F.log(weight(c)).alias(f"g{c}") for c in (0, 1)],
     )
-    few = seen["all"] <= BROADCAST_WORDS
-    # Sort-merge joins, which Spark splits where one word has many pairs.
-    first = words.select(F.col("word").alias("before"), "t0", "t1", "g0", "g1").hint("broadcast" if few else "merge")
-    last = words.select(F.col("word").alias("after"), "a0", "a1").hint("broadcast" if few else "merge")
+    first = words.select(F.col("word").alias("before"), "t0", "t1", "g0", "g1", "n")
+    last = words.select(F.col("word").alias("after"), "a0", "a1", "n")
+    least = least_common(words, BROADCAST_WORDS)
+    common = F.lit(False) if least is None else _level() >= least
+
+    def of_words(some: DataFrame) -> DataFrame:
+        near, far = first.where(common).drop("n"), last.where(common).drop("n")
+        met = some.join(F.broadcast(near), "before", "left").join(F.broadcast(far), "after", "left")
+        both = F.col("g0").isNotNull() & F.col("a0").isNotNull()
+        rare = met.where(~both).select(some.columns)
+        # Sort-merge joins, which Spark splits where one word has many pairs.
+        rare = rare.join(first.drop("n").hint("merge"), "before").join(last.drop("n").hint("merge"), "after")
+        return met.where(both).unionByName(rare)
+
     own = []
     for c in (0, 1):
         backed = F.col(f"g{c}") + F.col(f"a{c}")
@@ -192,34 +229,69 @@ def estimate(learn: DataFrame) -> Estimates:
         own.append((F.log(kept + F.exp(backed)) - backed).cast("float").alias(f"x{c}"))
     nothing = [F.lit(0.0).cast("float").alias(f"y{c}") for c in (0, 1)]
     unknown = tuple(float(np.log(alone[c][1])) for c in (0, 1))
-    rows = pairs.join(first, "before").join(last, "after").select(
-        pair_key("before", "after").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *own, *nothing
-    )
-    singles = words.select(
-        F.col("word").alias("key"),
-        (F.col("t0") + F.col("t1")).alias("n"),
-        *[(F.col(f"a{c}") - unknown[c]).cast("float").alias(f"x{c}") for c in (0, 1)],
-        *[F.col(f"g{c}").cast("float").alias(f"y{c}") for c in (0, 1)],
+    held = Buckets(learn.sparkSession, "key", max(1, -(-(spots["all"] + seen["all"]) // BUCKET_ROWS)))
+    held.add(
+        words.select(
+            F.col("word").alias("key"),
+            (F.col("t0") + F.col("t1")).alias("n"),
+            *[(F.col(f"a{c}") - unknown[c]).cast("float").alias(f"x{c}") for c in (0, 1)],
+            *[F.col(f"g{c}").cast("float").alias(f"y{c}") for c in (0, 1)],
+        )
     )
-    found = Estimates(stored(rows.unionByName(singles)), unknown)
-    forget(pairs_table, words_table)
-    return found
+    for some in parts:
+        held.add(of_words(some).select(pair_key("before", "after").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *own, *nothing))
+        forget(some)
+    forget(words_table)
+    return Estimates(held, unknown)
 
 
-def commonest(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, in order, and values of at most ``limit`` rows with the highest ``n``."""
-    level = F.floor(F.log2(F.col("n") + 1) * 8)
+def _level() -> Column:
+    """Eight to a doubling of ``n``."""
+    return F.floor(F.log2(F.col("n") + 1) * 8)
+
+
+def least_common(rows: DataFrame, limit: int) -> int | None:
+    """The lowest level such that at most ``limit`` rows have an ``n`` of it or more; None if there is none."""
     least, held = None, 0
-    for at, n in sorted(rows.groupBy(level.alias("level")).count().toArrow().to_pandas().to_numpy().tolist())[::-1]:
+    for at, n in sorted(rows.groupBy(_level().alias("level")).count().toArrow().to_pandas().to_numpy().tolist())[::-1]:
         held += n
         if held > limit:
             break
         least = at
-    some = rows.where(level >= least) if least is not None else rows.limit(0)
+    return least
+
+
+def commonest(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and values of at most ``limit`` rows with the highest ``n``."""
+    least = least_common(rows, limit)
+    some = rows.where(_level() >= least) if least is not None else rows.limit(0)
     got = some.select("key", "x0", "x1", "y0", "y1").toArrow().to_pandas().sort_values("key")
     return got["key"].to_numpy(np.int64), got[["x0", "x1", "y0", "y1"]].to_numpy(np.float32)
 
 
+class Known:
+    """The rows of ``commonest`` in a task."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        # Most of what is asked differs from all keys in its first 24 bits already.
+        self.begins = np.zeros(1 << 24, bool)
+        self.begins[self._begin(keys)] = True
+
+    @staticmethod
+    def _begin(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) >> np.uint64(40)).astype(np.int64)
+
+    def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and the values of those."""
+        maybe = np.flatnonzero(self.begins[self._begin(key)])
+        spot = np.searchsorted(self.keys, key[maybe])
+        same = self.keys[np.minimum(spot, max(self.keys.size - 1, 0))] == key[maybe] if self.keys.size else np.zeros(0, bool)
+        held = np.zeros(key.size, bool)
+        held[maybe[same]] = True
+        return held, self.values[spot[same]]
+
+
 def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = None) -> DataFrame:
     """``row_tag, ordinary, toxic, telling`` for each row of ``docs (row_tag, text)``.
 
@@ -229,17 +301,24 @@ def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = No
     known = docs.sparkSession.sparkContext.broadcast(commonest(found.rows, KNOWN_KEYS if known_keys is None else known_keys))
     gap = found.unknown[1] - found.unknown[0]
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, values = known.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Known(*known.value)
         numbers = WordHashes()
-        for pdf in batches:
-            for start in range(0, len(pdf), TEXTS):
-                some = pdf.iloc[start : start + TEXTS]
-                yield ask_some(some["row_tag"].to_numpy(np.int64), [numbers.of(t) for t in some["text"]], keys, values, gap)
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                tags, texts = batch.slice(start, TEXTS).columns
+                yield ask_some(tags.to_numpy(), [numbers.of(t) for t in texts.to_pylist()], held, gap)
+
+    def of_share(k: int) -> DataFrame:
+        some = docs.select("row_tag", "text").where(F.pmod(F.xxhash64("row_tag"), F.lit(TEXT_SHARES)) == k)
+        return _features(some.mapInArrow(ask, "row_tag long, key long, n int, m int, sums array<float>"), found, gap)
 
-    asked = docs.select("row_tag", "text").mapInPandas(ask, "row_tag long, key long, n int, m int, sums array<float>")
-    # Sort-merge, which Spark splits where one key is asked for by many texts.
-    met = asked.join(found.rows.drop("n").hint("merge"), "key", "left")
+    return reduce(DataFrame.unionByName, [stored(of_share(k)) for k in range(TEXT_SHARES)])
+
+
+def _features(asked: DataFrame, found: Estimates, gap: float) -> DataFrame:
+    # The table lies in buckets, each held by a task; what is asked streams past, so that a key asked for by many texts costs no memory.
+    met = asked.join(found.rows.drop("n").hint("shuffle_hash"), "key", "left")
     word = (F.col("m") >= 0) & (F.col("n") > 0)
     # What was never counted has the log probabilities of unknown words.
     apart = F.coalesce(F.col("x1") - F.col("x0"), F.lit(0.0)) + gap
@@ -266,37 +345,47 @@ def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = No
     )
 
 
-def ask_some(tags: np.ndarray, words: list[np.ndarray], keys: np.ndarray, values: np.ndarray, gap: float) -> pd.DataFrame:
-    """The words and pairs of some texts that are not in ``keys``, and one row a text with the sums over those that are.
+def ask_some(tags: np.ndarray, words: list[np.ndarray], known: Known, gap: float) -> pa.RecordBatch:
+    """The words and pairs of some texts that are not ``known``, and one row a text with the sums over those that are.
 
     ``n`` and ``m`` are how often a word comes after and before another; a pair has ``m`` = -1. ``sums``: ordinary,
     toxic, number of words, and of each part of the words the highest difference above nothing.
     """
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for w in words:
-        before = words_before(w)
-        pair, times = np.unique(pair_keys(before, w), return_counts=True)
+    befores = [words_before(w) for w in words]
+    ends = np.cumsum([w.size for w in words])[:-1]
+    pairs = np.split(pair_keys(np.concatenate(befores), np.concatenate(words)), ends)
+    for w, before, own in zip(words, befores, pairs, strict=True):
+        pair, times = np.unique(own, return_counts=True)
         single, at = np.unique(np.concatenate([w, before]), return_inverse=True)
         n, m = np.bincount(at[: w.size], minlength=single.size), np.bincount(at[w.size :], minlength=single.size)
         parts.append((np.r_[single, pair], np.r_[n, times], np.r_[m, np.full(pair.size, -1)]))
     key, n, m = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
     of = np.repeat(np.arange(len(words)), [p[0].size for p in parts])
-    spot = np.minimum(np.searchsorted(keys, key), max(keys.size - 1, 0))
-    held = keys[spot] == key if keys.size else np.zeros(key.size, dtype=bool)
-    x = values[spot[held]].astype(float)
-    sums = np.zeros((len(words), 3 + WORD_PARTS))
+    held, x = known.look_up(key)
+    x = x.astype(float)
+    sums = np.zeros((len(words), 3 + WORD_PARTS), np.float32)
     for c in (0, 1):
-        np.add.at(sums[:, c], of[held], n[held] * x[:, c] + np.maximum(m[held], 0) * x[:, 2 + c])
+        sums[:, c] = np.bincount(of[held], n[held] * x[:, c] + np.maximum(m[held], 0) * x[:, 2 + c], len(words))
     sums[:, 2] = [w.size for w in words]
     is_word = (m[held] >= 0) & (n[held] > 0)
     apart = (x[:, 1] - x[:, 0] + gap)[is_word]
     np.maximum.at(sums, (of[held][is_word], 3 + key[held][is_word] % WORD_PARTS), apart)
     rest = ~held
-    asked = pd.DataFrame({"row_tag": tags[of[rest]], "key": key[rest], "n": n[rest], "m": m[rest]})
-    # Counted no times, so that a pair whose key is such a number adds nothing.
-    own = pd.DataFrame({"row_tag": tags, "key": tags, "n": 0, "m": -1, "sums": list(sums)})
-    asked["sums"] = None
-    return pd.concat([asked, own], ignore_index=True)
+    # A text's own row is counted no times, so that a pair whose key is such a number adds nothing.
+    some, none = int(rest.sum()), np.zeros(tags.size, np.int64)
+    at = np.r_[np.zeros(some, np.int32), np.arange(tags.size + 1, dtype=np.int32) * sums.shape[1]]
+    empty = np.r_[np.ones(some, bool), np.zeros(tags.size + 1, bool)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[tags[of[rest]], tags]),
+            pa.array(np.r_[key[rest], tags]),
+            pa.array(np.r_[n[rest], none].astype(np.int32)),
+            pa.array(np.r_[m[rest], none - 1].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(at, mask=empty), pa.array(sums.ravel())),
+        ],
+        names=["row_tag", "key", "n", "m", "sums"],
+    )
 
 
 def score_toxicity(
@@ -320,7 +409,8 @@ def score_toxicity(
     repeats and null ids too, stay. Every counted pair and word keeps its estimate.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    judged = _judged(docs, names, labels, learn, doc_id, text, label, threshold, calibration_share, calibration_rows)[1]
+    with short_shuffles(docs.sparkSession):
+        judged = _judged(docs, names, labels, learn, doc_id, text, label, threshold, calibration_share, calibration_rows)[1]
     new = ["log_ordinary", "log_toxic", "score", "predicted"]
     old = [F.col(c).alias(k) for c, k in zip(names, docs.columns, strict=True) if k not in new]
     return judged.select(*old, *[F.col(f"_{k}").alias(k) for k in new])
@@ -345,13 +435,14 @@ def _judged(
     texts = rows.select("row_tag", F.col(at_text).alias("text"))
     known = one_label(labels, label, doc_id)
     learned = rows.where("_learn").select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text"), "row_tag")
-    taught = learned.join(known, "doc_id")
+    # Whole texts need not be sorted by their ids.
+    taught = learned.join(known.hint("shuffle_hash"), "doc_id")
     # No more than calibration takes: all other rows teach.
     share = max(calibration_share, -(-taught.count() // calibration_rows))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(share)) == 0
     estimates = estimate(taught.where(~held))
-    found = stored(text_features(texts, estimates))
-    forget(estimates.rows)
+    found = text_features(texts, estimates)
+    estimates.table.drop()
     kept = taught.where(held).select("doc_id", "label", "row_tag").join(found.hint("merge"), "row_tag")
     # Twice as many if ids fall so: what is left out is used.
     few = bounded_sample(kept.drop("row_tag"), 2 * calibration_rows).toArrow().to_pandas()
@@ -372,9 +463,10 @@ def _judged(
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows, judged, found = _judged(docs, names, labels, **options)
-    # Whole rows need not meet scores, only the few toxic numbers.
-    toxic = stored(judged.where("_predicted = 1").select("row_tag"))
+    with short_shuffles(docs.sparkSession):
+        rows, judged, found = _judged(docs, names, labels, **options)
+        # Whole rows need not meet scores, only the few toxic numbers.
+        toxic = stored(judged.where("_predicted = 1").select("row_tag"))
     forget(found)
     return rows.join(toxic, "row_tag", "left_anti").select(*names).toDF(*docs.columns)
 

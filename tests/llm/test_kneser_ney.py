@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,8 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from geotext.llm import kneser_ney
-from geotext.llm.common import table
-from geotext.llm.kneser_ney import discounts, drop_toxic, score_toxicity
+from geotext.llm.common import Buckets, table
+from geotext.llm.kneser_ney import count_all, discounts, drop_toxic, score_toxicity
 from geotext.llm.labelled import fit_logistic, pool_adjacent
 
 SF = "/root/testdata/sf0.01"
@@ -162,3 +164,42 @@ def test_only_rows_that_calibrate_are_left_out(spark):
     got = score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"), calibration_share=2, calibration_rows=10)
     unlike = sum(abs(r.log_toxic - r.log_ordinary) < 0.5 for r in got.collect())
     assert 0 < unlike <= 20
+
+
+def test_spent_shuffles_go(spark, taught):
+    """Else those of all steps lie on the disks together."""
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = files(), spark.conf.get(setting)
+    left = drop_toxic(taught.select("doc_id", "text"), taught.select("doc_id", "toxic"))
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(setting) == set_to and not [t for t in spark.catalog.listTables() if t.name.startswith("geotext_")]
+    assert 0 < left.count() < 600
+
+
+def test_a_table_in_buckets_stays_where_it_is(spark):
+    held = Buckets(spark, "key", 4)
+    for low in (0, 50):
+        held.add(spark.range(low, low + 50).select(F.xxhash64("id").alias("key"), F.col("id").alias("x")))
+    asked = spark.range(200).select(F.xxhash64(F.col("id") % 120).alias("key"), F.col("id").alias("n"))
+    met = asked.join(held.rows.hint("shuffle_hash"), "key", "left")
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.n, r.x) for r in met.collect() if r.x is not None) == [(n, n % 120) for n in range(200) if n % 120 < 100]
+    assert met.count() == 200
+    held.drop()
+    assert not spark.catalog.tableExists(held.name)
+
+
+def test_passes_share_the_pairs(spark):
+    texts = spark.createDataFrame([("a b c a b ", i % 2) for i in range(7)] + [("", 0), (None, 1), ("c", 1)], "text string, label int")
+    whole = sorted(map(tuple, count_all(texts).collect()))
+    shares = [list(map(tuple, count_all(texts, k, 3).collect())) for k in range(3)]
+    assert sorted(sum(shares, [])) == whole and sum(r[2] + r[3] for r in whole) == 36
