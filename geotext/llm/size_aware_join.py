@@ -9,7 +9,9 @@ is on. Up to which size sets are small is what costs the fewest rows, worked out
 The order is by a table of hashed counts of bounded size: it need only be the same for all, so its errors cost
 time and never a link. Candidates are compared by their whole sets. Lists are first searched for links
 to one of their members; what those links join needs no comparison among itself. Of other members those
-pairs are compared whose parities over 256 slots differ in no more places than similar sets can.
+pairs are compared whose parities over 256 slots differ in no more places than similar sets can. In crowded
+lists that is done with a few drawn members, then with eight times as many, and so on, as most members of a large
+group are joined by one of their first candidates; only what is still apart is compared with all.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ POSTED = ["key", "name", "n", "left", "place"]
 PARITIES = ["odd_0", "odd_1", "odd_2", "odd_3"]
 #: In lists longer than this a pair is noted at the first that both are on.
 LONG_LIST = 64
+#: Where a list is longer than this, the long ones are first compared with drawn members: so many, then ``MORE_DRAWN`` times as many.
+CROWDED, DRAWN, MORE_DRAWN = 256, 64, 8
 #: Shingles counted, keys handed on, and set digests remembered at once.
 COUNT_ROWS, SLICE_ROWS, KEPT_DIGESTS = 1 << 20, 200_000, 500_000
 
@@ -96,6 +100,11 @@ def has_partners(n: int, percent: int = PERCENT) -> bool:
     return least_overlap(n, percent) < n or 100 * n // percent > n
 
 
+def text_keys(texts: Sequence[str | None]) -> np.ndarray:
+    """A whole text's hash of 64 bits, signed, by which its set is found again without working out all others."""
+    return np.fromiter((xxhash.xxh64_intdigest((t or "").encode()) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         yield batch, [shingle_set(t, size) for t in batch.column("text").to_pylist()]
@@ -168,7 +177,7 @@ def _fresh(digests: list[bytes], met: set[bytes], limit: int) -> list[int]:
 
 
 def prefixes_of(docs: DataFrame, counts: bytes, size: int, percent: int) -> DataFrame:
-    """``digest, name, n, prefix, scan`` and parities, a row per different set that can have partners.
+    """``digest, name, text_key, n, prefix, scan`` and parities, a row per different set that can have partners.
 
     ``prefix`` holds the shingles that come first, enough to share two. ``scan`` estimates the rows of the lists
     of those that it would post: what their slots hold beyond a slot's mean.
@@ -179,23 +188,25 @@ def prefixes_of(docs: DataFrame, counts: bytes, size: int, percent: int) -> Data
         weight = np.frombuffer(zlib.decompress(known.value), "<u4").astype(np.int64)
         usual = float(weight.mean())
         met: set[bytes] = set()
-        for _, sets in _sets(batches, size):
-            sets = [s for s in sets if has_partners(s.size, percent)]
-            digests = [digest_of(s) for s in sets]
+        for batch, sets in _sets(batches, size):
+            of = [k for k, s in enumerate(sets) if has_partners(s.size, percent)]
+            digests = [digest_of(sets[k]) for k in of]
+            new = _fresh(digests, met, KEPT_DIGESTS)
+            texts = text_keys(batch.column("text").take(pa.array([of[k] for k in new], pa.int64())).to_pylist()).tolist()
             rows = []
-            for k in _fresh(digests, met, KEPT_DIGESTS):
-                s = sets[k]
+            for k, text_key in zip(new, texts, strict=True):
+                s = sets[of[k]]
                 rare = weight[_slot(s, weight.size)]
                 first = np.lexsort((s, rare))[: prefix_length(s.size, 2, percent)]
                 posted = rare[first[: prefix_length(s.size, 1, percent)]]
                 scan = posted.size + float(np.maximum(posted - usual, 0).sum())
-                rows.append((digests[k], name_of(digests[k]), s.size, s[first].tobytes(), scan, *parities_of(s)))
-            columns = list(zip(*rows, strict=True)) or [[]] * (5 + len(PARITIES))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), *[pa.int64()] * len(PARITIES)]
-            names = ["digest", "name", "n", "prefix", "scan", *PARITIES]
+                rows.append((digests[k], name_of(digests[k]), text_key, s.size, s[first].tobytes(), scan, *parities_of(s)))
+            columns = list(zip(*rows, strict=True)) or [[]] * (6 + len(PARITIES))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), *[pa.int64()] * len(PARITIES)]
+            names = ["digest", "name", "text_key", "n", "prefix", "scan", *PARITIES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "digest binary, name long, n long, prefix binary, scan double" + "".join(f", {c} long" for c in PARITIES)
+    schema = "digest binary, name long, text_key long, n long, prefix binary, scan double" + "".join(f", {c} long" for c in PARITIES)
     found = docs.select("text").mapInArrow(run, schema)
     return found.dropDuplicates(["digest"])
 
@@ -342,20 +353,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, holds: Callable, size: int, percent: int) -> DataFrame:
-    """``name, shingles``: the whole sets of those names that the filter holds."""
+    """``name, shingles``: the whole sets of those texts whose keys the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for _, sets in _sets(batches, size):
-            sets = [s for s in sets if has_partners(s.size, percent)]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            kept = np.flatnonzero(holds(text_keys(texts)))
+            sets = [s for s in (shingle_set(texts[k], size) for k in kept) if has_partners(s.size, percent)]
             digests = [digest_of(s) for s in sets]
-            names = np.array([name_of(d) for d in digests], np.int64)
-            kept = holds(names)
-            new = [k for k in _fresh(digests, met, KEPT_DIGESTS) if kept[k]]
+            new = _fresh(digests, met, KEPT_DIGESTS)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([digests[k] for k in new], pa.binary()),
-                    pa.array(names[new], pa.int64()),
+                    pa.array([name_of(digests[k]) for k in new], pa.int64()),
                     pa.array([sets[k].tobytes() for k in new], pa.binary()),
                 ],
                 names=["digest", "name", "shingles"],
@@ -365,6 +376,44 @@ def sets_of(docs: DataFrame, holds: Callable, size: int, percent: int) -> DataFr
     return found.dropDuplicates(["digest"]).select("name", "shingles")
 
 
+class _Links:
+    """Links found so far. The sets they were verified by are stored, and so are all pairs that were candidates."""
+
+    def __init__(self, docs: DataFrame, prefixes: DataFrame, size: int, percent: int):
+        self.docs, self.prefixes, self.size, self.percent = docs, prefixes, size, percent
+        self.links = self.pairs = self.sets = None
+        self.held: list[Callable] = []
+
+    def fetch(self, names: DataFrame) -> None:
+        """The whole sets of ``name``, but for those that are there."""
+        keys = self.prefixes.select("name", "text_key")
+        holds, before = filter_of(stored(attach(names, keys, ["name"], rows=1).select("text_key"))), tuple(self.held)
+
+        def missing(some: np.ndarray) -> np.ndarray:
+            found = holds(some)
+            for other in before:
+                found &= ~other(some)
+            return found
+
+        more = stored(sets_of(self.docs, missing, self.size, self.percent))
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        self.held.append(holds)
+
+    def verify(self, pairs: DataFrame, fetch: bool = True) -> None:
+        """Add what links there are among ``pairs``."""
+        pairs = stored(pairs if self.pairs is None else pairs.join(self.pairs, ["a", "b"], "left_anti"))
+        if self.pairs is not None and pairs.isEmpty():
+            return
+        if fetch:
+            self.fetch(_names(pairs))
+        links = stored(verified(pairs, self.sets, self.percent))
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.pairs = pairs if self.pairs is None else self.pairs.unionByName(pairs)
+
+    def roots(self) -> DataFrame:
+        return connected_components(self.links, []).withColumnsRenamed({"v": "name"})
+
+
 def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int | None = None) -> DataFrame:
     """``a, b``: names of different sets that are similar enough, so many that they join what all such pairs join."""
     prefixes = stored(prefixes_of(docs, counts, size, percent))
@@ -375,20 +424,35 @@ def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("first")).where("members > 1")
     entries = stored(attach(entries, lists, ["key"], count="members"))
 
-    star = stored(_star(entries, percent))
-    wanted = filter_of(_names(star))
-    sets = stored(sets_of(docs, wanted, size, percent))
-    links = stored(verified(star, sets, percent))
+    found = _Links(docs, prefixes, size, percent)
+    found.verify(_star(entries, percent))
+    rest = _apart(entries, found.roots(), prefixes)
+    if rest is not None:
+        rest = _drawn(rest, found, percent)
+    if rest is not None:
+        found.verify(_across(rest, percent))
+    return found.links
+
+
+def _drawn(rest: DataFrame, found: _Links, percent: int) -> DataFrame | None:
+    """Members of lists that are still apart when the members of long lists were compared with ever more drawn ones."""
+    largest = _largest(rest)
+    if largest <= CROWDED:
+        return rest
+    long = rest.where(F.col("size") > LONG_LIST)
+    found.fetch(long.select("name").distinct())
+    drawn = DRAWN
+    while drawn < largest:
+        found.verify(_across(long, percent, drawn), fetch=False)
+        long = _divided(_rooted(long, found.roots()))
+        largest = _largest(long)
+        drawn *= MORE_DRAWN
+    rest = _divided(_rooted(rest, found.roots()))
+    return None if rest.isEmpty() else rest
+
 
-    rest = _apart(entries, connected_components(links, []), prefixes)
-    if rest is None:
-        return links
-    across = stored(_across(rest, percent).join(star, ["a", "b"], "left_anti"))
-    if across.isEmpty():
-        return links
-    others = filter_of(_names(across))
-    more = stored(sets_of(docs, lambda names: others(names) & ~wanted(names), size, percent))
-    return links.unionByName(verified(across, sets.unionByName(more), percent))
+def _largest(rest: DataFrame) -> int:
+    return rest.agg(F.max("size")).first()[0] or 0
 
 
 def _star(entries: DataFrame, percent: int) -> DataFrame:
@@ -408,14 +472,8 @@ def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFra
 
     Each has its ``root``, the list's commonest, its ``head``, its parities, and the keys ``before`` of other long lists.
     """
-    known = attach(prefixes.select("name", *PARITIES), roots.withColumnsRenamed({"v": "name"}), ["name"], "left")
-    own = attach(entries.drop("first", "members"), known, ["name"])
-    own = stored(own.withColumn("root", F.coalesce("root", "name")))
-    parts = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
-    whole = parts.groupBy("key").agg(
-        F.max_by("root", F.struct("part", "root")).alias("head"), F.count(F.lit(1)).alias("parts"), F.sum("part").alias("size")
-    )
-    rest = stored(attach(own, whole.where("parts > 1").drop("parts"), ["key"], count="size"))
+    own = attach(entries.drop("first", "members"), prefixes.select("name", *PARITIES), ["name"])
+    rest = _divided(_rooted(own, roots))
     if rest.isEmpty():
         return None
     # What a set posted before, of long lists: two that share one of these meet there.
@@ -427,24 +485,51 @@ def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFra
     return stored(short.unionByName(long))
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components. A long list is a square of smaller ones, so that no task has it whole."""
+def _rooted(own: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of lists with their ``root`` of now."""
+    known = attach(own.drop("root", "head", "size"), roots, ["name"], "left")
+    return stored(known.withColumn("root", F.coalesce("root", "name")))
+
+
+def _divided(own: DataFrame) -> DataFrame:
+    """Whole lists of more than one component, with their ``size`` and commonest root, the ``head``."""
+    parts = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
+    whole = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("part", "root")).alias("head"), F.count(F.lit(1)).alias("parts"), F.sum("part").alias("size")
+    )
+    return stored(attach(own, whole.where("parts > 1").drop("parts"), ["key"], count="size"))
+
+
+def _across(rest: DataFrame, percent: int, drawn: int | None = None) -> DataFrame:
+    """Candidate pairs across components. A long list is a square of smaller ones, so that no task has it whole.
+
+    With ``drawn``, only those with one of about so many members of each list, the same in lists of one length.
+    """
     parts = F.ceil(F.col("size") / LIST_ROWS).cast("int")
     part = F.pmod(F.xxhash64("name"), parts).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     columns = ["name", "n", "left", "root", "before", *PARITIES]
     # What is joined already is compared with the others, never with itself.
     a = rest.where("root <> head").select("key", part.alias("p"), every.alias("q"), *[F.col(c).alias("a_" + c) for c in columns])
-    b = rest.select("key", part.alias("q"), every.alias("p"), (F.col("root") == F.col("head")).alias("b_head"), *[F.col(c).alias("b_" + c) for c in columns])
-    once = F.col("b_head") | (F.col("a_name") < F.col("b_name"))
+    b = rest.select("key", part.alias("q"), every.alias("p"), "size", (F.col("root") == F.col("head")).alias("b_head"), *[F.col(c).alias("b_" + c) for c in columns])
+    if drawn is None:
+        once = F.col("b_head") | (F.col("a_name") < F.col("b_name"))
+    else:
+        b = b.where(_lot("b_name") * F.col("size") < drawn)
+        once = F.lit(True)
     differ = sum(F.bit_count(F.col("a_" + c).bitwiseXOR(F.col("b_" + c))) for c in PARITIES)
     close = (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    met = a.join(b, ["key", "p", "q"]).where((F.col("a_root") != F.col("b_root")) & once & may_link("a_", "b_", percent) & close & ~F.arrays_overlap("a_before", "b_before"))
+    met = a.join(b.drop("size"), ["key", "p", "q"]).where((F.col("a_root") != F.col("b_root")) & once & may_link("a_", "b_", percent) & close & ~F.arrays_overlap("a_before", "b_before"))
     low, high = F.least("a_name", "b_name"), F.greatest("a_name", "b_name")
     met = met.select(low.alias("a"), high.alias("b"))
     return met.distinct()
 
 
+def _lot(name: str) -> Column:
+    """A number from 0 to 1 for each name, the same in all lists."""
+    return F.pmod(F.xxhash64(name, F.lit("drawn")), F.lit(1 << 30)) / (1 << 30)
+
+
 def jaccard_components(
     docs: DataFrame,
     doc_id: str = "doc_id",

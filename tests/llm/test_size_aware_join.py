@@ -134,6 +134,47 @@ def test_equals_brute_force(spark, monkeypatch, seed, small, list_rows):
     assert rows(got) == sorted(map(repr, brute(docs)))
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_drawn_rounds_equal_brute_force(spark, monkeypatch, seed):
+    for name, value in {"CROWDED": 3, "DRAWN": 1, "MORE_DRAWN": 3, "LONG_LIST": 2, "LIST_ROWS": 5}.items():
+        monkeypatch.setattr(size_aware_join, name, value)
+    docs = corpus(seed) + near_copies(80, 500)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert rows(jaccard_components(frame, small=0 if seed == 6 else None)) == sorted(map(repr, brute(docs)))
+
+
+def near_copies(many, first):
+    """Of one text, with a word or more changed in most: some pairs are similar enough, more are not quite."""
+    maker = random.Random(many)
+    words = [f"n{k}" for k in range(150)]
+    texts = []
+    for _ in range(many):
+        own = list(words)
+        for at in maker.sample(range(150), maker.choice([1, 2, 2, 3, 3, 3])):
+            own[at] = f"c{maker.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return list(enumerate(texts, first))
+
+
+def test_candidates_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    pairs = []
+    verified = size_aware_join.verified
+
+    def counted(some, *rest):
+        pairs.append(some.count())
+        return verified(some, *rest)
+
+    monkeypatch.setattr(size_aware_join, "verified", counted)
+    made = []
+    for many in (400, 1200):
+        docs = near_copies(many, 1)
+        pairs.clear()
+        got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert {(r.n_shingles, r.component_id) for r in got.collect()} == {(146, 1)}
+        made.append(sum(pairs))
+    assert made[1] < 6 * made[0]
+
+
 def test_other_shingles_and_similarity(spark):
     docs = corpus(9)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
