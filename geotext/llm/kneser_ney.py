@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ class WordHashes(dict):
     def of(self, text: str | None) -> np.ndarray:
         """The hashes of a text's words; words are runs of ASCII letters, digits and non-ASCII."""
         words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array(itemgetter(*words)(self) if len(words) > 1 else [self[w] for w in words], np.int64)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -319,6 +320,8 @@ def text_features(docs: DataFrame, found: Estimates, known_keys: int | None = No
 def _features(asked: DataFrame, found: Estimates, gap: float) -> DataFrame:
     # The table lies in buckets, each held by a task; what is asked streams past, so that a key asked for by many texts costs no memory.
     met = asked.join(found.rows.drop("n").hint("shuffle_hash"), "key", "left")
+    # Of a pair that was never counted nothing comes: it need not be summed.
+    met = met.where(F.col("x0").isNotNull() | (F.col("m") >= 0) | F.col("sums").isNotNull())
     word = (F.col("m") >= 0) & (F.col("n") > 0)
     # What was never counted has the log probabilities of unknown words.
     apart = F.coalesce(F.col("x1") - F.col("x0"), F.lit(0.0)) + gap
@@ -357,9 +360,13 @@ def ask_some(tags: np.ndarray, words: list[np.ndarray], known: Known, gap: float
     pairs = np.split(pair_keys(np.concatenate(befores), np.concatenate(words)), ends)
     for w, before, own in zip(words, befores, pairs, strict=True):
         pair, times = np.unique(own, return_counts=True)
-        single, at = np.unique(np.concatenate([w, before]), return_inverse=True)
-        n, m = np.bincount(at[: w.size], minlength=single.size), np.bincount(at[w.size :], minlength=single.size)
-        parts.append((np.r_[single, pair], np.r_[n, times], np.r_[m, np.full(pair.size, -1)]))
+        # What comes before a word is the beginning or any word but the last.
+        single, n = np.unique(np.concatenate([w, before[:1]]), return_counts=True)
+        m = n.copy()
+        if w.size:
+            n[np.searchsorted(single, 0)] -= 1
+            m[np.searchsorted(single, w[-1])] -= 1
+        parts.append((np.concatenate([single, pair]), np.concatenate([n, times]), np.concatenate([m, np.full(pair.size, -1)])))
     key, n, m = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
     of = np.repeat(np.arange(len(words)), [p[0].size for p in parts])
     held, x = known.look_up(key)

@@ -203,3 +203,18 @@ def test_passes_share_the_pairs(spark):
     whole = sorted(map(tuple, count_all(texts).collect()))
     shares = [list(map(tuple, count_all(texts, k, 3).collect())) for k in range(3)]
     assert sorted(sum(shares, [])) == whole and sum(r[2] + r[3] for r in whole) == 36
+
+
+def test_words_and_pairs_of_a_text_are_counted_once_each():
+    numbers = kneser_ney.WordHashes()
+    texts = [None, "", "one", "a a", "a b a b c", "c b a"]
+    words = [numbers.of(t) for t in texts]
+    known = kneser_ney.Known(np.zeros(0, np.int64), np.zeros((0, 4), np.float32))
+    got = kneser_ney.ask_some(np.arange(len(texts)), words, known, 0.0).to_pylist()
+    wanted = []
+    for k, w in enumerate(words):
+        before, after = Counter(kneser_ney.words_before(w).tolist()), Counter(w.tolist())
+        wanted += [(k, x, after[x], before[x]) for x in before | after]
+        wanted += [(k, x, n, -1) for x, n in Counter(kneser_ney.pair_keys(kneser_ney.words_before(w), w).tolist()).items()]
+    assert sorted((r["row_tag"], r["key"], r["n"], r["m"]) for r in got if r["sums"] is None) == sorted(wanted)
+    assert [r["sums"][2] for r in got if r["sums"] is not None] == [len(w) for w in words]
