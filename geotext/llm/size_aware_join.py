@@ -26,9 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import query, stored, table, tree_sum
+from geotext.llm.common import forget, query, short_shuffles, stored, table, tree_sum
 from geotext.operators.components import connected_components
-from geotext.operators.skew import attach
+from geotext.operators.skew import BROADCAST_KEYS, attach
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -376,8 +376,21 @@ def sets_of(docs: DataFrame, holds: Callable, size: int, percent: int) -> DataFr
     return found.dropDuplicates(["digest"]).select("name", "shingles")
 
 
+def _among(sets: DataFrame, holds: Callable) -> DataFrame:
+    """Those of the sets whose names the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(batch.column("name").to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 class _Links:
-    """Links found so far. The sets they were verified by are stored, and so are all pairs that were candidates."""
+    """Links found so far. The sets they were verified by are stored, and so are all pairs that were candidates.
+
+    Only the first pairs meet all of the sets; later ones are few, and the sets of others are not moved for them.
+    """
 
     def __init__(self, docs: DataFrame, prefixes: DataFrame, size: int, percent: int):
         self.docs, self.prefixes, self.size, self.percent = docs, prefixes, size, percent
@@ -387,7 +400,9 @@ class _Links:
     def fetch(self, names: DataFrame) -> None:
         """The whole sets of ``name``, but for those that are there."""
         keys = self.prefixes.select("name", "text_key")
-        holds, before = filter_of(stored(attach(names, keys, ["name"], rows=1).select("text_key"))), tuple(self.held)
+        wanted = stored(attach(names, keys, ["name"], rows=1).select("text_key"))
+        holds, before = filter_of(wanted), tuple(self.held)
+        forget(wanted)
 
         def missing(some: np.ndarray) -> np.ndarray:
             found = holds(some)
@@ -406,7 +421,12 @@ class _Links:
             return
         if fetch:
             self.fetch(_names(pairs))
-        links = stored(verified(pairs, self.sets, self.percent))
+        sets = self.sets
+        if self.pairs is not None:
+            names = stored(_names(pairs))
+            sets = _among(sets, filter_of(names))
+            forget(names)
+        links = stored(verified(pairs, sets, self.percent))
         self.links = links if self.links is None else self.links.unionByName(links)
         self.pairs = pairs if self.pairs is None else self.pairs.unionByName(pairs)
 
@@ -419,36 +439,65 @@ def links_of(docs: DataFrame, counts: bytes, size: int, percent: int, small: int
     prefixes = stored(prefixes_of(docs, counts, size, percent))
     small = cheapest_size(prefixes, percent) if small is None else small
     shared = stored(post(prefixes, small, percent).groupBy("key").count().where("count > 1").select("key"))
-    entries = stored(post(prefixes, small, percent, filter_of(shared)))
+    holds = filter_of(shared)
+    forget(shared)
+    posted = stored(post(prefixes, small, percent, holds))
+    known = stored(prefixes.select("name", "text_key", *PARITIES))
+    forget(prefixes)
     first = F.min(F.struct("name", "n", "left"))
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("first")).where("members > 1")
-    entries = stored(attach(entries, lists, ["key"], count="members"))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("first")).where("members > 1")
+    entries = stored(attach(posted, lists, ["key"], count="members"))
+    forget(posted)
 
-    found = _Links(docs, prefixes, size, percent)
+    found = _Links(docs, known, size, percent)
     found.verify(_star(entries, percent))
-    rest = _apart(entries, found.roots(), prefixes)
-    if rest is not None:
-        rest = _drawn(rest, found, percent)
+    roots = found.roots()
+    rest = _apart(entries, roots, known)
+    forget(entries)
     if rest is not None:
-        found.verify(_across(rest, percent))
+        found.verify(_across(_drawn(rest, roots, found, percent), percent))
     return found.links
 
 
-def _drawn(rest: DataFrame, found: _Links, percent: int) -> DataFrame | None:
-    """Members of lists that are still apart when the members of long lists were compared with ever more drawn ones."""
+def _drawn(rest: DataFrame, roots: DataFrame, found: _Links, percent: int) -> DataFrame:
+    """``rest`` with the roots of now, when the members of long lists were compared with ever more drawn ones.
+
+    Long lists that hold one component by then are left out. Short ones stay whole.
+    """
     largest = _largest(rest)
     if largest <= CROWDED:
         return rest
     long = rest.where(F.col("size") > LONG_LIST)
     found.fetch(long.select("name").distinct())
     drawn = DRAWN
+    now, made = roots, None
     while drawn < largest:
         found.verify(_across(long, percent, drawn), fetch=False)
-        long = _divided(_rooted(long, found.roots()))
+        now = found.roots()
+        long = _divided(_rooted(long, now))
+        if made is not None:
+            forget(made)
+        made = long
         largest = _largest(long)
         drawn *= MORE_DRAWN
-    rest = _divided(_rooted(rest, found.roots()))
-    return None if rest.isEmpty() else rest
+    short = _moved(rest.where(F.col("size") <= LONG_LIST), roots, now)
+    return short.unionByName(long.select(short.columns))
+
+
+def _moved(rest: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """``rest`` with each root, and each list's head, that is joined to a lower one since ``before`` replaced by that.
+
+    Those are few beside the rows, which are not dealt out again for them.
+    """
+    own = before.select("name", F.col("root").alias("own"))
+    joined = attach(now, own, ["name"], "left", rows=1).where(F.coalesce("own", "name") == F.col("name"))
+    joined = stored(joined.where("root <> name").select("name", F.col("root").alias("now")))
+    few = joined.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    for column in ("root", "head"):
+        lower = joined.withColumnRenamed("name", column)
+        rest = rest.join(F.broadcast(lower), column, "left") if few else attach(rest, lower, [column], "left")
+        rest = rest.withColumn(column, F.coalesce("now", column)).drop("now")
+    return rest
 
 
 def _largest(rest: DataFrame) -> int:
@@ -475,6 +524,7 @@ def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFra
     own = attach(entries.drop("first", "members"), prefixes.select("name", *PARITIES), ["name"])
     rest = _divided(_rooted(own, roots))
     if rest.isEmpty():
+        forget(rest)
         return None
     # What a set posted before, of long lists: two that share one of these meet there.
     long = rest.where(F.col("size") > LONG_LIST)
@@ -482,7 +532,9 @@ def _apart(entries: DataFrame, roots: DataFrame, prefixes: DataFrame) -> DataFra
     before = F.filter("posted", lambda p: p["place"] < F.col("place"))
     long = attach(long, posted, ["name"]).withColumn("before", F.transform(before, lambda p: p["key"])).drop("posted")
     short = rest.where(F.col("size") <= LONG_LIST).withColumn("before", F.array().cast("array<bigint>"))
-    return stored(short.unionByName(long))
+    found = stored(short.unionByName(long))
+    forget(rest)
+    return found
 
 
 def _rooted(own: DataFrame, roots: DataFrame) -> DataFrame:
@@ -492,12 +544,14 @@ def _rooted(own: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _divided(own: DataFrame) -> DataFrame:
-    """Whole lists of more than one component, with their ``size`` and commonest root, the ``head``."""
+    """Whole lists of more than one component, with their ``size`` and commonest root, the ``head``. ``own`` is stored and goes."""
     parts = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
     whole = parts.groupBy("key").agg(
         F.max_by("root", F.struct("part", "root")).alias("head"), F.count(F.lit(1)).alias("parts"), F.sum("part").alias("size")
     )
-    return stored(attach(own, whole.where("parts > 1").drop("parts"), ["key"], count="size"))
+    found = stored(attach(own, whole.where("parts > 1").drop("parts"), ["key"], count="size"))
+    forget(own)
+    return found
 
 
 def _across(rest: DataFrame, percent: int, drawn: int | None = None) -> DataFrame:
@@ -551,9 +605,15 @@ def jaccard_components(
     if not 50 <= percent < 100 or size < 1:
         raise ValueError("percent must be from 50 to 99 and shingles have a word at least")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with short_shuffles(docs.sparkSession):
+        return _components(docs, size, percent, small)
+
+
+def _components(docs: DataFrame, size: int, percent: int, small: int | None) -> DataFrame:
     described = stored(describe_sets(docs, size))
     counts = tree_sum(described.where("part IS NOT NULL"), _merge_counts)
-    rows = described.where("part IS NULL").select("doc_id", "n", "digest")
+    rows = stored(described.where("part IS NULL").select("doc_id", "n", "digest"))
+    forget(described)
     named = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(named)
     if counts is None:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -175,6 +176,31 @@ def test_candidates_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert made[1] < 6 * made[0]
 
 
+def test_intermediate_tables_and_sets_of_others_go(spark, monkeypatch):
+    for name, value in {"CROWDED": 3, "DRAWN": 2, "MORE_DRAWN": 50, "LONG_LIST": 2}.items():
+        monkeypatch.setattr(size_aware_join, name, value)
+    made, met = [], []
+    stored, verified = size_aware_join.stored, size_aware_join.verified
+
+    def noted(df, *rest):
+        made.append(stored(df, *rest))
+        return made[-1]
+
+    def counted(pairs, sets, percent):
+        met.append((sets.count(), size_aware_join._names(pairs).count()))
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(size_aware_join, "stored", noted)
+    monkeypatch.setattr(size_aware_join, "verified", counted)
+    docs = corpus(7)[:60] + near_copies(60, 500)
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), small=0)
+    assert rows(got) == sorted(map(repr, brute(docs)))
+    folders = [f.inputFiles()[0].removeprefix("file:").replace("//", "/").rsplit("/", 1)[0] for f in made if f.inputFiles()]
+    assert sum(map(os.path.isdir, folders)) < 0.7 * len(folders), (sum(map(os.path.isdir, folders)), len(folders))
+    # The sets of all that were candidates before are not moved again for a few pairs.
+    assert len(met) > 1 and all(sets <= names + 1 for sets, names in met[1:]), met
+
+
 def test_other_shingles_and_similarity(spark):
     docs = corpus(9)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
