@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotext.catalog.registry import query
 from geotext.llm.chunk_recipes import drop_copies
-from geotext.llm.common import crc_share, table
+from geotext.llm.common import crc_share, short_batches, table
 from geotext.llm.kneser_ney import drop_toxic
 from geotext.llm.popcount_simhash import drop_near_copies
 from geotext.llm.two_fit import pack_documents
@@ -27,7 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The rows held out by their id do not teach."""
     configure(spark)
-    return drop_toxic(docs, table(spark, sf_dir, "labels"), learn=crc_share(F.col("doc_id"), 3) != 1)
+    with short_batches(spark):
+        return drop_toxic(docs, table(spark, sf_dir, "labels"), learn=crc_share(F.col("doc_id"), 3) != 1)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints the one with the smallest id stays."""
-    return drop_near_copies(docs)
+    with short_batches(spark):
+        return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, each with its place in a sequence."""
-    return pack_documents(docs)
+    with short_batches(spark):
+        return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

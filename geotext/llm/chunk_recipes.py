@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geotext.llm.common import cut, placed, query, table
+from geotext.llm.common import cut, placed, query, short_batches, table
 
 #: A boundary follows where this many low bits of the rolling value are zero: 2 KB on average.
 BOUNDARY_BITS = 11
@@ -126,11 +126,12 @@ def find_copies(
 def _copies(tagged: DataFrame, name: Name = chunk_hash) -> DataFrame:
     """``find_copies`` for ``tagged (doc_id, text, row_tag)``."""
     lists = tagged.withColumn("_made", recipe_of(name)("text")).select("doc_id", "row_tag", "_made.*")
-    lists = cut(lists.withColumn("apart", F.lit(None).cast("array<struct<seq:int,n:int>>")))
-    contents = chunk_rows(tagged, "row_tag", name=name).select("h", "chunk").distinct()
-    shared = cut(contents.groupBy("h").count().where("count > 1").select("h"))
-    if not shared.isEmpty():
-        lists = cut(_tell_apart(tagged, lists, shared, name))
+    with short_batches(tagged.sparkSession):
+        lists = cut(lists.withColumn("apart", F.lit(None).cast("array<struct<seq:int,n:int>>")))
+        contents = chunk_rows(tagged, "row_tag", name=name).select("h", "chunk").distinct()
+        shared = cut(contents.groupBy("h").count().where("count > 1").select("h"))
+        if not shared.isEmpty():
+            lists = cut(_tell_apart(tagged, lists, shared, name))
     id_last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_tag")
     groups = lists.groupBy("recipe", "apart").agg(
         F.min(id_last).alias("first"), F.count(F.lit(1)).alias("group_size")

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from geotext.llm import chunk_recipes
+from geotext.llm import chunk_recipes, common
 from geotext.llm.chunk_recipes import boundaries, chunks_of, drop_copies, find_copies, normalise
 
 
@@ -72,3 +72,21 @@ def test_chunks_are_whole_and_local():
 def test_normalise():
     for t in ("", " ", " a", "a ", "\x0b\x0ca\x1cb", "a\x85　b", "  a \n b\t"):
         assert normalise(t.encode()).decode() == re.sub(r"[\x20\x09-\x0D]+", " ", t)
+
+
+def test_long_texts_reach_workers_in_short_batches(spark, stored, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 50_000)
+
+    def recipe_of(name):  # tells how many texts came at once
+        @F.pandas_udf("struct<recipe: array<long>, text_sha256: string>")
+        def make(texts):
+            import pandas as pd
+
+            return pd.DataFrame({"recipe": [[k] for k in range(len(texts))], "text_sha256": [str(len(texts))] * len(texts)})
+
+        return make
+
+    monkeypatch.setattr(chunk_recipes, "recipe_of", recipe_of)
+    docs = stored([(i, f"{i} " + "x" * 1000) for i in range(600)])
+    assert max(int(r.text_sha256) for r in find_copies(docs).collect()) < 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "50000"
