@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import brute
+from geotext.catalog import geo
 from geotext.operators import density, neighbours
 from geotext.operators.cells import Geometry
 from geotext.operators.density import density_cluster
@@ -173,3 +176,69 @@ def test_a_crowded_tile_is_many_small_joins(spark, monkeypatch):
         assert ("part_i" in pairs._jdf.queryExecution().toString()) == (limit == 9)
         got = [(r.i, r.j) for r in pairs.select("i", "j").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def _shuffled(plan) -> tuple[int, int]:
+    """Rows written and exchanges made below a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    if name == "ReusedExchangeExec":
+        return 0, 0
+    rows = made = 0
+    if name == "ShuffleExchangeExec":
+        rows, made = plan.metrics().get("shuffleRecordsWritten").get().value(), 1
+    children = plan.children()
+    for k in range(children.size()):
+        below = _shuffled(children.apply(k))
+        rows, made = rows + below[0], made + below[1]
+    return rows, made
+
+
+def test_pairs_come_of_one_shuffle_of_the_posts(spark, monkeypatch):
+    """What is written to disk on the way follows the posts, and the tasks that make the pairs do too."""
+    rng = random.Random(3)
+    rows = [(1, k, 40 + rng.random() / 20, -80 + rng.random() / 20) for k in range(1_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((i, j) for _, i, *a in rows for _, j, *b in rows if i != j and brute.km(a, b) < 0.1)
+    pairs = neighbour_join(df, 0.1, by=None)
+    assert sorted((r.i, r.j) for r in pairs.collect()) == want
+    written, exchanges = _shuffled(pairs._jdf.queryExecution().executedPlan())
+    assert exchanges == 1 and len(rows) <= written < 1.4 * len(rows)
+    monkeypatch.setattr(neighbours, "JOIN_ROWS", 50)
+    assert neighbour_join(df, 0.1, by=None).rdd.getNumPartitions() >= len(rows) / 50
+
+
+@pytest.mark.parametrize("most_tasks", [50_000, 2], ids=["hashed", "sorted"])
+@pytest.mark.parametrize("name, eps", [("haversine", 40.0), ("euclidean", 0.4), ("manhattan", 0.4)])
+def test_each_pair_comes_once_whatever_the_units(spark, monkeypatch, most_tasks, name, eps):
+    """Posts in one clump, at the pole, across 180 degrees, twice and without a place; wide tiles split and whole."""
+    rng = random.Random(4)
+    spots = [(0.0, 0.0)] * 3 + [(89.9, 0.0), (89.9, 175.0), (-10.0, 179.9), (-10.0, -179.9)]
+    rows = []
+    for k in range(160):
+        lat, lon = rng.choice(spots)
+        rows.append((k % 3, k, min(90.0, lat + rng.gauss(0, 0.3)), lon + rng.gauss(0, 0.3)))
+    rows += [rows[0], rows[0], rows[5]]
+    df = spark.createDataFrame([*rows, (1, 900, None, 0.0), (1, 901, 0.0, None), (1, None, 0.0, 0.0)], SCHEMA)
+    distance = brute.DISTANCES[name]
+    monkeypatch.setattr(neighbours, "MOST_TASKS", most_tasks)
+    for by in (None, "user_id"):
+        want = sorted(
+            (i, j) for u, i, *a in rows for v, j, *b in rows if i != j and (by is None or u == v) and distance(a, b) < eps
+        )
+        for limit in (20_000, 60, 9):
+            monkeypatch.setattr(neighbours, "JOIN_ROWS", limit)
+            got = neighbour_join(df, eps, by=by, geometry=Geometry(name)).collect()
+            assert sorted((r.i, r.j) for r in got) == want, (by, limit)
+            assert all(abs(r.d - distance(*[next(p[2:] for p in rows if p[1] == k) for k in (r.i, r.j)])) < 1e-6 for r in got[::50])
+
+
+def test_quick_rounding_is_rounding(spark):
+    values = [0.1234565, 0.1234575, 0.0123455, 1e-9, 5e-7, 4.9999999e-7, 0.0, -0.0, -1e-9, -0.1234565, 1e12 + 0.1234567, float("nan"), float("inf"), None]
+    values += [random.Random(5).random() / 10 for _ in range(500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, d double")
+    quick = {r.k: repr(r.d) for r in geo._rounded_quickly(df, "d").collect()}
+    assert quick == {r.k: repr(r.d) for r in geo._rounded(df, "d").collect()}
